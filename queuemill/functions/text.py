@@ -18,19 +18,23 @@ def clean_text(text: Column) -> Column:
     """Lower-case, blank artefacts, expand abbreviations, keep a-z, squeeze blanks.
 
     Most texts hold no abbreviation at all, so one test of all patterns together decides whether
-    the rewrites run; CASE evaluates the chain only for the rows that need it.
+    the rewrites run. The lambda binds the blanked text once for the test and for both branches.
     """
     out = F.lower(text)
     for pattern in fixed.ARTEFACTS:
         out = F.regexp_replace(out, _U + pattern, " ")
-    rewritten = out
-    for pattern, replacement in fixed.ABBREVIATIONS:
-        rewritten = F.regexp_replace(rewritten, _U + pattern, replacement)
-    out = F.when(out.rlike(_ANY_ABBREVIATION), rewritten).otherwise(out)
+    out = F.transform(F.array(out), _expand_abbreviations)[0]
     out = F.regexp_replace(out, _U + r"[^a-z\s]", " ")
     return F.coalesce(F.trim(F.regexp_replace(out, _U + r"\s+", " ")), F.lit(""))
 
 
+def _expand_abbreviations(text: Column) -> Column:
+    rewritten = text
+    for pattern, replacement in fixed.ABBREVIATIONS:
+        rewritten = F.regexp_replace(rewritten, _U + pattern, replacement)
+    return F.when(text.rlike(_ANY_ABBREVIATION), rewritten).otherwise(text)
+
+
 def build_text(subject: Column, description: Column) -> Column:
     """The cleaned subject twice, then the cleaned description."""
     return weighted_text(clean_text(subject), clean_text(description))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from queuemill.plans.registry import CHECKS, QUERIES
-from queuemill.plans import lifecycle_queries  # noqa: F401
+from queuemill.plans import lifecycle_queries, screening_queries, decision_queries  # noqa: F401
 
 __all__ = ["QUERIES", "CHECKS"]
