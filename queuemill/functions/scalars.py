@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from queuemill import fixed
 from queuemill.functions import text as T
+from queuemill.functions.vectors import bind
 from queuemill.runtime import blank_to_null, present
 
 
@@ -88,7 +89,7 @@ def applicability(similarity: Column) -> tuple[Column, Column, Column]:
 
 def softmax(margins: Column) -> Column:
     """Margins to a ranking score that sums to one; NULL marks a class the model never saw."""
-    peak = F.array_max(margins)
-    powers = F.transform(margins, lambda x: F.coalesce(F.exp(x - peak), F.lit(0.0)))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / F.greatest(total, F.lit(1e-12)))
+    above = lambda p: F.transform(p["m"], lambda x: F.coalesce(F.exp(x - p["peak"]), F.lit(0.0)))
+    powers = bind(F.struct(margins.alias("m"), F.array_max(margins).alias("peak")), above)
+    summed = lambda v: F.struct(v.alias("v"), F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x).alias("total"))
+    return bind(bind(powers, summed), lambda p: F.transform(p["v"], lambda x: x / F.greatest(p["total"], F.lit(1e-12))))

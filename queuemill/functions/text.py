@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from queuemill import fixed
+from queuemill.functions.vectors import bind
 
 # (?U): word edges, digits and blanks follow Unicode.
 _U = "(?U)"
@@ -23,7 +24,7 @@ def clean_text(text: Column) -> Column:
     out = F.lower(text)
     for pattern in fixed.ARTEFACTS:
         out = F.regexp_replace(out, _U + pattern, " ")
-    out = F.transform(F.array(out), _expand_abbreviations)[0]
+    out = bind(out, _expand_abbreviations)
     out = F.regexp_replace(out, _U + r"[^a-z\s]", " ")
     return F.coalesce(F.trim(F.regexp_replace(out, _U + r"\s+", " ")), F.lit(""))
 
@@ -113,9 +114,12 @@ def words(text: Column) -> Column:
 
 
 def ngrams(tokens: Column) -> Column:
-    """Single words followed by neighbouring pairs."""
-    pairs = F.zip_with(
-        F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b))
+    """Single words followed by neighbouring pairs; the lambda binds the word list once."""
+    return bind(tokens, _with_pairs)
+
+
+def _with_pairs(tokens: Column) -> Column:
+    shorter = F.greatest(F.size(tokens) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(tokens, 1, shorter), F.slice(tokens, 2, shorter),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(tokens, pairs)

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once per row, also where `use` loops over it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
@@ -20,8 +25,9 @@ def norm(vector: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """L2-normalised; a zero vector stays zero."""
-    length = F.greatest(norm(vector), F.lit(1e-9))
-    return F.transform(vector, lambda x: x / length)
+    by_length = lambda pair: F.transform(pair["v"], lambda x: x / pair["n"])
+    with_length = lambda v: F.struct(v.alias("v"), F.greatest(norm(v), F.lit(1e-9)).alias("n"))
+    return bind(bind(vector, with_length), by_length)
 
 
 def standardised(vector: Column, mean: Column, std: Column) -> Column:

@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from queuemill.plans.registry import CHECKS, QUERIES
-from queuemill.plans import lifecycle_queries, screening_queries, decision_queries  # noqa: F401
+from queuemill.plans import (  # noqa: F401
+    decision_queries, lifecycle_queries, retrieval_queries, screening_queries)
 
 __all__ = ["QUERIES", "CHECKS"]
