@@ -12,21 +12,35 @@ from queuemill.functions.vectors import bind
 
 # (?U): word edges, digits and blanks follow Unicode.
 _U = "(?U)"
-_ANY_ABBREVIATION = _U + "|".join(pattern for pattern, _ in fixed.ABBREVIATIONS)
+# All abbreviations share their word edges, so one test covers them.
+_ANY_ABBREVIATION = _U + r"\b(?:" + "|".join(p.removeprefix(r"\b").removesuffix(r"\b") for p, _ in fixed.ABBREVIATIONS) + r")\b"
+# What a text must contain for an artefact to be there; checked before the pattern is tried.
+_ARTEFACT_MARKS = (("http", "www."), ("@",), ("mu-",), ())
 
 
 def clean_text(text: Column) -> Column:
     """Lower-case, blank artefacts, expand abbreviations, keep a-z, squeeze blanks.
 
-    Most texts hold no abbreviation at all, so one test of all patterns together decides whether
-    the rewrites run. The lambda binds the blanked text once for the test and for both branches.
+    Most texts hold no address and no abbreviation, so cheap tests decide whether the patterns run.
     """
     out = F.lower(text)
-    for pattern in fixed.ARTEFACTS:
-        out = F.regexp_replace(out, _U + pattern, " ")
+    for pattern, marks in zip(fixed.ARTEFACTS, _ARTEFACT_MARKS):
+        out = bind(out, _blanking(pattern, marks))
     out = bind(out, _expand_abbreviations)
-    out = F.regexp_replace(out, _U + r"[^a-z\s]", " ")
-    return F.coalesce(F.trim(F.regexp_replace(out, _U + r"\s+", " ")), F.lit(""))
+    # Everything but a-z becomes one blank: the same as blanking first and squeezing after.
+    return F.coalesce(F.trim(F.regexp_replace(out, "[^a-z]+", " ")), F.lit(""))
+
+
+def _blanking(pattern: str, marks: tuple[str, ...]):
+    def blank(text: Column) -> Column:
+        blanked = F.regexp_replace(text, _U + pattern, " ")
+        if not marks:
+            return blanked
+        found = F.lit(False)
+        for mark in marks:
+            found = found | F.contains(text, F.lit(mark))
+        return F.when(found, blanked).otherwise(text)
+    return blank
 
 
 def _expand_abbreviations(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,12 +13,12 @@ from queuemill.functions import text as X
 from queuemill.runtime import materialise
 
 
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf). Texts are placed by key once; the counts and everything per document that
-    follows stay in that partitioning, so exploded terms are never shuffled."""
-    terms = X.ngrams(X.words(F.col(text)))
-    placed = docs.select(key, text).repartition(F.col(key))
-    return (placed.select(key, F.explode_outer(terms).alias("term"))
+def term_counts(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, term, tf). Rows are placed by key once, before `text` is computed; the counts and all
+    that follows per document stay in that partitioning, so exploded terms are never shuffled."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = docs.repartition(partitions, F.col(key))
+    return (placed.select(key, F.explode_outer(X.ngrams(X.words(text))).alias("term"))
             .groupBy(key, "term").agg(F.count("term").alias("tf")))
 
 
@@ -30,7 +30,7 @@ class Vocabulary:
     n_docs: int
 
     @classmethod
-    def fit(cls, docs: DataFrame, key: str, text: str, max_terms: int = fixed.MAX_TERMS) -> "Vocabulary":
+    def fit(cls, docs: DataFrame, key: str, text: Column, max_terms: int = fixed.MAX_TERMS) -> "Vocabulary":
         n_docs = docs.count()
         per_term = (term_counts(docs, key, text).where(F.col("term").isNotNull())
                     .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
@@ -41,7 +41,7 @@ class Vocabulary:
         return cls(materialise(kept.select("term", term_id.alias("term_id"), idf.alias("idf"), "df"), "vocabulary"), n_docs)
 
 
-def vectors(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> DataFrame:
+def vectors(docs: DataFrame, key: str, text: Column, vocabulary: Vocabulary) -> DataFrame:
     """(key, idx, val): unit-norm sparse vectors; a text without known terms has empty arrays."""
     known = term_counts(docs, key, text).join(F.broadcast(vocabulary.terms), "term", "left")
     weight = (1 + F.log("tf")) * F.col("idf")

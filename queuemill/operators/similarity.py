@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from queuemill.operators.features import fit_vocabulary
 from queuemill.runtime import materialise
 
 DIGITS = 9          # scores are compared after rounding, so engines agree on ties
@@ -104,6 +103,8 @@ def _block_topk(k: int):
     def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
         if queries.num_rows == 0 or corpus.num_rows == 0:
             return OUT.empty_table()
+        queries = queries.rename_columns([n.removeprefix("q_") for n in queries.column_names])
+        corpus = corpus.rename_columns([n.removeprefix("c_") for n in corpus.column_names])
         scores = np.round(_products(_Rows(queries), _Rows(corpus)), DIGITS) + 0.0
         candidates = _ids(corpus, "candidate_id")
         own = queries.column("exclude_id").combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
@@ -199,41 +200,79 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | None = Non
          sparse: bool = False, block_rows: int | None = None) -> DataFrame:
     """(query_id, variant, candidate_id, score, rank): the k best, ties by the lower id."""
     block = block_rows or (SPARSE_BLOCK if sparse else DENSE_BLOCK)
-    n_corpus = corpus.count()
-    scopes = fit_vocabulary(corpus, "scope")
+    counts = _scope_counts(corpus)
+    n_corpus = sum(counts.values())
     if n_corpus == 0:
         return queries.sparkSession.createDataFrame([], OUT_DDL + ", rank long")
-    # Term vectors lie too far apart for pivots to prune; one cell keeps the plain block grid.
-    wanted = pivots or (1 if sparse else min(256, math.ceil(math.sqrt(n_corpus))))
-    centre = _pivot_rows(corpus, max(1, min(wanted, MAX_CELLS // max(len(scopes), 1))))
-    placed = materialise(_with_cells(corpus, centre, scopes), "cells")
-    cells = _cell_bounds(placed, k + 1)
-    n_queries = queries.count()
-    visits = materialise(_visits(queries, centre, scopes, cells, k + 1), "visits")
+    # Term vectors lie too far apart for pivots to prune, and a few blocks are not worth a pass.
+    wanted = pivots or (1 if sparse or n_corpus <= 4 * block else min(256, math.ceil(math.sqrt(n_corpus))))
+    if wanted == 1:
+        asked, placed, sizes = _by_scope(queries, corpus, counts)
+        blocks = max(1, math.ceil(queries.count() / block))
+    else:
+        asked, placed, sizes = _by_pivot(queries, corpus, list(counts), k, min(wanted, MAX_CELLS // len(counts)))
+        blocks = max(1, math.ceil(asked.count() / block))
 
     # At most MAX_CELLS rows: how many chunks each cell is cut into.
     spark = queries.sparkSession
-    chunks = [(int(c), max(1, math.ceil(v["size"] / block))) for c, v in cells.items()]
-    blocks = max(1, math.ceil(n_queries / block))
+    chunks = [(int(c), max(1, math.ceil(n / block))) for c, n in sizes.items()]
     part = F.pmod(F.xxhash64("query_id", "variant"), F.lit(blocks))
-    asked = (visits.withColumn("qblock", F.col("home") * F.lit(blocks) + part)
+    asked = (asked.withColumn("qblock", F.col("home") * F.lit(blocks) + part)
              .withColumn("cell", F.explode("cells")).drop("cells", "home", "scope"))
-    # Corpus rows travel only to query blocks that look into their cell.
-    pairs = asked.select(F.col("cell").alias("_cell"), F.col("qblock").alias("block")).distinct()
     q_sizes = F.broadcast(spark.createDataFrame(chunks, "qcell int, chunks int"))
     c_sizes = F.broadcast(spark.createDataFrame(chunks, "ccell int, chunks int"))
     q = (asked.join(q_sizes, F.col("cell") == F.col("qcell"))
          .select("qcell", "qblock", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("qchunk"),
-                 "query_id", "variant", "exclude_id", "idx", "val"))
-    c = (placed.join(c_sizes, F.col("cell") == F.col("ccell")).join(pairs, F.col("ccell") == F.col("_cell"))
-         .select("ccell", F.col("block").alias("cblock"),
+                 *_fresh("q_", "query_id", "variant", "exclude_id", "idx", "val")))
+    c = placed.join(c_sizes, F.col("cell") == F.col("ccell"))
+    if wanted == 1:
+        c = c.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    else:
+        # Corpus rows travel only to query blocks that look into their cell.
+        pairs = asked.select(F.col("cell").alias("_cell"), F.col("qblock").alias("block")).distinct()
+        c = c.join(pairs, F.col("ccell") == F.col("_cell"))
+    c = c.select("ccell", F.col("block").alias("cblock"),
                  F.pmod(F.xxhash64("candidate_id"), F.col("chunks")).cast("int").alias("cchunk"),
-                 "candidate_id", "idx", "val"))
+                 *_fresh("c_", "candidate_id", "idx", "val"))
     partial = (q.groupBy("qcell", "qchunk", "qblock").cogroup(c.groupBy("ccell", "cchunk", "cblock"))
                .applyInArrow(_block_topk(k), OUT_DDL))
     return ranked(partial, k)
 
 
+def _fresh(prefix: str, *names: str) -> list:
+    """Both sides may come from one table; new names keep their columns apart."""
+    return [F.col(name).alias(prefix + name) for name in names]
+
+
+def _scope_counts(corpus: DataFrame) -> dict[str, int]:
+    """Rows per scope; scopes are class labels, so their number is bounded and checked."""
+    rows = corpus.groupBy("scope").count().limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} scopes")
+    return {r.scope: r["count"] for r in sorted(rows, key=lambda r: r.scope)}
+
+
+def _by_scope(queries, corpus, counts):
+    """One cell per scope; every query looks into its scope, or into all of them."""
+    number = {scope: i for i, scope in enumerate(counts)}
+    cell_of = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
+    every = F.array(*[F.lit(i) for i in number.values()])
+    own = F.filter(F.array(cell_of[F.col("scope")]), lambda x: x.isNotNull())
+    asked = queries.withColumns({
+        "cells": F.when(F.col("scope").isNull(), every).otherwise(own), "home": F.lit(0).cast("long")})
+    placed = corpus.withColumn("cell", cell_of[F.col("scope")])
+    return asked, placed, {number[scope]: n for scope, n in counts.items()}
+
+
+def _by_pivot(queries, corpus, scopes, k, width):
+    """Cells around pivots; every query looks only where its bounds say it must."""
+    centre = _pivot_rows(corpus, max(1, width))
+    placed = materialise(_with_cells(corpus, centre, scopes), "cells")
+    cells = _cell_bounds(placed, k + 1)
+    asked = materialise(_visits(queries, centre, scopes, cells, k + 1), "visits")
+    return asked, placed, {c: v["size"] for c, v in cells.items()}
+
+
 def _cell_bounds(placed: DataFrame, need: int) -> dict:
     """Per cell: size, radius and the distances of its closest members (bounded model data)."""
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("distance").alias("radius"))

@@ -149,33 +149,37 @@ def held_out(row_id):
     return first.isin("0", "1", "2")
 
 
-def cleaned_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
+def documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+def _clean():
+    return X.clean_text(F.col("text"))
 
 
 def lexical_sides(spark, sf):
-    docs = cleaned_documents(spark, sf)
-    vocabulary = LX.Vocabulary.fit(docs.where(~held_out("doc_id")), "doc_id", "text")
-    sparse = R.SIM.materialise(LX.vectors(docs, "doc_id", "text", vocabulary), "term-vectors")
+    docs = documents(spark, sf)
+    vocabulary = LX.Vocabulary.fit(docs.where(~held_out("doc_id")), "doc_id", _clean())
+    sparse = R.SIM.materialise(LX.vectors(docs, "doc_id", _clean(), vocabulary), "term-vectors")
     return sparse.where(held_out("doc_id")), sparse.where(~held_out("doc_id")), vocabulary
 
 
 @query("tfidf", with_ctes(lexical_ctes(f"SELECT doc_id FROM documents WHERE NOT {_HELD_OUT}"), f"""
 SELECT doc_id, term, round(w, 6) AS weight FROM wt WHERE NOT {_HELD_OUT}"""))
 def tfidf(spark, sf):
-    docs = cleaned_documents(spark, sf).where(~held_out("doc_id"))
-    vocabulary = LX.Vocabulary.fit(docs, "doc_id", "text")
-    rows = LX.long_vectors(LX.vectors(docs, "doc_id", "text", vocabulary), "doc_id", vocabulary)
+    docs = documents(spark, sf).where(~held_out("doc_id"))
+    vocabulary = LX.Vocabulary.fit(docs, "doc_id", _clean())
+    rows = LX.long_vectors(LX.vectors(docs, "doc_id", _clean(), vocabulary), "doc_id", vocabulary)
     return rows.withColumn("weight", rounded(F.col("weight")))
 
 
 @query("tfidf_transform", with_ctes(lexical_ctes(f"SELECT doc_id FROM documents WHERE NOT {_HELD_OUT}"), f"""
 SELECT doc_id, term, round(w, 6) AS weight FROM wt WHERE {_HELD_OUT}"""))
 def tfidf_transform(spark, sf):
-    docs = cleaned_documents(spark, sf)
-    vocabulary = LX.Vocabulary.fit(docs.where(~held_out("doc_id")), "doc_id", "text")
+    docs = documents(spark, sf)
+    vocabulary = LX.Vocabulary.fit(docs.where(~held_out("doc_id")), "doc_id", _clean())
     unseen = docs.where(held_out("doc_id"))
-    rows = LX.long_vectors(LX.vectors(unseen, "doc_id", "text", vocabulary), "doc_id", vocabulary)
+    rows = LX.long_vectors(LX.vectors(unseen, "doc_id", _clean(), vocabulary), "doc_id", vocabulary)
     return rows.withColumn("weight", rounded(F.col("weight")))
 
 
@@ -207,10 +211,10 @@ FROM q CROSS JOIN c LEFT JOIN lex ON query_id = q.vec_id AND candidate_id = c.ve
 
 
 def hybrid_sides(spark, sf):
-    both = split(spark, sf).join(cleaned_documents(spark, sf), F.col("vec_id") == F.col("doc_id")).drop("doc_id")
+    both = split(spark, sf).join(documents(spark, sf), F.col("vec_id") == F.col("doc_id")).drop("doc_id")
     corpus = both.where("split = 'train' AND trim(resolution) <> ''")
-    vocabulary = LX.Vocabulary.fit(corpus, "vec_id", "text")
-    sparse = LX.vectors(both, "vec_id", "text", vocabulary)
+    vocabulary = LX.Vocabulary.fit(corpus, "vec_id", _clean())
+    sparse = LX.vectors(both, "vec_id", _clean(), vocabulary)
     full = R.SIM.materialise(both.drop("text").join(sparse, "vec_id"), "hybrid-vectors")
     return full.where("split = 'test'"), full.where("split = 'train' AND trim(resolution) <> ''")
 
