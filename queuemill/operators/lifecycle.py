@@ -60,7 +60,63 @@ def fold(moves: DataFrame) -> DataFrame:
         latest(F.col("detail"), kind == "resolved").alias("resolution"),
         latest(F.col("detail"), kind == "duplicate").alias("duplicate_ref"),
         F.count_if("is_move").alias("hops"),
-        F.max("event_id").alias("last_event_id"))
+        F.max("event_id").alias("last_event_id"),
+        F.bool_or(ends).alias("closed_or_reopened"),
+        F.bool_or(kind == "resolved").alias("was_resolved"),
+        F.bool_or(kind == "duplicate").alias("was_duplicate"))
+
+
+FOLDED = ("ticket_id", "opened_at", "category", "team", "status", "closed_at", "resolution", "duplicate_ref", "hops", "last_event_id")
+
+
+def fold_increment(previous: DataFrame, events: DataFrame) -> DataFrame:
+    """New folded rows for the tickets that `events` touch, given their previous folded rows.
+
+    A ticket's previous row stands in as one event that sets its team and category; events at or
+    below the last applied id are ignored.
+    """
+    before = previous.select(*FOLDED).withColumnsRenamed({c: f"p_{c}" for c in FOLDED if c != "ticket_id"})
+    seen = before.select("ticket_id", "p_last_event_id")
+    fresh = events.join(seen, "ticket_id", "left").where(
+        F.col("p_last_event_id").isNull() | (F.col("event_id") > F.col("p_last_event_id"))).drop("p_last_event_id")
+    seed = before.select("ticket_id", F.col("p_last_event_id").alias("event_id"), F.lit("settled").alias("kind"),
+                         F.col("p_team").alias("to_team"), F.col("p_category").alias("category"))
+    seed = seed.join(fresh.select("ticket_id").distinct(), "ticket_id", "left_semi")
+    now = fold(with_holder(fresh.unionByName(seed, allowMissingColumns=True)))
+    both = now.join(before, "ticket_id", "left")
+    kept = lambda name, changed: F.when(F.coalesce(F.col(changed), F.lit(False)), F.col(name)).otherwise(F.col(f"p_{name}"))
+    either = lambda name: F.coalesce(F.col(name), F.col(f"p_{name}")).alias(name)
+    return both.select(
+        "ticket_id", F.coalesce("p_opened_at", "opened_at").alias("opened_at"), either("category"), either("team"), either("status"),
+        kept("closed_at", "closed_or_reopened").alias("closed_at"), kept("resolution", "was_resolved").alias("resolution"),
+        kept("duplicate_ref", "was_duplicate").alias("duplicate_ref"),
+        (F.col("hops") + F.coalesce("p_hops", F.lit(0))).alias("hops"), "last_event_id")
+
+
+def intake(arrivals: DataFrame, scored: DataFrame, last_id: int, first_event_id: int,
+           abstain_below: float = fixed.ABSTAIN_BELOW, first_line: str = fixed.FIRST_LINE) -> tuple[DataFrame, DataFrame]:
+    """New tickets opened with the suggested team; a weak suggestion goes to the first line, and a
+    ticket without scores is opened all the same. Returns (tickets, events).
+
+    Arrivals: ord, at, subject, description, requester. Scored: ord, category, team, confidence.
+    """
+    written = arrivals.where((F.trim(F.coalesce("subject", F.lit(""))) != "") | (F.trim(F.coalesce("description", F.lit(""))) != ""))
+    weak = F.coalesce(F.col("confidence") < abstain_below, F.lit(False))
+    triaged = written.join(scored.withColumnRenamed("team", "proposed"), "ord", "left").withColumns({
+        "abstained": weak, "team": F.when(weak, F.lit(first_line)).otherwise(F.col("proposed")),
+        "actor": F.coalesce(blank_to_null(F.col("requester")), F.lit("requester")), "arm": F.lit("B")})
+    opened = open_tickets(triaged, last_id)
+    detail = F.when(F.col("abstained"), F.concat(
+        F.lit("abstained at "), F.col("confidence").cast("string"), F.lit(" -- would have said "), F.col("proposed"),
+        F.lit("; sent to the first line instead")))
+    step = lambda n, kind, actor, text: F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), actor.alias("actor"), text.alias("detail"))
+    none = F.lit(None).cast("string")
+    steps = F.explode(F.array(step(0, "opened", F.col("actor"), none), step(1, "suggested", F.lit("model"), detail))).alias("s")
+    events = opened.select("*", steps).select(
+        ((F.col("id") - F.lit(last_id + 1)) * 2 + F.col("s.n") + F.lit(first_event_id)).alias("event_id"),
+        F.col("id").alias("ticket_id"), "at", "s.kind", F.col("s.actor").alias("actor"), F.col("team").alias("to_team"),
+        "category", "confidence", F.col("s.detail").alias("detail"))
+    return opened, events
 
 
 def current_state(events: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
