@@ -313,38 +313,50 @@ _RATE = "CASE " + " ".join(f"WHEN score >= {floor} THEN {rate}::DOUBLE" for floo
 _FLOOR = "CASE " + " ".join(f"WHEN score >= {floor} THEN {floor}::DOUBLE" for floor, _, _ in fixed.APPLICABILITY) + " ELSE 0.0 END"
 
 
-@query("applicability_band", with_ctes(RK, f"""
+DRK = [*DOCS, ("rk", f"""SELECT l.*, a.lang AS query_pid, b.lang AS candidate_pid FROM (SELECT *, {_RANK} AS rank FROM lsim) l
+  JOIN documents a ON a.doc_id = query_id JOIN documents b ON b.doc_id = candidate_id WHERE rank <= 5""")]
+
+
+def ranked_lexical(spark, sf):
+    """Closest documents by their words; a candidate counts as relevant when the language agrees."""
+    queries, corpus, _ = lexical_sides(spark, sf)
+    lang = lambda side: table(spark, sf, "documents").select(F.col("doc_id").alias(f"{side}_id"), F.col("lang").alias(f"{side}_pid"))
+    ranked = R.lexical_topk(queries, corpus, fixed.SHOW_MATCHES, "doc_id")
+    return ranked.join(lang("query"), "query_id").join(lang("candidate"), "candidate_id")
+
+
+@query("applicability_band", with_ctes(DRK, f"""
 SELECT query_id, rank, {_BAND} AS band, {_RATE} AS observed_transfer_rate, {_FLOOR} AS floor FROM rk"""))
 def applicability_band(spark, sf):
-    return R.bands(ranked_semantic(spark, sf)).select("query_id", "rank", "band", "observed_transfer_rate", "floor")
+    return R.bands(ranked_lexical(spark, sf)).select("query_id", "rank", "band", "observed_transfer_rate", "floor")
 
 
-@query("threshold_flags", with_ctes(RK, """
+@query("threshold_flags", with_ctes(DRK, """
 SELECT query_id, rank, score < 0.5 AS weak, round(score, 4) >= 0.7 AS can_resolve,
   rank = 1 AND round(score, 4) >= 0.5 AS strong_match, rank = 1 AND round(score, 4) >= 0.85 AS duplicate FROM rk"""))
 def threshold_flags(spark, sf):
-    return R.threshold_flags(ranked_semantic(spark, sf)).select("query_id", "rank", "weak", "can_resolve", "strong_match", "duplicate")
+    return R.threshold_flags(ranked_lexical(spark, sf)).select("query_id", "rank", "weak", "can_resolve", "strong_match", "duplicate")
 
 
-@query("duplicate_flag", with_ctes(RK, """
+@query("duplicate_flag", with_ctes(DRK, """
 SELECT query_id, candidate_id AS duplicate_of FROM rk WHERE rank = 1 AND round(score, 4) >= 0.80"""))
 def duplicate_flag(spark, sf):
-    flagged = R.threshold_flags(ranked_semantic(spark, sf), duplicate=fixed.DUPLICATE_LEXICAL)
+    flagged = R.threshold_flags(ranked_lexical(spark, sf), duplicate=fixed.DUPLICATE_LEXICAL)
     return flagged.where("duplicate").select("query_id", F.col("candidate_id").alias("duplicate_of"))
 
 
-@query("transfer_rate_by_band", with_ctes(RK, f"""
+@query("transfer_rate_by_band", with_ctes(DRK, f"""
 SELECT {_BAND} AS band, {_FLOOR} AS floor, count(*) AS n, round(avg(CASE WHEN query_pid = candidate_pid THEN 1.0 ELSE 0.0 END), 4) AS transfer_rate
 FROM rk WHERE rank = 1 GROUP BY 1, 2"""))
 def transfer_rate_by_band(spark, sf):
-    return R.transfer_rate_by_band(ranked_semantic(spark, sf))
+    return R.transfer_rate_by_band(ranked_lexical(spark, sf))
 
 
-@query("duplicate_precision", with_ctes(RK, """
+@query("duplicate_precision", with_ctes(DRK, """
 SELECT count(*) AS flagged, round(avg(CASE WHEN query_pid = candidate_pid THEN 1.0 ELSE 0.0 END), 4) AS precision
-FROM rk WHERE rank = 1 AND round(score, 4) >= 0.5"""))
+FROM rk WHERE rank = 1 AND round(score, 4) >= 0.85"""))
 def duplicate_precision(spark, sf):
-    return R.duplicate_precision(ranked_semantic(spark, sf), 0.5)
+    return R.duplicate_precision(ranked_lexical(spark, sf))
 
 
 # ---------------------------------------------------------------- fixes

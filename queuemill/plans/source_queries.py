@@ -152,32 +152,35 @@ def intake(spark, sf):
 @query("stream_decision_summary", with_ctes(V.LOG, DQ.SUMMARY))
 def stream_decision_summary(spark, sf):
     path, out = logged_decisions(spark, sf), fresh_path(spark, "summary")
-    stream = J.read_stream(spark, path, IO.DECISION_SCHEMA, files_per_batch=2).where(F.col("decision_id").isNotNull() & F.col("team_overridden").isNotNull())
+    stream = J.read_stream(spark, path, IO.DECISION_SCHEMA, files_per_batch=2)
     J.stream_decision_summary(stream, out, fresh_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(out)
 
 
 @query("stream_ticket_state", with_ctes(V.QUEUE, "SELECT id AS ticket_id, team, status, category, closed_at, resolution, hops, last_event_id FROM st"))
 def stream_ticket_state(spark, sf):
-    path, log = fresh_path(spark, "events"), fresh_path(spark, "state")
+    path, log, checkpoint = (fresh_path(spark, t) for t in ("events", "state", "checkpoint"))
     events = V.ticket_events(spark, sf)
-    bounds = [r[0] for r in events.agg(F.percentile("event_id", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")).select(F.explode("q")).collect()]
-    edges = [float("-inf"), *bounds, float("inf")]
-    for low, high in zip(edges, edges[1:]):   # three deliveries, in order
-        events.where((F.col("event_id") > low) & (F.col("event_id") <= high)).coalesce(1).write.mode("append").parquet(path)
-    stream = J.read_stream(spark, path, events.schema, "parquet")
-    J.stream_ticket_state(stream, log, fresh_path(spark, "checkpoint")).awaitTermination()
+    for part in deliveries(events, "event_id"):
+        part.write.mode("append").parquet(path)
+        # The stream is stopped after each delivery and goes on from its checkpoint.
+        stream = J.read_stream(spark, path, events.schema, "parquet")
+        J.stream_ticket_state(stream, log, checkpoint).awaitTermination()
     return J.latest_state(J.state_log(spark, log)).select("ticket_id", "team", "status", "category", "closed_at", "resolution", "hops", "last_event_id")
 
 
 @query("stream_intake", INTAKE)
 def stream_intake(spark, sf):
-    path, opened, events = (fresh_path(spark, t) for t in ("arrivals", "opened", "intake-events"))
-    incoming = arrivals(spark, sf)
-    middle = incoming.agg(F.percentile("ord", F.lit(0.5))).first()[0]
-    for part in (incoming.where(F.col("ord") <= middle), incoming.where(F.col("ord") > middle)):
-        part.coalesce(1).write.mode("append").parquet(path)
-    scored = triage(spark, sf)
-    stream = J.read_stream(spark, path, incoming.schema, "parquet")
-    J.stream_intake(stream, lambda batch: scored, opened, events, fresh_path(spark, "checkpoint"), 100, 0, 0.2).awaitTermination()
+    path, opened, events, checkpoint = (fresh_path(spark, t) for t in ("arrivals", "opened", "intake-events", "checkpoint"))
+    incoming, scored = arrivals(spark, sf), triage(spark, sf)
+    for part in deliveries(incoming, "ord"):
+        part.write.mode("append").parquet(path)
+        stream = J.read_stream(spark, path, incoming.schema, "parquet")
+        J.stream_intake(stream, lambda batch: scored, opened, events, checkpoint, 100, 0, 0.2).awaitTermination()
     return _events_shown(spark.read.parquet(events))
+
+
+def deliveries(df, order):
+    """The whole table in two parts, one after the other."""
+    middle = df.agg(F.percentile_approx(order, F.lit(0.5))).first()[0]
+    return df.where(F.col(order) <= middle), df.where(F.col(order) > middle)

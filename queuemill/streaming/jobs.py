@@ -9,14 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from queuemill.operators import decisions as D
 from queuemill.operators import lifecycle as L
 from queuemill.sources.io import is_missing
 
 
-def read_stream(spark: SparkSession, path: str, schema, kind: str = "json", files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(kind).load(path)
+def read_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "json", files_per_batch: int = 1000) -> DataFrame:
+    """Files as they arrive; half-written JSON lines are skipped as in the batch scan."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch).format(kind)
+    if kind != "json":
+        return reader.schema(schema).load(path)
+    with_bad = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
+    return reader.schema(with_bad).load(path).where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
 def start(stream: DataFrame, each_batch, checkpoint: str, mode: str = "append") -> StreamingQuery:
