@@ -317,10 +317,12 @@ def lsa_vectors(fit_rows: DataFrame, rows: DataFrame, size: int, dims: int = fix
     The decomposition runs on the distributed matrix; the term side has at most MAX_TERMS x dims
     numbers, which bounds what is sent to the tasks that project rows.
     """
-    from pyspark.mllib.linalg import Vectors as OldVectors
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
     dims = max(1, min(dims, size - 1))
-    matrix = RowMatrix(fit_rows.select("idx", "val").rdd.map(lambda r: OldVectors.sparse(size, r.idx, r.val)))
+    # Every pass of the solver reads these rows again: they are stored once as vectors for the JVM.
+    stored = materialise(fit_rows.select(sparse_vector(size)("idx", "val").alias("v")), "svd-rows")
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(stored, "v"))
     svd = matrix.computeSVD(dims, computeU=False)
     terms = svd.V.toArray()
 
