@@ -15,14 +15,14 @@ from queuemill.runtime import blank_to_null, present
 
 def text_shape(subject: Column, description: Column) -> Column:
     """log1p of words, characters and subject words, then three yes/no marks."""
-    whole = T.raw_text(subject, description)
-    return F.array(
+    subject_words = F.log1p(T.token_count(subject).cast("double"))
+    return bind(T.raw_text(subject, description), lambda whole: F.array(
         F.log1p(T.token_count(whole).cast("double")),
         F.log1p(F.length(whole).cast("double")),
-        F.log1p(T.token_count(subject).cast("double")),
-        whole.rlike(r"\?").cast("double"),
+        subject_words,
+        F.contains(whole, F.lit("?")).cast("double"),
         whole.rlike(r"(?U)\d").cast("double"),
-        whole.rlike("(?i)" + fixed.URGENT).cast("double"))
+        whole.rlike("(?i)" + fixed.URGENT).cast("double")))
 
 
 def time_features(created: Column) -> Column:

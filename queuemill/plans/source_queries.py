@@ -113,8 +113,8 @@ def event_tables(spark, sf):
 # ---------------------------------------------------------------- intake
 
 ARRIVALS = [V.VECTORS, SQ.SCORES, SQ.NORM, ("sb", SQ.best_sql("(SELECT * FROM ns WHERE model = 'm0')")), ("it", """
-SELECT vec_id AS ord, 101 + vec_id AS id, predicted AS category, round(confidence, 4) AS confidence, 'team_' || (substring(predicted, 5)::BIGINT % 7) AS proposed,
-  coalesce(round(confidence, 4) < 0.2, false) AS abstained
+SELECT vec_id AS ord, 101 + vec_id AS id, predicted AS category, round(round(confidence, 9), 4) AS confidence, 'team_' || (substring(predicted, 5)::BIGINT % 7) AS proposed,
+  coalesce(round(round(confidence, 9), 4) < 0.2, false) AS abstained
 FROM (SELECT vec_id FROM vx) LEFT JOIN (SELECT * FROM sb WHERE ticket_id % 19 <> 0) ON ticket_id = vec_id""")]
 INTAKE = with_ctes(ARRIVALS, f"""
 SELECT id * 2 - 202 + n AS event_id, id AS ticket_id, kind, CASE WHEN abstained THEN '{fixed.FIRST_LINE}' ELSE proposed END AS to_team, category, confidence,
@@ -133,7 +133,7 @@ def triage(spark, sf):
     """Suggestions for most arrivals; the rest stay without one."""
     normal = VO.normalised(SQ.scores(spark, sf).where("model = 'm0' AND ticket_id % 19 <> 0"), [*SQ.KEYS, "model"])
     best = VO.argmax_class(normal, ["ticket_id"])
-    return best.select(F.col("ticket_id").alias("ord"), F.col("predicted").alias("category"), rounded(F.col("confidence"), 4).alias("confidence"),
+    return best.select(F.col("ticket_id").alias("ord"), F.col("predicted").alias("category"), rounded(rounded(F.col("confidence"), 9), 4).alias("confidence"),
                        F.concat(F.lit("team_"), (F.substring("predicted", 5, 9).cast("long") % 7).cast("string")).alias("team"))
 
 

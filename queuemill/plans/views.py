@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuemill.functions.scalars import overridden
-from queuemill.runtime import table
+from queuemill.runtime import spread, table
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -27,7 +27,7 @@ def _team(number) -> F.Column:
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     number = F.regexp_extract("source", r"(\d+)", 1).cast("long")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         d.alias("ord"),
         F.concat(F.lit("MU-"), (d + 100001).cast("string")).alias("ticket_id"),
         F.when(d % 101 == 0, "Test ticket")
@@ -122,7 +122,7 @@ HOLDING = ("opened", "assigned", "referred", "settled")
 
 
 def ticket_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "events")
+    raw = spread(table(spark, sf_dir, "events"))
     first = raw.groupBy("user_id").agg(F.min("event_id").alias("first_id"))
     k, e, kind = _k(), F.col("event_id"), F.col("event_type")
     named = (F.when(e == F.col("first_id"), "opened")
@@ -196,7 +196,7 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = (F.when(kind == "purchase", "refer").when(kind == "signup", "assign")
               .when(kind == "click", "note").when(kind == "view", "escalate")
               .when(e % 3 == 0, "resolve").when(e % 3 == 1, "duplicate").otherwise("reopen"))
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         e.alias("command_id"), F.date_format("ts", STAMP).alias("at"),
         F.when(e % 13 == 0, "MU-9999999").when(e % 2 == 0, F.col("user_id").cast("string"))
         .otherwise(F.format_string("MU-%04d", "user_id")).alias("ref"),
@@ -231,7 +231,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.least(F.col("value") / 500, F.lit(1.0)) / 2
     follow = lambda value, step: F.when(e % 5 == 0, step).when(e % 5 != 1, value)
     words = F.concat(F.lit("printer on floor "), k.cast("string"), F.lit(" shows an error"))
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         e.alias("decision_id"), F.date_format("ts", STAMP).alias("at"),
         F.when(e % 2 == 0, "A").otherwise("B").alias("arm"),
         F.when(e % 7 != 0, F.format_string("MU-%04d", "user_id")).alias("db_ref"),

@@ -56,6 +56,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Row-heavy work on one small file would use one thread of a local session; a cluster's tables
+    lie in more files than it has cores and are read as they are."""
+    context = df.sparkSession.sparkContext
+    return df.repartition(context.defaultParallelism) if context.master.startswith("local") else df
+
+
 def rounded(value: Column, digits: int = 6) -> Column:
     """Half-up rounding without a negative zero."""
     return F.round(value.cast("double"), digits) + F.lit(0.0)
