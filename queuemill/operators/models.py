@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier)
@@ -26,6 +27,7 @@ from queuemill.operators import retrieval as R
 from queuemill.operators import sampling as SA
 from queuemill.operators import votes as VO
 from queuemill.operators.features import literal_array
+from queuemill.operators.similarity import list_values
 from queuemill.runtime import fresh_path, materialise, rounded
 
 PROBABILITY, MARGIN = "probability", "margin"
@@ -311,20 +313,53 @@ def tune_k(train: DataFrame, labels: list[str], grid=fixed.KNN_GRID, key: str =
 
 # ---------------------------------------------------------------- latent semantic vectors
 
+SLICE = 256      # rows multiplied at a time inside a task
+POWER_PASSES = 4
+
+
+def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """(X'X) basis in one pass: every task returns one matrix of bounded size, summed in a tree."""
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+
+    def run(batches):
+        q = shared.value
+        out, any_rows = np.zeros_like(q), False
+        for batch in batches:
+            offsets, index = list_values(batch.column("idx"))
+            values = list_values(batch.column("val"))[1]
+            for low in range(0, batch.num_rows, SLICE):
+                high = min(low + SLICE, batch.num_rows)
+                part = slice(offsets[low], offsets[high])
+                terms, place = np.unique(index[part], return_inverse=True)
+                x = np.zeros((high - low, len(terms)))
+                x[np.repeat(np.arange(high - low), np.diff(offsets[low:high + 1])), place] = values[part]
+                out[terms] += x.T @ (x @ q[terms])
+                any_rows = True
+        if any_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["z"])
+
+    partial = rows.select("idx", "val").mapInArrow(run, "z binary").rdd.map(lambda r: np.frombuffer(r.z).reshape(basis.shape))
+    return partial.treeReduce(np.add, depth=3)
+
+
+def term_basis(rows: DataFrame, size: int, dims: int, seed: int = fixed.SEED) -> np.ndarray:
+    """Leading right singular vectors of the rows by subspace iteration: a handful of passes over
+    the data whatever the number of dimensions."""
+    width = min(size, dims + 10)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
+    for _ in range(POWER_PASSES):
+        basis = np.linalg.qr(_gram_times(rows, basis))[0]
+    values, turn = np.linalg.eigh(basis.T @ _gram_times(rows, basis))
+    return basis @ turn[:, np.argsort(-values)[:dims]]
+
+
 def lsa_vectors(fit_rows: DataFrame, rows: DataFrame, size: int, dims: int = fixed.LSA_DIMS) -> tuple[DataFrame, float]:
     """Sparse TF-IDF rows (key columns, idx, val) to unit vectors of `dims`; explained variance share.
 
-    The decomposition runs on the distributed matrix; the term side has at most MAX_TERMS x dims
-    numbers, which bounds what is sent to the tasks that project rows.
+    The term side has at most MAX_TERMS x (dims + 10) numbers, which bounds what is broadcast.
     """
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
     dims = max(1, min(dims, size - 1))
-    # Every pass of the solver reads these rows again: they are stored once as vectors for the JVM.
-    stored = materialise(fit_rows.select(sparse_vector(size)("idx", "val").alias("v")), "svd-rows")
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(stored, "v"))
-    svd = matrix.computeSVD(dims, computeU=False)
-    terms = svd.V.toArray()
+    terms = term_basis(fit_rows, size, dims)
 
     def project(batches):
         for pdf in batches:
@@ -336,7 +371,8 @@ def lsa_vectors(fit_rows: DataFrame, rows: DataFrame, size: int, dims: int = fix
     kept = [f for f in rows.schema.fields if f.name not in ("idx", "val")]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", raw array<double>, lsa array<double>"
     projected = rows.mapInPandas(project, ddl)
-    return projected.drop("raw"), explained_variance(projected, fit_rows)
+    fitted = fit_rows.select("idx", "val").mapInPandas(project, "raw array<double>, lsa array<double>")
+    return projected.drop("raw"), explained_variance(fitted, fit_rows)
 
 
 def explained_variance(projected: DataFrame, fit_rows: DataFrame) -> float:

@@ -46,7 +46,7 @@ def dense_corpus(df: DataFrame, key: str, vector: str, scope: str | None = None)
 
 # ---------------------------------------------------------------- numpy helpers inside tasks
 
-def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+def list_values(column) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and flat values of a list column."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(array, pa.ChunkedArray):
@@ -60,9 +60,9 @@ class _Rows:
     """Vectors of one Arrow table: flat values with offsets, and term indices when sparse."""
 
     def __init__(self, table):
-        self.offsets, self.values = _lists(table.column("val"))
+        self.offsets, self.values = list_values(table.column("val"))
         self.sparse = table.column("idx").null_count < table.num_rows
-        self.index = _lists(table.column("idx"))[1] if self.sparse else None
+        self.index = list_values(table.column("idx"))[1] if self.sparse else None
         self.n = table.num_rows
 
     def norms(self):

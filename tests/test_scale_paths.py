@@ -111,3 +111,13 @@ def test_out_of_fold_rows_are_not_in_their_own_fit(spark):
     scores = MO.oof_scores("Logistic Regression", rows.select("id", "label", "features", "fold"), C=1.0, max_iter=10)
     seen = scores.where("id < 100").select((F.col("id") % 2).cast("string").alias("own"), "class").distinct().collect()
     assert seen and all(r["class"] != f"only{r.own}" for r in seen)
+
+
+def test_term_basis_spans_the_leading_singular_vectors(spark):
+    from queuemill.operators import models as MO
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(80, 5)) * [9, 7, 5, 3, 1]) @ rng.normal(size=(5, 20)) + 0.01 * rng.normal(size=(80, 20))
+    rows = spark.createDataFrame([(list(range(20)), v.tolist()) for v in x], "idx array<int>, val array<double>").repartition(3)
+    basis = MO.term_basis(rows, 20, 4)
+    want = np.linalg.svd(x)[2][:4].T
+    assert np.allclose(np.linalg.svd(basis.T @ want)[1], 1.0, atol=1e-6)
