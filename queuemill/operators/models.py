@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queuemill import fixed
+from queuemill.functions import vectors as VX
 from queuemill.operators import metrics as M
 from queuemill.operators import retrieval as R
 from queuemill.operators import sampling as SA
@@ -181,7 +182,7 @@ def select_head(rows: DataFrame, candidates: dict[str, list[dict]], done_path: s
         pending = list(candidates)
     for name in pending:
         settings = candidates[name]
-        scores = cv_scores(name, rows, settings)
+        scores = knn_cv_scores(rows, [one["n_neighbors"] for one in settings]) if name == KNN else cv_scores(name, rows, settings)
         best = max(range(len(settings)), key=lambda i: (scores[i], -i))
         spark.createDataFrame([(list(candidates).index(name), name, str(settings[best]), scores[best])], schema).write.mode("append").parquet(path)
     every = spark.read.schema(schema).parquet(path)
@@ -257,7 +258,6 @@ def cascade(train: DataFrame, test: DataFrame, upstream: str = "Logistic Regress
     met in training. Rows: id, category, team, features, vec, fold.
     """
     from queuemill.operators.features import ContextBlocks
-    from queuemill.functions import vectors as VX
     labelled = train.withColumnRenamed("category", "label")
     oof = materialise(oof_scores(upstream, labelled.select("id", "label", "features", "fold")), "oof")
     model = fit(upstream, labelled.select("label", "features"))
@@ -288,21 +288,27 @@ def learning_runs(train: DataFrame, test: DataFrame, head: str, fractions=fixed.
 
 # ---------------------------------------------------------------- neighbours
 
-def tune_k(train: DataFrame, labels: list[str], grid=fixed.KNN_GRID, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """One k for all labels: mean macro F1 over folds and labels; the first best is marked.
+KNN = "k-NN (cosine)"
 
-    Each fold is searched once for the largest k, smaller ones are read from its ranks.
-    """
+
+def _fold_neighbours(train: DataFrame, labels: list[str], k: int, key: str, vector: str) -> DataFrame:
+    """The k nearest rows outside a row's own fold, each fold searched once, with labels of both."""
     folds = sorted(r.fold for r in train.select("fold").distinct().collect())
     facts = [F.col(key).alias("candidate_id"), *[F.col(c) for c in labels]]
     own = [F.col(key).alias("query_id"), "fold", *[F.col(c).alias(f"true_{c}") for c in labels]]
-    found = []
-    for f in folds:
-        rest = train.where(F.col("fold") != f)
-        found.append(R.semantic_topk(train.where(F.col("fold") == f), rest, max(grid), key, vector))
+    found = [R.semantic_topk(train.where(F.col("fold") == f), train.where(F.col("fold") != f), k, key, vector) for f in folds]
     near = reduce(lambda a, b: a.unionByName(b), found)
-    near = materialise(near.join(train.select(*facts), "candidate_id").join(train.select(*own), "query_id"), "tune-k")
-    tagged = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in grid]))).where(F.col("rank") <= F.col("k"))
+    return materialise(near.join(train.select(*facts), "candidate_id").join(train.select(*own), "query_id"), "fold-neighbours")
+
+
+def _every_k(near: DataFrame, grid) -> DataFrame:
+    """Smaller neighbourhoods are read from the ranks of the largest."""
+    return near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in grid]))).where(F.col("rank") <= F.col("k"))
+
+
+def tune_k(train: DataFrame, labels: list[str], grid=fixed.KNN_GRID, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """One k for all labels: mean macro F1 over folds and labels; the first best is marked."""
+    tagged = _every_k(_fold_neighbours(train, labels, max(grid), key, vector), grid)
     voted = [VO.knn_vote(tagged, c, ("k", "fold", "query_id", f"true_{c}")).select(
         "k", "fold", F.lit(c).alias("what"), F.col(f"true_{c}").alias("actual"), "predicted") for c in labels]
     stacked = reduce(lambda a, b: a.unionByName(b), voted)
@@ -311,6 +317,18 @@ def tune_k(train: DataFrame, labels: list[str], grid=fixed.KNN_GRID, key: str =
     return scores.withColumn("selected", first == 1)
 
 
+def knn_cv_scores(rows: DataFrame, grid: list[int], key: str = "id", vector: str = "vec") -> list[float]:
+    """Mean macro F1 over the folds per k, votes weighted by inverse distance."""
+    unit = rows.select(key, "label", "fold", VX.unit(VX.doubles(F.col(vector))).alias(vector))
+    tagged = _every_k(_fold_neighbours(unit, ["label"], max(grid), key, vector), grid)
+    scores = VO.knn_scores(tagged, "label", ("k", "fold", "query_id", "true_label"))
+    order = F.struct((-F.round("score", VO.TIE_DIGITS)).alias("s"), "class")
+    best = scores.groupBy("k", "fold", "query_id", F.col("true_label").alias("actual")).agg(F.min(order)["class"].alias("predicted"))
+    means = M.clf_metrics(best, ["k", "fold"], 12).groupBy("k").agg(F.avg("f1_macro").alias("f1")).collect()
+    by_k = {r.k: float(r.f1) for r in means}
+    return [by_k[k] for k in grid]
+
+
 # ---------------------------------------------------------------- latent semantic vectors
 
 SLICE = 256      # rows multiplied at a time inside a task

@@ -110,14 +110,14 @@ def cascade_join(tickets: DataFrame, scores: DataFrame, key: str) -> DataFrame:
     return tickets.join(score_block(scores, key), key)
 
 
-def knn_scores(neighbours: DataFrame, label: str = "label") -> DataFrame:
+def knn_scores(neighbours: DataFrame, label: str = "label", keys: tuple = ("query_id",)) -> DataFrame:
     """Votes by inverse distance; exact matches, where there are any, take the whole vote."""
     exact = F.col("score") >= 1.0
-    per = neighbours.groupBy("query_id", F.col(label).alias("class")).agg(
+    per = neighbours.groupBy(*keys, F.col(label).alias("class")).agg(
         F.sum(F.when(~exact, 1.0 / (1.0 - F.col("score")))).alias("near"), F.count_if(exact).alias("exact"))
-    totals = per.groupBy("query_id").agg(F.sum("near").alias("all_near"), F.sum("exact").alias("all_exact"))
+    totals = per.groupBy(*keys).agg(F.sum("near").alias("all_near"), F.sum("exact").alias("all_exact"))
     share = F.when(F.col("all_exact") > 0, F.col("exact") / F.col("all_exact")).otherwise(F.try_divide("near", "all_near"))
-    return per.join(totals, "query_id").select("query_id", "class", F.coalesce(share, F.lit(0.0)).alias("score"))
+    return per.join(totals, list(keys)).select(*keys, "class", F.coalesce(share, F.lit(0.0)).alias("score"))
 
 
 def knn_vote(neighbours: DataFrame, label: str, keys: tuple = ("query_id",)) -> DataFrame:
