@@ -20,7 +20,7 @@ def examples(spark, sf):
 
 
 def held(spark, sf):
-    """The store as it was before mid-June: earlier examples."""
+    """The store as it was in mid-January: the earlier examples."""
     return examples(spark, sf).where("at < '2024-01-15'")
 
 
