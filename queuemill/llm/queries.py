@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from queuemill.llm import byte_bpe, sharding, substring_dedup, url_rules
+from queuemill.llm import byte_bpe, ngram_join, sharding, substring_dedup, url_rules
 from queuemill.runtime import table
 
 QUERIES: dict = {}
@@ -48,6 +48,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest_kept(substring_dedup.deduplicate(table(spark, sf_dir, "documents"), 20))
 
 
+@query("op7_ngram_join")
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_groups(table(spark, sf_dir, "documents"), 4, 85)
+
+
 @query("op9_sharding")
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
