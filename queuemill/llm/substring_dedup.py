@@ -2,7 +2,7 @@
 
 A window is `width` consecutive words of one document. Its minimiser is the least digest of the runs of MMER words in it.
 Consecutive windows with one minimiser form a super-k-mer and travel together, as one packed string of words, to the
-bucket of that minimiser; equal windows have equal minimisers, so each bucket can count its windows alone, by sorting them.
+bucket of that minimiser (several to one compressed string); equal windows have equal minimisers, so each bucket can count its windows alone, by sorting them.
 In a bucket the first occurrence of a window stays (least document id, then least start) and every other one marks its
 words; marked words are removed from the documents.
 
@@ -28,6 +28,8 @@ from queuemill.llm.wordcodes import U, chunks, mix, pack, ranges, run_hashes, un
 from queuemill.runtime import materialise
 
 MMER = 4
+#: Bytes of text whose super-k-mers are packed together: larger pieces compress better.
+PIECE = 8_000_000
 #: What a packed string in a bucket holds.
 TRAVELS, MARKED = 0, 1
 
@@ -86,13 +88,13 @@ def _id_array(column: pa.Array) -> np.ndarray:
 def _split(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of (_id, text, _key) to packed strings of (bucket, kind, blob)."""
     for batch in batches:
-        for part in chunks(batch, 1):
+        for part in chunks(batch, 1, PIECE):
             ids, keys = _id_array(part.column(0)), part.column(2).to_numpy().astype(np.int64)
             words = words_of(part.column(1))
             at, n, least = super_kmers(words.hashes, words.docs, width)
             if not len(at):
                 continue
-            doc = words.docs[at]
+            doc, raw = words.docs[at], words.data.tobytes()
             start = at - words.first[doc]
             first, later = first_of_equal(run_hashes(words.hashes, at, n + width - 1), doc_ranks(ids, keys)[doc], start)
             out: list[tuple[int, int, bytes]] = []
@@ -100,8 +102,9 @@ def _split(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Itera
             order = np.flatnonzero(first)
             order = order[np.argsort(to[order], kind="stable")]
             for one in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                known, code = np.unique(words.hashes[ranges(at[one], n[one] + width - 1)], return_inverse=True)
-                out.append((int(to[one[0]]), TRAVELS, pack(ids[doc[one]], keys[doc[one]], start[one], n[one], known, code.astype(np.int64))))
+                begin, end = words.starts[at[one]].tolist(), words.ends[at[one] + n[one] + width - 2].tolist()
+                text = np.frombuffer(b" ".join([raw[a:b] for a, b in zip(begin, end)]), "S1")
+                out.append((int(to[one[0]]), TRAVELS, pack(ids[doc[one]], keys[doc[one]], start[one], n[one], text, level=3)))
             rest = np.flatnonzero(~first & later)
             if len(rest):
                 out.append((int(to[rest[0]]), MARKED, pack(ids[doc[rest]], keys[doc[rest]], start[rest], n[rest] + width - 1)))
@@ -133,7 +136,7 @@ def _count(table: pa.Table, width: int) -> pa.Table:
         else:
             for k in range(4):
                 runs[k].append(got[k])
-            runs[4].append(got[4][got[5]])
+            runs[4].append(words_of(pa.array([got[4].tobytes()], pa.binary()).cast(pa.string())).hashes)
     ids, keys, start, n, words = map(np.concatenate, runs)
     if len(ids):
         sizes = n + width - 1

@@ -24,6 +24,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=U)
 
 
+#: Bytes whose words are digested at a time.
+STEP = 500_000
+
+
 class Powers:
     """Powers of BASE and of its inverse, grown on demand."""
 
@@ -85,7 +89,11 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     stops = inside.copy()
     stops[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    hashes = run_hashes(data.astype(U), starts, ends - starts)
+    # In steps, as the sums take eight bytes for each byte of text.
+    step = np.searchsorted(starts, np.arange(0, len(data), STEP)).tolist() + [len(starts)]
+    hashes = np.concatenate([np.zeros(0, U)] + [
+        run_hashes(data[starts[a]:ends[b - 1]].astype(U), starts[a:b] - starts[a], ends[a:b] - starts[a:b])
+        for a, b in zip(step, step[1:]) if a < b])
     bounds = np.searchsorted(starts, offsets)
     counts = np.diff(bounds)
     return Words(hashes, np.repeat(np.arange(len(texts)), counts), bounds[:-1], counts, starts, ends, data)
@@ -108,7 +116,7 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed string; whole numbers are stored as narrow as they fit."""
     parts = [bytes([len(arrays)])]
     for x in arrays:
@@ -116,7 +124,7 @@ def pack(*arrays: np.ndarray) -> bytes:
             low, high = int(x.min()), int(x.max())
             x = x.astype(next((k for k in (np.uint8, np.uint16, np.uint32) if 0 <= low and high <= np.iinfo(k).max), np.int64))
         parts += [x.dtype.str.encode().ljust(4), len(x).to_bytes(8, "little"), x.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
