@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from queuemill.llm import byte_bpe, ngram_join, sharding, substring_dedup, toxicity, url_rules
+from queuemill.llm import byte_bpe, decontamination, ngram_join, sharding, substring_dedup, toxicity, url_rules
 from queuemill.runtime import table
 
 QUERIES: dict = {}
@@ -58,6 +58,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_groups(table(spark, sf_dir, "documents"), 4, 85)
 
 
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_sharding")
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
