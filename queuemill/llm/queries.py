@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from queuemill.llm import byte_bpe, decontamination, ngram_join, sharding, substring_dedup, toxicity, url_rules
+from queuemill.llm import byte_bpe, decontamination, ngram_join, page_wrappers, sharding, substring_dedup, toxicity, url_rules
 from queuemill.runtime import table
 
 QUERIES: dict = {}
@@ -32,6 +32,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op3_page_text")
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op5_url_rules", sql=f"""
 WITH rules(rhost, rpath, rverdict) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
 parts AS (
