@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from queuemill.llm import byte_bpe, decontamination, ngram_join, page_wrappers, sharding, substring_dedup, toxicity, url_rules
+from queuemill.llm import byte_bpe, decontamination, ngram_join, page_wrappers, pii, sharding, substring_dedup, toxicity, url_rules
 from queuemill.runtime import table
 
 QUERIES: dict = {}
@@ -15,6 +15,8 @@ SHARDS = 24
 #: (host, path, verdict): the fixed rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+#: A deployment passes its own secret.
+PSEUDONYM_KEY = "example key"
 TOKENS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -37,6 +39,11 @@ def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_wrappers.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 @query("op5_url_rules", sql=f"""
 WITH rules(rhost, rpath, rverdict) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
 parts AS (
