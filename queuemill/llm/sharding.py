@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from queuemill.runtime import materialise
+
 
 class Shard(NamedTuple):
     region: int
@@ -83,7 +85,8 @@ def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
     A shard may hold any share of all rows, so no window spans a shard: rows are cut into ranges along `order`, ranked in
     (range, shard), and the counts of the ranges before are added. Those counts are one row per range and shard.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    # Written once: cut again, the ranges could have other bounds, and ranks and counts would not fit together.
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "shard-ranges")
     inside = W.partitionBy("_range", "shard").orderBy(*order)
     ranked = ranged.withColumn("_inner", F.row_number().over(inside))
     sizes = ranged.groupBy("_range", "shard").agg(F.count(F.lit(1)).alias("_rows"))

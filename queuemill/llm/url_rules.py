@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from queuemill.runtime import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rule bounds are folded in blocks of at most about so many.
 BLOCK = 2048
@@ -51,8 +53,9 @@ def _segments(rules: DataFrame) -> DataFrame:
         F.struct(start.alias("key"), F.lit(1).alias("opens"), start.alias("of"), rule.alias("rule")),
         F.struct(closed.alias("key"), F.lit(0).alias("opens"), start.alias("of"), rule.alias("rule")))).alias("b")).select("b.*")
     parts = F.floor(F.monotonically_increasing_id() % F.lit(1 << 33) / F.lit(BLOCK))
-    ranged = (bounds.repartitionByRange("key", "of").sortWithinPartitions("key", "of")
-              .withColumn("_block", F.spark_partition_id() * F.lit(1 << 31) + parts))
+    # Written once: cut again, the ranges could have other bounds.
+    ranged = materialise(bounds.repartitionByRange("key", "of").sortWithinPartitions("key", "of")
+                         .withColumn("_block", F.spark_partition_id() * F.lit(1 << 31) + parts), "rule-bounds")
     blocks = ranged.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("key", "opens", "of", "rule"))).alias("_events"),
                                           F.min("key").alias("_low"))
     # Which rules are open where a block begins: begun in an earlier block, ended in this or a later one.
@@ -88,12 +91,12 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", default: s
     # Endings without rules need not ask; the whole host always does, so that every row has an answer.
     asked = (asked.join(hosts, "_ending", "left").where("_ruled OR _ending = host")
              .select(_key(F.col("_ending"), F.col("path")).alias("key"), "_id", "host", "path", "_n"))
-    segments = _segments(rules)
+    segments = materialise(_segments(rules), "rule-segments")
     sides = (asked.withColumn("_asks", F.lit(1)).withColumn("top", F.lit(None).cast(segments.schema["top"].dataType))
              .unionByName(segments.withColumn("_asks", F.lit(0)), allowMissingColumns=True))
     # Bounds sort before equal questions; the ids spread one hot URL over ranges.
     order = ["key", "_asks", "_id", "host"]
-    swept = sides.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    swept = materialise(sides.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "url-sweep")
     # A range without a bound of its own starts with the last one of the ranges before; one row per range.
     held = F.struct("top")
     last = swept.groupBy("_range").agg(F.max_by(held, F.when(F.col("_asks") == 0, F.struct("key"))).alias("_end"))
