@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from queuemill.llm import byte_bpe, decontamination, ngram_join, page_wrappers, pii, sharding, substring_dedup, toxicity, url_rules
+from queuemill.llm import byte_bpe, decontamination, ngram_join, page_wrappers, pii, sharding, spotsigs, substring_dedup, toxicity, url_rules
 from queuemill.runtime import table
 
 QUERIES: dict = {}
@@ -34,6 +34,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_spotsigs")
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op3_page_text")
 def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_wrappers.extract(table(spark, sf_dir, "pages"))
