@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queuemill.llm.wordcodes import U, chunks, mix, run_hashes, text_bytes
+from queuemill.runtime import materialise
 
 WIDTH, PLAIN, SHORTEST = 12, 6, 5
-#: Windows of a benchmark that may be sent to the tasks; larger ones are joined by a shuffle.
+#: Windows of a benchmark (or digests of matched texts) that may be sent to the tasks; more are joined by a shuffle.
 SENT_WINDOWS = 2_000_000
 UNITS = """mm cm m km in ft yd mi mile miles inch inches foot feet meter meters metre metres g kg mg lb lbs oz ton tons gram grams
 s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years
@@ -152,6 +153,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that match no item; rows without an id stay unless one of them matches."""
-    hits = contaminations(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    """The documents that match no item. Texts are told apart by their digest, whatever their ids are."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    hits = materialise(contaminations(texts, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
+    hits = F.broadcast(hits) if hits.count() <= SENT_WINDOWS else hits
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"))       # so that no name can clash
+    return rows.join(hits, F.xxhash64("_doc.text") == F.col("_hit"), "left_anti").select("_doc.*")

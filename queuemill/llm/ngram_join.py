@@ -25,6 +25,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queuemill.llm.components import components
@@ -310,3 +311,17 @@ def link_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     return (sizes.join(labels, "doc_id", "left")
             .select(F.nullif("doc_id", null_id).alias("doc_id"), F.col("n").alias("n_shingles"),
                     F.nullif(F.coalesce("component", F.col("doc_id")), null_id).alias("component_id")))
+
+
+def keep_one(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of every group the document with the smallest id, and every document without words, with all columns.
+
+    Documents without an id are told apart by their text. Of rows that share an id one stays.
+    """
+    own = F.coalesce("doc_id", -F.shiftrightunsigned(F.xxhash64("text"), 1) - 1)
+    # The row travels as one column, so that no name of its own can clash.
+    named = docs.select(own.alias("_own"), F.struct(*docs.columns).alias("_doc"))
+    groups = link_groups(named.select(F.col("_own").alias("doc_id"), F.col("_doc.text").alias("text")), n, percent)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_own")).distinct()
+    first = F.row_number().over(W.partitionBy("_own").orderBy("_doc.text"))
+    return named.join(stay, "_own", "left_semi").withColumn("_row", first).where("_row = 1").select("_doc.*")

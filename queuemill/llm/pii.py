@@ -215,7 +215,8 @@ def _rebuilt() -> Column:
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """The rows of `docs` with pseudonyms in `text`."""
-    return _matches(docs, key).withColumn("text", _rebuilt()).select(*docs.columns)
+    rows = _matches(docs.select("text", F.struct(*docs.columns).alias("_doc")), key)       # so that no name can clash
+    return rows.select(*[_rebuilt().alias("text") if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, key: str) -> DataFrame:

@@ -148,26 +148,39 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model({f: float(w[k]) for f, k in known.items()}, float(w[-1]))
 
 
+def scores_of(texts: list[str | None], model: Model, cache: dict[str, tuple[str, ...]]) -> list[float]:
+    """`cache` has the model's features of words met before."""
+    weights, scores = model.weights, []
+    for text in texts:
+        found: set[str] = set()
+        for word in words_in(text or ""):
+            own = cache.get(word)
+            if own is None:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                own = cache[word] = tuple(f for f in features_of(word) if f in weights)
+            if own:
+                found.update(own)
+        # Summed in a fixed order, so that equal texts have equal scores.
+        scores.append(float(_sigmoid(np.array(sum((weights[f] for f in sorted(found)), model.intercept)))))
+    return scores
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, score)."""
     cache: dict[str, tuple[str, ...]] = {}
-    weights = model.weights
     for batch in batches:
         for part in chunks(batch, 1):
-            scores = []
-            for text in part.column(1).to_pylist():
-                found: set[str] = set()
-                for word in words_in(text or ""):
-                    own = cache.get(word)
-                    if own is None:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        own = cache[word] = tuple(f for f in features_of(word) if f in weights)
-                    if own:
-                        found.update(own)
-                # Summed in a fixed order, so that equal texts have equal scores.
-                scores.append(float(_sigmoid(np.array(sum((weights[f] for f in sorted(found)), model.intercept)))))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores_of(part.column(1).to_pylist(), model, cache), pa.float64())],
+                                             names=["doc_id", "score"])
+
+
+def _keep(batches: Iterator[pa.RecordBatch], model: Model, text: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows, with all their columns, that score below the threshold."""
+    cache: dict[str, tuple[str, ...]] = {}
+    for batch in batches:
+        for part in chunks(batch, text):
+            yield part.filter(pa.array([s < threshold for s in scores_of(part.column(text).to_pylist(), model, cache)], pa.bool_()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -181,3 +194,10 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     """doc_id, held_out, score, predicted."""
     return score(docs, train(docs, labels)).select(
         "doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The documents that aren't predicted toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    text = docs.columns.index("text")
+    return docs.mapInArrow(lambda batches: _keep(batches, shared.value, text, threshold), docs.schema)
