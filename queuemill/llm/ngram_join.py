@@ -283,13 +283,15 @@ def _join_sets(table: pa.Table, n: int, percent: int) -> pa.Table:
 def link_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest document id reachable by links), one row per document."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Many buckets for the n-grams of all texts; few for what is left, as every task writes to every bucket.
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * few
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     read = materialise(rows.mapInArrow(lambda b: _read(b, n, percent, buckets),
                                        "kind int, doc_id long, name long, n long, bucket int, blob binary"), "ngram-sets")
     sizes = read.where("kind = 0").select("doc_id", "name", "n")
-    counted = (read.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInArrow(lambda t: _frequencies(t, buckets), PACKED))
-    first = counted.groupBy("bucket").applyInArrow(lambda t: _prefixes(t, percent, buckets), PACKED)
+    counted = (read.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInArrow(lambda t: _frequencies(t, few), PACKED))
+    first = counted.groupBy("bucket").applyInArrow(lambda t: _prefixes(t, percent, few), PACKED)
     near = first.groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
     candidates = components(near, "candidate-sets")
     # The smallest document stands for its set.
