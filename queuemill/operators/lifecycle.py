@@ -1,6 +1,7 @@
 """Ticket life cycle: events are appended, state and workload are derived from them.
 
-Events: event_id (order), ticket_id, at, kind, actor, to_team, category, confidence, detail.
+Events: event_id (order), ticket_id, at, kind, actor, to_team, category, confidence, detail, and
+where a ticket was resolved with a text, `resolution`: the ticket keeps more of it than the detail.
 All folds are partial aggregates over `max_by`, so a ticket with very many events is reduced
 before it is shuffled; only the holder before an event needs order, and that is segmented.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from queuemill import fixed
 from queuemill.functions import scalars as S
 from queuemill.operators.ranking import SEGMENT_ROWS, ordinal_segment, previous_value, segmented_rank
-from queuemill.runtime import blank_to_null, present, ratio, rounded
+from queuemill.runtime import blank_to_null, materialise, present, ratio, rounded
 
 HOLDING = ("opened", "assigned", "referred", "settled")
 CLOSING = ("resolved", "duplicate")
@@ -24,15 +25,8 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("at", T.StringType()), T.StructField("kind", T.StringType()),
     T.StructField("actor", T.StringType()), T.StructField("from_team", T.StringType()),
     T.StructField("to_team", T.StringType()), T.StructField("category", T.StringType()),
-    T.StructField("confidence", T.DoubleType()), T.StructField("detail", T.StringType())])
-
-STATE_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("ref", T.StringType()),
-    T.StructField("opened_at", T.StringType()), T.StructField("category", T.StringType()),
-    T.StructField("team", T.StringType()), T.StructField("status", T.StringType()),
-    T.StructField("closed_at", T.StringType()), T.StructField("resolution", T.StringType()),
-    T.StructField("duplicate_of", T.LongType()), T.StructField("hops", T.LongType()),
-    T.StructField("last_event_id", T.LongType())])
+    T.StructField("confidence", T.DoubleType()), T.StructField("detail", T.StringType()),
+    T.StructField("resolution", T.StringType())])
 
 
 def with_holder(events: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
@@ -51,13 +45,15 @@ def fold(moves: DataFrame) -> DataFrame:
               .when(kind == "referred", fixed.REFERRED).otherwise(fixed.OPEN))
     sets_status = kind.isin("opened", "reopened", *CLOSING) | F.col("is_move")
     ends = kind.isin("reopened", *CLOSING)
+    # Events without the column, or from before it, have the whole text in their detail.
+    full = F.coalesce("resolution", "detail") if "resolution" in moves.columns else F.col("detail")
     return moves.groupBy("ticket_id").agg(
         F.min_by("at", F.when(kind == "opened", last)).alias("opened_at"),
         latest(F.col("category"), kind.isin("opened", "settled") & F.col("category").isNotNull()).alias("category"),
         latest(F.col("to_team"), kind.isin(*HOLDING) & F.col("to_team").isNotNull()).alias("team"),
         latest(status, sets_status).alias("status"),
         latest(F.when(kind.isin(*CLOSING), F.col("at")), ends).alias("closed_at"),
-        latest(F.col("detail"), kind == "resolved").alias("resolution"),
+        latest(blank_to_null(full), kind == "resolved").alias("resolution"),
         latest(F.col("detail"), kind == "duplicate").alias("duplicate_ref"),
         F.count_if("is_move").alias("hops"),
         F.max("event_id").alias("last_event_id"),
@@ -69,28 +65,9 @@ def fold(moves: DataFrame) -> DataFrame:
 FOLDED = ("ticket_id", "opened_at", "category", "team", "status", "closed_at", "resolution", "duplicate_ref", "hops", "last_event_id")
 
 
-def fold_increment(previous: DataFrame, events: DataFrame) -> DataFrame:
-    """New folded rows for the tickets that `events` touch, given their previous folded rows.
-
-    A ticket's previous row stands in as one event that sets its team and category; events at or
-    below the last applied id are ignored.
-    """
-    before = previous.select(*FOLDED).withColumnsRenamed({c: f"p_{c}" for c in FOLDED if c != "ticket_id"})
-    seen = before.select("ticket_id", "p_last_event_id")
-    fresh = events.join(seen, "ticket_id", "left").where(
-        F.col("p_last_event_id").isNull() | (F.col("event_id") > F.col("p_last_event_id"))).drop("p_last_event_id")
-    seed = before.select("ticket_id", F.col("p_last_event_id").alias("event_id"), F.lit("settled").alias("kind"),
-                         F.col("p_team").alias("to_team"), F.col("p_category").alias("category"))
-    seed = seed.join(fresh.select("ticket_id").distinct(), "ticket_id", "left_semi")
-    now = fold(with_holder(fresh.unionByName(seed, allowMissingColumns=True)))
-    both = now.join(before, "ticket_id", "left")
-    kept = lambda name, changed: F.when(F.coalesce(F.col(changed), F.lit(False)), F.col(name)).otherwise(F.col(f"p_{name}"))
-    either = lambda name: F.coalesce(F.col(name), F.col(f"p_{name}")).alias(name)
-    return both.select(
-        "ticket_id", F.coalesce("p_opened_at", "opened_at").alias("opened_at"), either("category"), either("team"), either("status"),
-        kept("closed_at", "closed_or_reopened").alias("closed_at"), kept("resolution", "was_resolved").alias("resolution"),
-        kept("duplicate_ref", "was_duplicate").alias("duplicate_ref"),
-        (F.col("hops") + F.coalesce("p_hops", F.lit(0))).alias("hops"), "last_event_id")
+def refold(history: DataFrame) -> DataFrame:
+    """Folded rows from all events of some tickets, in whatever order they arrived; an event delivered twice counts once."""
+    return fold(with_holder(history.dropDuplicates(["ticket_id", "event_id"]))).select(*FOLDED)
 
 
 def intake(arrivals: DataFrame, scored: DataFrame, last_id: int, first_event_id: int,
@@ -139,13 +116,15 @@ def parsed_ref(value: Column) -> Column:
 
 def link_duplicates(folded: DataFrame) -> DataFrame:
     """duplicate_of from `duplicate_ref`: numbers are taken as they are, references must exist."""
-    target = folded.select(F.col("ticket_id").alias("_known"))
-    wanted = folded.withColumn("_id", parsed_ref(F.col("duplicate_ref")))
     numeric = S.is_numeric_ref(F.col("duplicate_ref"))
-    # Only tickets closed by reference take part in the look-up; the others keep a NULL key.
-    key = F.when(~numeric, F.col("_id"))
-    joined = wanted.join(target, key == F.col("_known"), "left")
-    return joined.withColumn("duplicate_of", F.when(numeric, F.col("_id")).otherwise(F.col("_known"))).drop("_id", "_known")
+    wanted = folded.withColumn("_id", parsed_ref(F.col("duplicate_ref"))).withColumn("_asks", F.coalesce(~numeric & F.col("_id").isNotNull(), F.lit(False)))
+    # Only tickets closed by reference take part in the look-up: nearly all others would share a NULL key. Of
+    # the tickets asked for, each is looked up once, however many duplicates it has.
+    asked = wanted.where("_asks").select("_id").distinct()
+    known = asked.join(folded.select(F.col("ticket_id").alias("_id")), "_id", "left_semi").withColumn("_known", F.col("_id"))
+    found = wanted.where("_asks").join(known, "_id", "left").withColumn("duplicate_of", F.col("_known")).drop("_known")
+    rest = wanted.where("NOT _asks").withColumn("duplicate_of", F.when(numeric, F.col("_id")))
+    return found.select(*rest.columns).unionByName(rest).drop("_id", "_asks")
 
 
 def resolve_refs(values: DataFrame, tickets: DataFrame, ref: str = "ref", out: str = "ticket_id") -> DataFrame:
@@ -272,35 +251,29 @@ def open_tickets(arrivals: DataFrame, last_id: int, order: str = "ord") -> DataF
         "hops": F.lit(0).cast("long")}).drop("rk")
 
 
-def opened_events(opened: DataFrame, first_event_id: int) -> DataFrame:
-    """The `opened` event of every new ticket, in id order."""
-    lowest = opened.agg(F.coalesce(F.min("id"), F.lit(0))).first()[0]
-    return opened.select(
-        (F.col("id") - F.lit(lowest) + F.lit(first_event_id)).alias("event_id"),
-        F.col("id").alias("ticket_id"), "at", F.lit("opened").alias("kind"), "actor",
-        F.col("team").alias("to_team"), "category", "confidence", F.lit(None).cast("string").alias("detail"))
-
-
+# Actions of the queue, the events they append and the messages for what is missing. A note is
+# an event a service may append, not an action of the queue.
 ACTION_KIND = {"refer": "referred", "resolve": "resolved", "reopen": "reopened",
                "assign": "assigned", "duplicate": "duplicate", "note": "enriched"}
+QUEUE_ACTIONS = ("refer", "resolve", "reopen", "assign", "duplicate")
 NEED_TEAM = {"refer": "Choose a team to refer to.", "assign": "Choose a team."}
 
 
-def checked_commands(commands: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Adds ticket_id and `error`: no such ticket, no team, or an unknown action."""
+def checked_commands(commands: DataFrame, tickets: DataFrame, actions=QUEUE_ACTIONS) -> DataFrame:
+    """Adds ticket_id and `error`: no such ticket, no team, or an action that isn't one of `actions`."""
     found = resolve_refs(commands, tickets)
     action = F.col("action")
     error = F.when(F.col("ticket_id").isNull(), "no such ticket")
     for name, message in NEED_TEAM.items():
         error = error.when((action == name) & ~present(F.trim("team")), message)
-    error = error.when(~action.isin(*ACTION_KIND), F.concat(F.lit("unknown action: "), action))
+    error = error.when(~F.coalesce(action.isin(*actions), F.lit(False)), F.concat(F.lit("unknown action: "), F.coalesce(action, F.lit(""))))
     return found.withColumn("error", error)
 
 
-def command_events(commands: DataFrame, tickets: DataFrame, events: DataFrame) -> DataFrame:
+def command_events(commands: DataFrame, tickets: DataFrame, events: DataFrame, actions=QUEUE_ACTIONS) -> DataFrame:
     """The events a batch of commands appends; referrals to the holder append nothing."""
     base = max_event_id(events)
-    valid = checked_commands(commands, tickets).where(F.col("error").isNull())
+    valid = checked_commands(commands, tickets, actions).where(F.col("error").isNull())
     action = F.col("action")
     kind = F.create_map(*[F.lit(x) for pair in ACTION_KIND.items() for x in pair])[action]
     long_text = F.substring("detail", 1, fixed.TICKET_LIMITS["detail"])
@@ -311,7 +284,8 @@ def command_events(commands: DataFrame, tickets: DataFrame, events: DataFrame) -
         (F.col("command_id") + F.lit(base + 1)).alias("event_id"), "ticket_id", "at", kind.alias("kind"), "actor",
         F.when(action.isin(*NEED_TEAM), F.trim("team")).alias("to_team"),
         F.lit(None).cast("string").alias("category"), F.lit(None).cast("double").alias("confidence"),
-        detail.alias("detail"))
+        detail.alias("detail"),
+        F.when(action == "resolve", blank_to_null(F.substring("detail", 1, fixed.TICKET_LIMITS["resolution"]))).alias("resolution"))
     return settle(events, new, base)
 
 
@@ -325,20 +299,47 @@ def settle(events: DataFrame, new: DataFrame, base: int) -> DataFrame:
             .withColumn("from_team", F.when(moved, F.col("holder"))).drop("holder", "is_move"))
 
 
+def with_tickets(decisions: DataFrame, events: DataFrame, first_new_id: int) -> DataFrame:
+    """Adds ticket_id and `_new`. New ids go up by decision_id from `first_new_id`.
+
+    A reference to an id that this batch gives out counts only if a decision before it opened that ticket, which
+    depends on how many of those before it do so in turn. Each round counts the surely new decisions before a
+    doubtful one, and the doubtful ones; where the answer is the same for all and for none of these, it is settled. The
+    first doubtful decision is settled in every round; batches without such references need no round.
+    """
+    known = events.select(F.col("ticket_id").alias("id")).distinct()
+    matched = resolve_refs(decisions, known, ref="db_ref").withColumn("_ref", parsed_ref(F.col("db_ref")))
+    ahead = F.coalesce(F.col("ticket_id").isNull() & (F.col("_ref") >= first_new_id), F.lit(False))
+    marked = matched.withColumn("_state", F.when(F.col("ticket_id").isNotNull(), "old").when(ahead, "doubt").otherwise("new"))
+    while True:
+        marked = materialise(marked, "references")
+        if marked.where("_state = 'doubt'").isEmpty():
+            break
+        doubtful = marked.where("_state <> 'old'").select("decision_id", "_ref", "_state")
+        segment = ordinal_segment(F.col("decision_id"))
+        both = segmented_rank(doubtful, [], segment, ["decision_id"], rank="_all")      # place among new and doubtful ones
+        doubt = segmented_rank(doubtful.where("_state = 'doubt'"), [], segment, ["decision_id"], rank="_doubt")
+        counts = both.where("_state = 'doubt'").select("decision_id", "_ref", "_all").join(doubt.select("decision_id", "_doubt"), "decision_id")
+        most, least = F.col("_all") - 1, F.col("_all") - F.col("_doubt")
+        wanted = F.col("_ref") - F.lit(first_new_id)
+        settled = counts.select("decision_id", F.when(wanted < least, "old").when(wanted >= most, "new").otherwise("doubt").alias("_settled"))
+        marked = (marked.join(settled, "decision_id", "left")
+                  .withColumn("ticket_id", F.when(F.col("_settled") == "old", F.col("_ref")).otherwise(F.col("ticket_id")))
+                  .withColumn("_state", F.coalesce("_settled", "_state")).drop("_settled"))
+    fresh = segmented_rank(marked.where("_state = 'new'").drop("ticket_id"), [], ordinal_segment(F.col("decision_id")), ["decision_id"])
+    fresh = fresh.withColumn("ticket_id", F.col("rk") + F.lit(first_new_id - 1)).drop("rk")
+    every = marked.where("_state = 'old'").unionByName(fresh)
+    return every.withColumn("_new", F.col("_state") == "new").drop("_state", "_ref")
+
+
 def decision_events(decisions: DataFrame, events: DataFrame, first_new_id: int) -> DataFrame:
     """One decision becomes up to five events of one ticket.
 
-    A decision on an unknown or missing reference opens a ticket. On a known one the settled
-    category and team are written without a hop (`settled`).
+    A decision on an unknown or missing reference opens a ticket. On a known one, also one that an earlier
+    decision of this batch opened, the settled category and team are written without a hop (`settled`).
     """
     base = max_event_id(events)
-    known = events.select(F.col("ticket_id").alias("id")).distinct()
-    matched = resolve_refs(decisions, known, ref="db_ref")
-    fresh = matched.where(F.col("ticket_id").isNull()).drop("ticket_id")
-    fresh = segmented_rank(fresh, [], ordinal_segment(F.col("decision_id")), ["decision_id"])
-    fresh = fresh.withColumn("ticket_id", F.col("rk") + F.lit(first_new_id - 1)).drop("rk").withColumn("_new", F.lit(True))
-    old = matched.where(F.col("ticket_id").isNotNull()).withColumn("_new", F.lit(False))
-    every = old.unionByName(fresh)
+    every = materialise(with_tickets(decisions, events, first_new_id), "decided")
 
     category = S.choice(F.col("chosen_category"), F.col("suggested_category"))
     team = S.choice(F.col("chosen_team"), F.col("suggested_team"))

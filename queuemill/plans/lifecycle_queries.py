@@ -160,11 +160,12 @@ def open_tickets(spark, sf):
     return opened.select("ord", "id", "ref", "subject", "description", "status", "hops")
 
 
+ALL_ACTIONS = (*L.QUEUE_ACTIONS, "note")
 CHECKED = """
 SELECT cm.*, t.ticket_id, CASE WHEN t.ticket_id IS NULL THEN 'no such ticket'
     WHEN action = 'refer' AND trim(team) = '' THEN 'Choose a team to refer to.'
     WHEN action = 'assign' AND trim(team) = '' THEN 'Choose a team.'
-    WHEN action NOT IN ('refer','resolve','reopen','assign','duplicate','note') THEN 'unknown action: ' || action END AS error
+    WHEN action NOT IN ('refer','resolve','reopen','assign','duplicate'__NOTE__) THEN 'unknown action: ' || action END AS error
 FROM cm LEFT JOIN (SELECT DISTINCT ticket_id FROM ev) t
   ON printf('MU-%04d', t.ticket_id) = cm.ref OR CAST(t.ticket_id AS VARCHAR) = cm.ref"""
 
@@ -178,12 +179,13 @@ WHERE fresh = 1 AND (kind <> 'referred' OR holder IS NULL OR holder <> to_team)"
 
 def _command_ctes(action):
     narrowed = f"SELECT * FROM ({V.COMMANDS[1]}) WHERE action = '{action}'" if action else V.COMMANDS[1]
-    return [V.EVENTS, ("cm", narrowed), ("ck", CHECKED), ("nw", """
+    # A note is appended by services; the queue itself doesn't take it as an action.
+    return [V.EVENTS, ("cm", narrowed), ("ck", CHECKED.replace("__NOTE__", ",'note'" if action == "note" else "")), ("nw", """
 SELECT (SELECT max(event_id) FROM ev) + 1 + command_id AS event_id, ticket_id,
   CASE action WHEN 'refer' THEN 'referred' WHEN 'resolve' THEN 'resolved' WHEN 'reopen' THEN 'reopened'
     WHEN 'assign' THEN 'assigned' WHEN 'duplicate' THEN 'duplicate' ELSE 'enriched' END AS kind, actor,
   CASE WHEN action IN ('refer','assign') THEN trim(team) END AS to_team,
-  CASE action WHEN 'duplicate' THEN "of" WHEN 'resolve' THEN coalesce(detail, '') WHEN 'assign' THEN NULL ELSE detail END AS detail
+  CASE action WHEN 'duplicate' THEN "of" WHEN 'resolve' THEN substring(coalesce(detail, ''), 1, 500) WHEN 'assign' THEN NULL ELSE detail END AS detail
 FROM ck WHERE error IS NULL""")]
 
 
@@ -192,9 +194,14 @@ def _command_query(name, action):
         events = _events(spark, sf)
         known = events.select(F.col("ticket_id").alias("id")).distinct()
         batch = V.commands(spark, sf).where(F.col("action") == action)
-        return L.command_events(batch, known, events).select(
-            "event_id", "ticket_id", "kind", "actor", "to_team", "detail", "from_team")
-    query(name, with_ctes(_command_ctes(action), APPENDED))(run)
+        allowed = ALL_ACTIONS if action == "note" else L.QUEUE_ACTIONS
+        kept = ["resolution"] if action == "resolve" else []
+        return L.command_events(batch, known, events, allowed).select(
+            "event_id", "ticket_id", "kind", "actor", "to_team", "detail", "from_team", *kept)
+    sql = APPENDED if action != "resolve" else f"""
+SELECT ap.*, nullif(substring(ck.detail, 1, 2000), '') AS resolution FROM ({APPENDED}) ap
+JOIN ck ON ap.event_id = (SELECT max(event_id) FROM ev) + 1 + ck.command_id"""
+    query(name, with_ctes(_command_ctes(action), sql))(run)
 
 
 for _name, _action in (("refer", "refer"), ("resolve", "resolve"), ("mark_duplicate", "duplicate"),

@@ -203,7 +203,9 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         action.alias("action"),
         F.when(e % 11 == 0, "").otherwise(_team(k + 1)).alias("team"),
         F.concat(F.lit("agent_"), (e % 5).cast("string")).alias("actor"),
-        F.when(e % 4 != 0, F.concat(F.lit("note "), k.cast("string"))).alias("detail"),
+        # Absent, empty and very long texts among them.
+        F.when(e % 12 == 3, "").when(e % 36 == 9, F.repeat(F.concat(F.lit("note "), k.cast("string"), F.lit("; ")), 400))
+        .when(e % 4 != 0, F.concat(F.lit("note "), k.cast("string"))).alias("detail"),
         F.format_string("MU-%04d", k).alias("of"))
 
 
@@ -216,7 +218,8 @@ SELECT event_id AS command_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at",
        WHEN event_id % 3 = 0 THEN 'resolve' WHEN event_id % 3 = 1 THEN 'duplicate' ELSE 'reopen' END AS action,
   CASE WHEN event_id % 11 = 0 THEN '' ELSE 'team_' || ((CAST(json_extract(props, '$.k') AS BIGINT) + 1) % 7) END AS team,
   'agent_' || (event_id % 5) AS actor,
-  CASE WHEN event_id % 4 <> 0 THEN 'note ' || CAST(json_extract(props, '$.k') AS BIGINT) END AS detail,
+  CASE WHEN event_id % 12 = 3 THEN '' WHEN event_id % 36 = 9 THEN repeat('note ' || CAST(json_extract(props, '$.k') AS BIGINT) || '; ', 400)
+       WHEN event_id % 4 <> 0 THEN 'note ' || CAST(json_extract(props, '$.k') AS BIGINT) END AS detail,
   printf('MU-%04d', CAST(json_extract(props, '$.k') AS BIGINT)) AS "of"
 FROM events""")
 

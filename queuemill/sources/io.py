@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from queuemill.operators import decisions as D
-from queuemill.operators.lifecycle import EVENT_SCHEMA, STATE_SCHEMA
+from queuemill.operators.lifecycle import EVENT_SCHEMA
 
 # Column names of the ticket export and of the relevance key.
 EXPORT_COLUMNS = {
@@ -86,8 +86,10 @@ def write_result_table(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 
 def publish_predictions(predictions: DataFrame, path: str) -> None:
-    """ticket_id, fold, class, score ... by model: downstream jobs read only the model they need."""
-    predictions.write.mode("overwrite").partitionBy("model").parquet(path)
+    """ticket_id, fold, class, score ... by model: downstream jobs read only the model they need.
+
+    Publishing replaces the models it brings and leaves the others."""
+    (predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path))
 
 
 def read_predictions(spark: SparkSession, path: str, job: str, model: str | None = None) -> DataFrame:
@@ -125,12 +127,11 @@ def append_events(events: DataFrame, path: str, buckets: int = 64) -> None:
     """The event table, kept in hash buckets of the ticket so that one ticket reads one folder."""
     bucket = F.pmod(F.xxhash64("ticket_id"), F.lit(buckets)).cast("int")
     names = [F.col(f.name) if f.name in events.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields]
-    events.select(*names, bucket.alias("bucket")).write.mode("append").partitionBy("bucket").parquet(path)
+    # Dealt by bucket first, so that a batch adds one file to a bucket and not one for each task.
+    dealt = events.select(*names, bucket.alias("bucket")).repartition(buckets, "bucket")
+    dealt.write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType([*EVENT_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])).parquet(path).drop("bucket")
 
-
-def empty_state(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], STATE_SCHEMA)

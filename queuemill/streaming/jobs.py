@@ -31,12 +31,18 @@ def start(stream: DataFrame, each_batch, checkpoint: str, mode: str = "append")
 
 
 def stream_decision_summary(decisions: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """The running summary; `out` always holds the latest one."""
+    """The running summary under its batch number; `latest_batch` reads the newest whole one."""
     def write(batch: DataFrame, number: int):
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
     return start(D.summary(decisions), write, checkpoint, mode="complete")
 
 
+def latest_batch(spark: SparkSession, path: str) -> DataFrame:
+    log = spark.read.parquet(path)
+    newest = log.agg(F.max("batch")).first()[0]
+    return log.where(F.col("batch") == newest).drop("batch")
+
+
 def state_log(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -47,30 +53,32 @@ def state_log(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def latest_state(log: DataFrame) -> DataFrame:
-    """One row per ticket: the one with the highest applied event."""
+    """One row per ticket: the one of the newest batch that touched it."""
     rest = [c for c in L.FOLDED if c != "ticket_id"]
-    last = log.groupBy("ticket_id").agg(F.max_by(F.struct(*rest), "last_event_id").alias("s"))
+    last = log.groupBy("ticket_id").agg(F.max_by(F.struct(*rest), "batch").alias("s"))
     return last.select("ticket_id", "s.*")
 
 
-def stream_ticket_state(events: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
-    """State of the touched tickets after every micro-batch, appended to a log.
+def stream_ticket_state(events: DataFrame, log_path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """State of the touched tickets after every micro-batch, under its batch number.
 
-    The fold is the batch fold, so a ticket with very many events in one micro-batch is reduced
-    by many tasks and never gathered in one.
+    Events are kept by bucket of the ticket. A batch adds its own and folds the whole history of the tickets it touches,
+    reading only their buckets, so that late events and events delivered twice end as in the batch fold. The
+    fold reduces by many tasks: a ticket with very many events is never gathered in one.
     """
+    bucket = F.pmod(F.xxhash64("ticket_id"), F.lit(buckets)).cast("int")
+
     def apply(batch: DataFrame, number: int):
         spark = batch.sparkSession
-        log = state_log(spark, log_path)
-        touched = batch.select("ticket_id").distinct()
-        if log is None:
-            previous = spark.createDataFrame([], "ticket_id long, opened_at string, category string, team string, status string, "
-                                             "closed_at string, resolution string, duplicate_ref string, hops long, last_event_id long")
-        else:
-            # A batch that runs again must not see its own first attempt.
-            earlier = log.where(F.col("batch") < number).join(touched, "ticket_id", "left_semi")
-            previous = latest_state(earlier)
-        L.fold_increment(previous, batch).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+        own, history = f"{log_path}/events", f"{log_path}/events/batch={number}"
+        # Written under the batch number: a batch that runs again replaces its first attempt.
+        batch.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(history)
+        mine = spark.read.parquet(history)
+        touched = mine.select("ticket_id").distinct()
+        dirty = [r.bucket for r in mine.select("bucket").distinct().collect()]      # at most `buckets` numbers
+        past = spark.read.parquet(own).where(F.col("bucket").isin(dirty) & (F.col("batch") <= number))
+        whole = past.drop("bucket", "batch").join(touched, "ticket_id", "left_semi")
+        L.refold(whole).write.mode("overwrite").parquet(f"{log_path}/state/batch={number}")
     return start(events, apply, checkpoint)
 
 

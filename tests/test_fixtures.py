@@ -103,17 +103,70 @@ def test_handoff_pairs(spark):
     assert set(rows(L.handoffs(moves), "from_team", "to_team", "n")) == {("X", "Y", 2), ("Y", "X", 1)}
 
 
-def test_incremental_fold_equals_batch(spark):
+def test_refold_takes_late_and_repeated_events(spark):
     events = life_events(spark)
-    state = spark.createDataFrame([], L.fold(L.with_holder(events)).select(*L.FOLDED).schema)
-    for low, high in ((0, 5), (5, 11), (9, 99)):                       # the last delivery repeats earlier events
-        part = events.where((F.col("event_id") >= low) & (F.col("event_id") < high))
-        fresh = L.fold_increment(state, part).collect()
-        kept = [r for r in state.collect() if r.ticket_id not in {x.ticket_id for x in fresh}]
-        state = spark.createDataFrame(kept + fresh, state.schema)
-    whole = L.fold(L.with_holder(events)).select(*L.FOLDED)
-    assert \
-        {r.ticket_id: tuple(r) for r in state.collect()} == {r.ticket_id: tuple(r) for r in whole.collect()}
+    whole = {r.ticket_id: tuple(r) for r in L.fold(L.with_holder(events)).select(*L.FOLDED).collect()}
+    shuffled = events.orderBy(F.xxhash64("event_id")).unionByName(events.where("event_id < 6"))
+    assert {r.ticket_id: tuple(r) for r in L.refold(shuffled).collect()} == whole
+
+
+def test_stream_state_with_late_events_equals_batch(spark, tmp_path):
+    from queuemill.streaming import jobs as J
+    events = life_events(spark)
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    for part in ("event_id % 3 = 0", "event_id % 3 = 2", "event_id % 3 = 1", "event_id < 4"):      # late, and some twice
+        events.where(part).write.mode("append").parquet(source)
+        J.stream_ticket_state(J.read_stream(spark, source, events.schema, "parquet"), log, str(tmp_path / "cp"), buckets=4).awaitTermination()
+    got = J.latest_state(J.state_log(spark, f"{log}/state")).select(*L.FOLDED)
+    assert {r.ticket_id: tuple(r) for r in got.collect()} == {r.ticket_id: tuple(r) for r in L.fold(L.with_holder(events)).select(*L.FOLDED).collect()}
+
+
+def test_resolution_is_kept_long_and_blank_is_null(spark):
+    events = spark.createDataFrame([(1, 1, "t", "opened", "a", "X"), (2, 2, "t", "opened", "a", "X")],
+                                   "event_id long, ticket_id long, at string, kind string, actor string, to_team string")
+    known = events.select(F.col("ticket_id").alias("id"))
+    asks = spark.createDataFrame([(1, "t", "1", "resolve", None, "a", "x" * 3000, None), (2, "t", "2", "resolve", None, "a", "", None),
+                                  (3, "t", "1", "note", None, "a", "n", None), (4, "t", "9", None, None, "a", "n", None)],
+                                 "command_id long, at string, ref string, action string, team string, actor string, detail string, of string")
+    full = events.select("*", *[F.lit(None).cast("string").alias(c) for c in ("category", "detail")])
+    new = L.command_events(asks, known, full)
+    got = {r.ticket_id: r.resolution for r in L.refold(full.unionByName(new, allowMissingColumns=True)).collect()}
+    assert got == {1: "x" * 2000, 2: None}
+    assert {len(r.detail) for r in new.collect()} == {500, 0}
+    assert {r.command_id: r.error for r in L.checked_commands(asks, known).collect()} == \
+        {1: None, 2: None, 3: "unknown action: note", 4: "no such ticket"}
+
+
+def test_references_inside_a_batch(spark):
+    import random
+    random.seed(4)
+    refs = [None if random.random() < 0.3 else str(random.randint(1, 30)) for _ in range(60)]
+    events = spark.createDataFrame([(1, 1), (2, 2), (3, 7)], "event_id long, ticket_id long")
+    first, known, want = 8, {1, 2, 7}, {}
+    for n, ref in enumerate(refs):
+        if ref is not None and int(ref) in known:
+            want[n] = (int(ref), False)
+        else:
+            new = first + sum(1 for _, is_new in want.values() if is_new)
+            known.add(new)
+            want[n] = (new, True)
+    decisions = spark.createDataFrame(list(enumerate(refs)), "decision_id long, db_ref string")
+    got = L.with_tickets(decisions, events, first)
+    assert {r.decision_id: (r.ticket_id, r._new) for r in got.collect()} == want
+
+
+def test_duplicates_of_one_ticket_and_of_none(spark):
+    folded = spark.createDataFrame([(1, "MU-0002"), (2, None), (3, "MU-0002"), (4, "MU-0099"), (5, "7"), (6, "junk")], "ticket_id long, duplicate_ref string")
+    assert set(rows(L.link_duplicates(folded), "ticket_id", "duplicate_of")) == {(1, 2), (2, None), (3, 2), (4, None), (5, 7), (6, None)}
+
+
+def test_publishing_one_model_keeps_the_others(spark, tmp_path):
+    from queuemill.sources import io as IO
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "model string, score int")
+    path = str(tmp_path / "p")
+    for part in ("model = 'a'", "model = 'b'", "model = 'a'"):
+        IO.publish_predictions(df.where(part), path)
+    assert spark.read.parquet(path).count() == 2
 
 
 BASE = dict(decision_id=1, at="2024-01-01 00:00:00", arm="A", subject="printer is", description="broken again", suggested_category="c1",
