@@ -123,9 +123,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
     both = rows.withColumn("_at", F.explode(F.when(opens, F.array(F.struct(F.col("_range").alias("range"), F.lit(False).alias("guest")),
                                                                   F.struct(guests.alias("range"), F.lit(True).alias("guest"))))
                                            .otherwise(F.array(F.struct(F.col("_range").alias("range"), F.lit(False).alias("guest"))))))
-    along = W.partitionBy("_at.range").orderBy("_at.guest", "_order", "text")
-    return (both.withColumn("next_text", F.lead("text").over(along)).withColumn("next_sigs", F.lead("sigs").over(along))
-            .where("NOT _at.guest").select("doc_id", "text", "sigs", "next_text", "next_sigs"))
+    # Plain columns and one window: each further one would move the texts again.
+    flat = both.select("doc_id", "_order", "text", "sigs", F.col("_at.range").alias("_in"), F.col("_at.guest").alias("_guest"))
+    along = W.partitionBy("_in").orderBy("_guest", "_order", "text")
+    return (flat.select("doc_id", "text", "sigs", "_guest", F.lead(F.struct("text", "sigs")).over(along).alias("_next"))
+            .where("NOT _guest").select("doc_id", "text", "sigs", F.col("_next.text").alias("next_text"), F.col("_next.sigs").alias("next_sigs")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
