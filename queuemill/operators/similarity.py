@@ -3,9 +3,11 @@
 No pair table is ever built. The corpus is grouped into cells around a bounded set of pivots; for
 every query, q.p + |q| * radius bounds what a cell can offer and q.p - |q| * distance bounds what
 it must contain (Cauchy-Schwarz, any norms), so cells that cannot reach the k-th best are skipped.
-Cells are cut into chunks of bounded size and queries into blocks of bounded size, so one task
-multiplies two bounded matrices and returns at most k rows per query; a cell of copies holding a
-third of the corpus is simply more chunks. The partial results meet in one ranked merge.
+Cells are cut into chunks of bounded size and queries into blocks of bounded size, as few as each home
+needs; a chunk travels only to blocks that look into its cell. One task multiplies a block and a chunk,
+slice by slice, and returns at most k rows per query; a cell of copies holding a third of the corpus is
+simply more chunks. The partial results meet in one ranked merge. Term vectors lie too far apart for
+pivots to prune; for them a cell is a scope, or the whole corpus.
 
 Queries: query_id, variant, exclude_id, scope, idx, val.  Corpus: candidate_id, scope, idx, val.
 `idx` is NULL for dense vectors. `scope` restricts a query to one part of the corpus (NULL: all).
@@ -25,8 +27,11 @@ from queuemill.runtime import materialise
 
 DIGITS = 9          # scores are compared after rounding, so engines agree on ties
 SLACK = 1e-7        # above rounding and floating-point error of the bounds
-MAX_CELLS = 16_384
-DENSE_BLOCK, SPARSE_BLOCK = 4096, 512
+MAX_CELLS = 16_384  # cells whose bounds every task holds
+BLOCK = 4096        # rows of a query block, and of a chunk of a cell
+SLICE = 256         # queries multiplied at a time
+MOST = 4_000_000    # numbers in one intermediate matrix
+EVERY = "every"     # the cell of the whole corpus; scopes are named "in ..."
 
 
 def dense_queries(df: DataFrame, key: str, vector: str, exclude: str | None = None,
@@ -80,14 +85,35 @@ class _Rows:
         return out
 
 
+    def part(self, low: int, high: int) -> "_Rows":
+        """Rows low to high as views."""
+        out = object.__new__(_Rows)
+        first, last = self.offsets[low], self.offsets[high]
+        out.offsets, out.values, out.sparse, out.n = self.offsets[low:high + 1] - first, self.values[first:last], self.sparse, high - low
+        out.index = self.index[first:last] if self.sparse else None
+        return out
+
+
 def _products(left: _Rows, right: _Rows) -> np.ndarray:
+    """left @ right.T; of term vectors only the terms of `right` that `left` has are touched."""
     if not left.sparse and not right.sparse:
         return left.matrix() @ right.matrix().T
-    # Only terms on both sides can contribute.
-    columns = np.intersect1d(left.index if left.sparse else [], right.index if right.sparse else [])
-    if len(columns) == 0:
-        return np.zeros((left.n, right.n))
-    return left.matrix(columns) @ right.matrix(columns).T
+    out = np.zeros((right.n, left.n))
+    columns = np.unique(left.index) if left.sparse else np.zeros(0, int)
+    if not len(columns) or not right.sparse:
+        return out.T
+    by_term = np.ascontiguousarray(left.matrix(columns).T)
+    place = np.minimum(np.searchsorted(columns, right.index), len(columns) - 1)
+    known = np.flatnonzero(columns[place] == right.index)
+    row = np.repeat(np.arange(right.n), np.diff(right.offsets))[known]
+    step = max(1, MOST // max(1, left.n))
+    for at in range(0, len(known), step):
+        some = known[at:at + step]
+        weighted = by_term[place[some]] * right.values[some][:, None]
+        starts = np.flatnonzero(np.diff(row[at:at + step], prepend=-1))
+        # A row that goes on in the next step adds up.
+        out[row[at:at + step][starts]] += np.add.reduceat(weighted, starts, axis=0)
+    return out.T
 
 
 def _ids(table, name):
@@ -99,29 +125,38 @@ OUT = pa.schema([("query_id", pa.int64()), ("variant", pa.int64()), ("candidate_
 OUT_DDL = "query_id long, variant long, candidate_id long, score double"
 
 
+def _best(scores: np.ndarray, candidates: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k best of each row, ties by the lower id."""
+    if k < scores.shape[1]:
+        least = np.partition(scores, -k, axis=1)[:, -k]
+        rows, cols = np.nonzero(scores >= least[:, None])
+    else:
+        rows, cols = np.nonzero(np.isfinite(scores))
+    found = scores[rows, cols]
+    order = np.lexsort((candidates[cols], -found, rows))
+    rows, cols, found = rows[order], cols[order], found[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = (place < k) & np.isfinite(found)
+    return rows[keep], cols[keep], found[keep]
+
+
 def _block_topk(k: int):
     def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
         if queries.num_rows == 0 or corpus.num_rows == 0:
             return OUT.empty_table()
         queries = queries.rename_columns([n.removeprefix("q_") for n in queries.column_names])
         corpus = corpus.rename_columns([n.removeprefix("c_") for n in corpus.column_names])
-        scores = np.round(_products(_Rows(queries), _Rows(corpus)), DIGITS) + 0.0
-        candidates = _ids(corpus, "candidate_id")
+        asked, held, candidates = _Rows(queries), _Rows(corpus), _ids(corpus, "candidate_id")
         own = queries.column("exclude_id").combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
-        if (own >= 0).any():
-            scores[own[:, None] == candidates[None, :]] = -np.inf
-        if k < scores.shape[1]:
-            least = np.partition(scores, -k, axis=1)[:, -k]
-            rows, cols = np.nonzero(scores >= least[:, None])
-        else:
-            rows, cols = np.nonzero(np.isfinite(scores))
-        found = scores[rows, cols]
-        order = np.lexsort((candidates[cols], -found, rows))
-        rows, cols, found = rows[order], cols[order], found[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        keep = (place < k) & np.isfinite(found)
-        rows, cols, found = rows[keep], cols[keep], found[keep]
-        return pa.table([_ids(queries, "query_id")[rows], _ids(queries, "variant")[rows], candidates[cols], found], schema=OUT)
+        query, variant, parts = _ids(queries, "query_id"), _ids(queries, "variant"), []
+        for low in range(0, asked.n, SLICE):
+            high = min(low + SLICE, asked.n)
+            scores = np.round(_products(asked.part(low, high), held), DIGITS) + 0.0
+            if (own[low:high] >= 0).any():
+                scores[own[low:high, None] == candidates[None, :]] = -np.inf
+            rows, cols, found = _best(scores, candidates, k)
+            parts.append(pa.table([query[low + rows], variant[low + rows], candidates[cols], found], schema=OUT))
+        return pa.concat_tables(parts)
     return run
 
 
@@ -133,6 +168,13 @@ def _pivot_rows(corpus: DataFrame, count: int) -> pa.Table:
     return picked.select("idx", "val").toArrow()
 
 
+def _slices(batch: pa.RecordBatch, width: int):
+    """Rows of a batch, as many at a time as a matrix of `width` columns may have."""
+    step = max(1, MOST // max(1, width))
+    for low in range(0, batch.num_rows, step):
+        yield batch.slice(low, step)
+
+
 def _with_cells(corpus: DataFrame, pivots: pa.Table, scopes: list[str]) -> DataFrame:
     """Adds the cell (scope and nearest pivot) and the distance to its pivot."""
     width, number = pivots.num_rows, {name: i for i, name in enumerate(scopes)}
@@ -143,16 +185,17 @@ def _with_cells(corpus: DataFrame, pivots: pa.Table, scopes: list[str]) -> DataF
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            table = pa.Table.from_batches([batch])
-            rows = _Rows(table)
-            dots = _products(rows, centre)
-            squared = np.maximum(rows.norms()[:, None] ** 2 - 2 * dots + lengths[None, :], 0.0)
-            best = squared.argmin(axis=1)
-            scope = np.array([number[s] for s in table.column("scope").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array((scope * width + best).astype(np.int32)),
-                 pa.array(np.sqrt(squared[np.arange(rows.n), best]))],
-                names=[*batch.schema.names, "cell", "distance"])
+            for part in _slices(batch, width):
+                table = pa.Table.from_batches([part])
+                rows = _Rows(table)
+                dots = _products(rows, centre)
+                squared = np.maximum(rows.norms()[:, None] ** 2 - 2 * dots + lengths[None, :], 0.0)
+                best = squared.argmin(axis=1)
+                scope = np.array([number[s] for s in table.column("scope").to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array((scope * width + best).astype(np.int32)),
+                     pa.array(np.sqrt(squared[np.arange(rows.n), best]))],
+                    names=[*part.schema.names, "cell", "distance"])
 
     ddl = "candidate_id long, scope string, idx array<int>, val array<double>, cell int, distance double"
     return corpus.select("candidate_id", "scope", "idx", "val").mapInArrow(run, ddl)
@@ -173,23 +216,25 @@ def _visits(queries: DataFrame, pivots: pa.Table, scopes: list[str], cells: dict
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            table = pa.Table.from_batches([batch])
-            rows = _Rows(table)
-            dots, norms = _products(rows, centre), rows.norms()
-            wanted = np.array([-1 if s is None else number.get(s, -2) for s in table.column("scope").to_pylist()])
-            allowed = (wanted[:, None] == -1) | (wanted[:, None] == (cell_ids // width)[None, :])
-            reach = dots[:, cell_ids % width]
-            upper = np.where(allowed, reach + norms[:, None] * radius[None, :], -np.inf)
-            sure = np.where(allowed[:, near_cell], reach[:, near_cell] - norms[:, None] * near_distance[None, :], -np.inf)
-            if sure.shape[1] >= need:
-                threshold = np.partition(sure, -need, axis=1)[:, -need]
-            else:
-                threshold = np.full(rows.n, -np.inf)
-            visit = allowed & (upper >= threshold[:, None] - SLACK)
-            chosen = [cell_ids[v].astype(np.int32).tolist() for v in visit]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(chosen, pa.list_(pa.int32())), pa.array(dots.argmax(axis=1).astype(np.int32))],
-                names=[*batch.schema.names, "cells", "home"])
+            # The bounds take one number for each row and near member: some rows at a time.
+            for part in _slices(batch, len(near_cell)):
+                table = pa.Table.from_batches([part])
+                rows = _Rows(table)
+                dots, norms = _products(rows, centre), rows.norms()
+                wanted = np.array([-1 if s is None else number.get(s, -2) for s in table.column("scope").to_pylist()])
+                allowed = (wanted[:, None] == -1) | (wanted[:, None] == (cell_ids // width)[None, :])
+                reach = dots[:, cell_ids % width]
+                upper = np.where(allowed, reach + norms[:, None] * radius[None, :], -np.inf)
+                sure = np.where(allowed[:, near_cell], reach[:, near_cell] - norms[:, None] * near_distance[None, :], -np.inf)
+                if sure.shape[1] >= need:
+                    threshold = np.partition(sure, -need, axis=1)[:, -need]
+                else:
+                    threshold = np.full(rows.n, -np.inf)
+                visit = allowed & (upper >= threshold[:, None] - SLACK)
+                chosen = [cell_ids[v].astype(np.int32).tolist() for v in visit]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(chosen, pa.list_(pa.int32())), pa.array(dots.argmax(axis=1).astype(np.int32))],
+                    names=[*part.schema.names, "cells", "home"])
 
     ddl = ("query_id long, variant long, exclude_id long, scope string, idx array<int>, val array<double>, "
            "cells array<int>, home int")
@@ -199,44 +244,41 @@ def _visits(queries: DataFrame, pivots: pa.Table, scopes: list[str], cells: dict
 def topk(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | None = None,
          sparse: bool = False, block_rows: int | None = None) -> DataFrame:
     """(query_id, variant, candidate_id, score, rank): the k best, ties by the lower id."""
-    block = block_rows or (SPARSE_BLOCK if sparse else DENSE_BLOCK)
-    counts = _scope_counts(corpus)
-    n_corpus = sum(counts.values())
-    if n_corpus == 0:
-        return queries.sparkSession.createDataFrame([], OUT_DDL + ", rank long")
-    # Term vectors lie too far apart for pivots to prune, and a few blocks are not worth a pass.
-    wanted = pivots or (1 if sparse or n_corpus <= 4 * block else min(256, math.ceil(math.sqrt(n_corpus))))
-    if wanted == 1:
-        asked, placed, sizes = _by_scope(queries, corpus, counts)
-        blocks = max(1, math.ceil(queries.count() / block))
-    else:
-        asked, placed, sizes = _by_pivot(queries, corpus, list(counts), k, min(wanted, MAX_CELLS // len(counts)))
-        blocks = max(1, math.ceil(asked.count() / block))
-
-    # At most MAX_CELLS rows: how many chunks each cell is cut into.
-    spark = queries.sparkSession
-    chunks = [(int(c), max(1, math.ceil(n / block))) for c, n in sizes.items()]
-    part = F.pmod(F.xxhash64("query_id", "variant"), F.lit(blocks))
-    asked = (asked.withColumn("qblock", F.col("home") * F.lit(blocks) + part)
-             .withColumn("cell", F.explode("cells")).drop("cells", "home", "scope"))
-    q_sizes = F.broadcast(spark.createDataFrame(chunks, "qcell int, chunks int"))
-    c_sizes = F.broadcast(spark.createDataFrame(chunks, "ccell int, chunks int"))
-    q = (asked.join(q_sizes, F.col("cell") == F.col("qcell"))
+    return ranked(_partial(*_placed(queries, corpus, k, pivots, sparse), k, block_rows or BLOCK), k)
+
+
+def _placed(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | None, sparse: bool) -> tuple[DataFrame, DataFrame]:
+    """Queries with their home and a row for each cell they look into; corpus rows with their cell."""
+    if not sparse:
+        scopes = _scopes(corpus)
+        n_corpus = corpus.count()
+        if n_corpus and scopes is not None:
+            width = min(pivots or math.ceil(math.sqrt(n_corpus)), MAX_CELLS // len(scopes))
+            return _by_pivot(queries, corpus, scopes, k, width)
+    return _by_scope(queries, corpus)
+
+
+def query_blocks(asked: DataFrame, block: int) -> DataFrame:
+    """Adds `qblock`: the queries of a home in as few blocks as they fill."""
+    homes = asked.select("query_id", "variant", "home").distinct().groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
+    return (asked.drop("scope").join(homes, "home")
+            .withColumn("qblock", F.struct("home", F.pmod(F.xxhash64("query_id", "variant"), F.col("blocks")).alias("part"))))
+
+
+def _partial(asked: DataFrame, placed: DataFrame, k: int, block: int) -> DataFrame:
+    """The k best of every query in every chunk it looks into."""
+    asked = query_blocks(asked, block)
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("chunks"))
+    q = (asked.join(sizes.withColumnRenamed("cell", "qcell"), F.col("cell") == F.col("qcell"))
          .select("qcell", "qblock", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("qchunk"),
                  *_fresh("q_", "query_id", "variant", "exclude_id", "idx", "val")))
-    c = placed.join(c_sizes, F.col("cell") == F.col("ccell"))
-    if wanted == 1:
-        c = c.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    else:
-        # Corpus rows travel only to query blocks that look into their cell.
-        pairs = asked.select(F.col("cell").alias("_cell"), F.col("qblock").alias("block")).distinct()
-        c = c.join(pairs, F.col("ccell") == F.col("_cell"))
-    c = c.select("ccell", F.col("block").alias("cblock"),
-                 F.pmod(F.xxhash64("candidate_id"), F.col("chunks")).cast("int").alias("cchunk"),
-                 *_fresh("c_", "candidate_id", "idx", "val"))
-    partial = (q.groupBy("qcell", "qchunk", "qblock").cogroup(c.groupBy("ccell", "cchunk", "cblock"))
-               .applyInArrow(_block_topk(k), OUT_DDL))
-    return ranked(partial, k)
+    # Corpus rows travel only to query blocks that look into their cell.
+    pairs = asked.select(F.col("cell").alias("pcell"), F.col("qblock").alias("cblock")).distinct()
+    c = (placed.join(sizes.withColumnRenamed("cell", "ccell"), F.col("cell") == F.col("ccell")).join(pairs, F.col("ccell") == F.col("pcell"))
+         .select("ccell", "cblock", F.pmod(F.xxhash64("candidate_id"), F.col("chunks")).cast("int").alias("cchunk"),
+                 *_fresh("c_", "candidate_id", "idx", "val")))
+    return (q.groupBy("qcell", "qchunk", "qblock").cogroup(c.groupBy("ccell", "cchunk", "cblock"))
+            .applyInArrow(_block_topk(k), OUT_DDL))
 
 
 def _fresh(prefix: str, *names: str) -> list:
@@ -244,24 +286,19 @@ def _fresh(prefix: str, *names: str) -> list:
     return [F.col(name).alias(prefix + name) for name in names]
 
 
-def _scope_counts(corpus: DataFrame) -> dict[str, int]:
-    """Rows per scope; scopes are class labels, so their number is bounded and checked."""
-    rows = corpus.groupBy("scope").count().limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} scopes")
-    return {r.scope: r["count"] for r in sorted(rows, key=lambda r: r.scope)}
+def _scopes(corpus: DataFrame) -> list[str] | None:
+    """The scopes, or None if there are too many for every task to hold cells in each."""
+    rows = corpus.select("scope").distinct().limit(MAX_CELLS + 1).collect()
+    return sorted(r.scope for r in rows) if len(rows) <= MAX_CELLS else None
 
 
-def _by_scope(queries, corpus, counts):
-    """One cell per scope; every query looks into its scope, or into all of them."""
-    number = {scope: i for i, scope in enumerate(counts)}
-    cell_of = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
-    every = F.array(*[F.lit(i) for i in number.values()])
-    own = F.filter(F.array(cell_of[F.col("scope")]), lambda x: x.isNotNull())
-    asked = queries.withColumns({
-        "cells": F.when(F.col("scope").isNull(), every).otherwise(own), "home": F.lit(0).cast("long")})
-    placed = corpus.withColumn("cell", cell_of[F.col("scope")])
-    return asked, placed, {number[scope]: n for scope, n in counts.items()}
+def _by_scope(queries, corpus):
+    """One cell per scope, and one that is the whole corpus for queries without a scope."""
+    name = lambda scope: F.concat(F.lit("in "), scope)
+    asked = queries.withColumns({"cell": F.coalesce(name(F.col("scope")), F.lit(EVERY)), "home": F.lit(0)})
+    placed = corpus.withColumn("cell", F.explode(F.array(name(F.col("scope")), F.lit(EVERY))))
+    # Cells nobody looks into go before they are counted.
+    return asked, placed.join(asked.select("cell").distinct(), "cell", "left_semi")
 
 
 def _by_pivot(queries, corpus, scopes, k, width):
@@ -270,7 +307,7 @@ def _by_pivot(queries, corpus, scopes, k, width):
     placed = materialise(_with_cells(corpus, centre, scopes), "cells")
     cells = _cell_bounds(placed, k + 1)
     asked = materialise(_visits(queries, centre, scopes, cells, k + 1), "visits")
-    return asked, placed, {c: v["size"] for c, v in cells.items()}
+    return asked.withColumn("cell", F.explode("cells")).drop("cells"), placed
 
 
 def _cell_bounds(placed: DataFrame, need: int) -> dict:

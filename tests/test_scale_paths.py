@@ -56,9 +56,45 @@ def test_pruning_skips_cells(spark):
     corpus = np.vstack([10 * np.eye(8)[i % 8] + 0.01 * rng.normal(size=8) for i in range(160)])
     c = SIM.dense_corpus(frame(spark, corpus, "id"), "id", "v")
     q = SIM.dense_queries(frame(spark, corpus[:8], "id"), "id", "v")
-    asked, _, sizes = SIM._by_pivot(q, c, [""], 3, 40)
-    visited = asked.select(F.size("cells").alias("n")).agg(F.max("n")).first()[0]
-    assert visited < len(sizes)
+    asked, placed = SIM._by_pivot(q, c, [""], 3, 40)
+    visited = asked.groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert visited < placed.select("cell").distinct().count()
+
+
+def test_blocks_are_as_few_as_each_home_needs(spark):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(300, 6))
+    q, c = SIM.dense_queries(frame(spark, vectors, "id"), "id", "v"), SIM.dense_corpus(frame(spark, vectors[:50], "id"), "id", "v")
+    asked, placed = SIM._placed(q, c, 3, 9, False)
+    homes = {r["home"]: r["n"] for r in asked.select("home", "query_id").distinct().groupBy("home").agg(F.count("*").alias("n")).collect()}
+    blocks = {r["home"]: r["n"] for r in SIM.query_blocks(asked, 20).groupBy("home").agg(F.countDistinct("qblock").alias("n")).collect()}
+    assert all(blocks[h] <= -(-n // 20) for h, n in homes.items())
+
+
+def test_bounds_are_computed_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["x"])
+    assert max(b.num_rows * 50_000 for b in SIM._slices(batch, 50_000)) <= SIM.MOST
+    assert sum(b.num_rows for b in SIM._slices(batch, 50_000)) == 1000
+    monkeypatch.setattr(SIM, "MOST", 60)      # products in many steps
+    rng = np.random.default_rng(2)
+    a, b = (rng.normal(size=(17, 30)) * (rng.random((17, 30)) < 0.4) for _ in range(2))
+    table = lambda m: SIM._Rows(pa.table({"idx": pa.array([np.nonzero(v)[0].tolist() for v in m], pa.list_(pa.int32())), "val": [v[np.nonzero(v)[0]].tolist() for v in m]}))
+    assert np.allclose(SIM._products(table(a), table(b)), a @ b.T)
+
+
+def test_many_scopes_need_no_bound(spark, monkeypatch):
+    monkeypatch.setattr(SIM, "MAX_CELLS", 3)
+    test_topk_without_the_row_itself_and_within_scopes(spark, 1)
+    rng = np.random.default_rng(5)
+    vectors, scope = rng.normal(size=(40, 6)), [f"s{i % 8}" for i in range(40)]
+    asked = [scope[i] if i % 3 else None for i in range(40)]
+    q = SIM.dense_queries(frame(spark, vectors, "id", asked), "id", "v", exclude="id", scope="s")
+    c = SIM.dense_corpus(frame(spark, vectors, "id", scope), "id", "v", scope="s")
+    found = {}
+    for r in sorted(SIM.topk(q, c, 4, block_rows=8).collect(), key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append(r.candidate_id)
+    assert found == brute(vectors, vectors, 4, True, scope, asked)
 
 
 def test_sparse_and_dense_agree(spark):
