@@ -148,6 +148,16 @@ def test_page_text_and_wrapper():
     assert page_wrappers.main_text(plain[2], json.loads(page_wrappers.infer(plain))) == "text 2 a\ntext 2 b"
 
 
+def test_what_is_main_text():
+    import json
+    page = """<body class="has-cookie-banner"><header>Site</header><div class="content-sidebar-wrap"><article><header class="article-header"><h1>Title</h1></header>
+<p class="lead">Lead<p class="ad-slot">Buy<p>Body <b>x<section id="comments"><li class="comment">me<li>too</section><div class="article-footer">tags</div>
+<ul><li class="share-link">Share<li>Point</ul></article><div class="sidebar">s</div></div><div class="newsletter">n</div></body>"""
+    none = {"pattern": "", "has_main": False, "fixed": [], "places": {}}
+    assert page_wrappers.main_text(page, none) == "Title\nLead\nBody x\nPoint"
+    assert page_wrappers.main_text(page, json.loads(page_wrappers.infer([page, page.replace("Body", "Other")]))) == "Title\nLead\nBody x\nPoint"
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     import json
     a = "<div><p>x1</p><p>x2</p><p>x3</p></div>"
