@@ -1,9 +1,16 @@
-"""TF-IDF over words and word pairs, as tables and as sparse vectors."""
+"""TF-IDF over words and word pairs, as tables and as sparse vectors.
+
+A document is one row, so its terms are counted where it lies (Arrow batches, NumPy): no text and no
+term of a single document is ever shuffled, only the counts per term that the vocabulary is made of.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,14 +19,48 @@ from queuemill import fixed
 from queuemill.functions import text as X
 from queuemill.runtime import materialise
 
+ROWS = 500      # documents counted at a time
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str]]]:
+    """Some documents, and for each of their words its row, its code and what the codes stand for."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            words = part.column(column)
+            sizes = np.diff(words.offsets.to_numpy())
+            coded = words.flatten().dictionary_encode()
+            yield part, np.repeat(np.arange(part.num_rows), sizes), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
+def _terms(row: np.ndarray, code: np.ndarray, names: list[str], known: np.ndarray | None = None):
+    """Row, term and count of every distinct term of a document; terms are numbers below len(names) for words
+    and len(names) * (first + 1) + second for pairs. `known` tells which words may be part of a pair."""
+    width = max(1, len(names))
+    beside = np.flatnonzero(row[:-1] == row[1:]) if len(row) else np.zeros(0, np.int64)
+    if known is not None:
+        beside = beside[known[code[beside]] & known[code[beside + 1]]]
+    rows = np.concatenate([row, row[beside]])
+    terms = np.concatenate([code, width * (code[beside] + 1) + code[beside + 1]])
+    order = np.lexsort((terms, rows))
+    rows, terms = rows[order], terms[order]
+    first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (terms[1:] != terms[:-1])))[:len(rows)]
+    return rows[first], terms[first], np.diff(np.append(first, len(rows)))
 
-def term_counts(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf). Rows are placed by key once, before `text` is computed; the counts and all
-    that follows per document stay in that partitioning, so exploded terms are never shuffled."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.repartition(partitions, F.col(key))
-    return (placed.select(key, F.explode_outer(X.ngrams(X.words(text))).alias("term"))
-            .groupBy(key, "term").agg(F.count("term").alias("tf")))
+
+def _name(term: int, names: list[str]) -> str:
+    width = max(1, len(names))
+    return names[term] if term < width else f"{names[term // width - 1]} {names[term % width]}"
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words) to (term, df, cf) over some documents."""
+    for _, row, code, names in _slices(batches, 0):
+        _, terms, tf = _terms(row, code, names)
+        distinct, place = np.unique(terms, return_inverse=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([_name(t, names) for t in distinct.tolist()], pa.string()), pa.array(np.bincount(place, minlength=len(distinct))),
+             pa.array(np.bincount(place, tf, minlength=len(distinct)).astype(np.int64))], names=["term", "df", "cf"])
 
 
 @dataclass
@@ -32,8 +73,8 @@ class Vocabulary:
     @classmethod
     def fit(cls, docs: DataFrame, key: str, text: Column, max_terms: int = fixed.MAX_TERMS) -> "Vocabulary":
         n_docs = docs.count()
-        per_term = (term_counts(docs, key, text).where(F.col("term").isNotNull())
-                    .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
+        per_term = (docs.select(F.coalesce(X.words(text), F.array()).alias("words")).mapInArrow(_document_counts, "term string, df long, cf long")
+                    .groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")))
         kept = (per_term.where((F.col("df") >= fixed.MIN_DF) & (F.col("df") <= fixed.MAX_DF * n_docs))
                 .orderBy(F.desc("cf"), "term").limit(max_terms))
         term_id = F.row_number().over(W.orderBy("term")) - 1
@@ -43,15 +84,30 @@ class Vocabulary:
 
 def vectors(docs: DataFrame, key: str, text: Column, vocabulary: Vocabulary) -> DataFrame:
     """(key, idx, val): unit-norm sparse vectors; a text without known terms has empty arrays."""
-    known = term_counts(docs, key, text).join(F.broadcast(vocabulary.terms), "term", "left")
-    weight = (1 + F.log("tf")) * F.col("idf")
-    entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", weight.alias("w")))
-    # The norm is an aggregate of its own: inside the lambda it would be summed again per term.
-    grouped = known.groupBy(key).agg(
-        F.sort_array(F.collect_list(entry)).alias("e"),
-        F.greatest(F.sqrt(F.sum(weight * weight)), F.lit(1e-12)).alias("n"))
-    return grouped.select(key, F.transform("e", lambda x: x["term_id"]).alias("idx"),
-                          F.transform("e", lambda x: x["w"] / F.col("n")).alias("val"))
+    rows = vocabulary.terms.select("term", "term_id", "idf").collect()      # at most MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast({r.term: (r.term_id, r.idf) for r in rows})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shared.value
+        in_pairs = {w for term in ids if " " in term for w in term.split(" ")}
+        for part, row, code, names in _slices(batches, 1):
+            known = np.array([n in in_pairs for n in names], bool)
+            row, terms, tf = _terms(row, code, names, known)
+            distinct, place = np.unique(terms, return_inverse=True)
+            found = [ids.get(_name(t, names), (-1, 0.0)) for t in distinct.tolist()]
+            term_id = np.array([f[0] for f in found], np.int64)[place] if len(distinct) else place
+            idf = np.array([f[1] for f in found])[place] if len(distinct) else place.astype(float)
+            keep = np.flatnonzero(term_id >= 0)
+            keep = keep[np.lexsort((term_id[keep], row[keep]))]
+            row, term_id, weight = row[keep], term_id[keep], (1 + np.log(tf[keep])) * idf[keep]
+            norm = np.maximum(np.sqrt(np.bincount(row, weight * weight, part.num_rows)), 1e-12)
+            offsets = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.ListArray.from_arrays(offsets, pa.array(term_id.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(weight / norm[row]))],
+                names=[key, "idx", "val"])
+
+    ddl = f"{key} {docs.schema[key].dataType.simpleString()}, idx array<int>, val array<double>"
+    return docs.select(key, F.coalesce(X.words(text), F.array()).alias("words")).mapInArrow(run, ddl)
 
 
 def long_vectors(sparse: DataFrame, key: str, vocabulary: Vocabulary) -> DataFrame:

@@ -49,7 +49,7 @@ def shown(scores):
 @query("head_nb")
 def head_nb(spark, sf):
     rows, size = sparse_rows(spark, sf)
-    rows = rows.withColumn("features", MO.sparse_vector(size)("idx", "val"))
+    rows = MO.with_sparse_vectors(rows, size)
     model = MO.fit("Multinomial Naive Bayes", rows.where("split = 'train'"), alpha=0.1)
     return shown(MO.class_scores(model, rows.where("split = 'test'"), "Multinomial Naive Bayes"))
 
