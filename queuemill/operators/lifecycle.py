@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from queuemill import fixed
 from queuemill.functions import scalars as S
-from queuemill.operators.ranking import SEGMENT_ROWS, ordinal_segment, previous_value, segmented_rank
+from queuemill.operators.ranking import SEGMENT_ROWS, order_segment, previous_value, segmented_rank
 from queuemill.runtime import blank_to_null, materialise, present, ratio, rounded
 
 HOLDING = ("opened", "assigned", "referred", "settled")
@@ -242,7 +242,7 @@ def max_event_id(events: DataFrame) -> int:
 
 def open_tickets(arrivals: DataFrame, last_id: int, order: str = "ord") -> DataFrame:
     """New ids in arrival order, the reference made from the id, bounded texts."""
-    numbered = segmented_rank(arrivals, [], ordinal_segment(F.col(order)), [order])
+    numbered = segmented_rank(arrivals, [], order_segment(arrivals, order), [order])
     new_id = F.col("rk") + F.lit(last_id)
     return numbered.withColumns({
         "id": new_id, "ref": S.ticket_ref(new_id), "status": F.lit(fixed.OPEN),
@@ -316,7 +316,7 @@ def with_tickets(decisions: DataFrame, events: DataFrame, first_new_id: int) ->
         if marked.where("_state = 'doubt'").isEmpty():
             break
         doubtful = marked.where("_state <> 'old'").select("decision_id", "_ref", "_state")
-        segment = ordinal_segment(F.col("decision_id"))
+        segment = order_segment(doubtful, "decision_id")
         both = segmented_rank(doubtful, [], segment, ["decision_id"], rank="_all")      # place among new and doubtful ones
         doubt = segmented_rank(doubtful.where("_state = 'doubt'"), [], segment, ["decision_id"], rank="_doubt")
         counts = both.where("_state = 'doubt'").select("decision_id", "_ref", "_all").join(doubt.select("decision_id", "_doubt"), "decision_id")
@@ -326,7 +326,8 @@ def with_tickets(decisions: DataFrame, events: DataFrame, first_new_id: int) ->
         marked = (marked.join(settled, "decision_id", "left")
                   .withColumn("ticket_id", F.when(F.col("_settled") == "old", F.col("_ref")).otherwise(F.col("ticket_id")))
                   .withColumn("_state", F.coalesce("_settled", "_state")).drop("_settled"))
-    fresh = segmented_rank(marked.where("_state = 'new'").drop("ticket_id"), [], ordinal_segment(F.col("decision_id")), ["decision_id"])
+    new = marked.where("_state = 'new'").drop("ticket_id")
+    fresh = segmented_rank(new, [], order_segment(new, "decision_id"), ["decision_id"])
     fresh = fresh.withColumn("ticket_id", F.col("rk") + F.lit(first_new_id - 1)).drop("rk")
     every = marked.where("_state = 'old'").unionByName(fresh)
     return every.withColumn("_new", F.col("_state") == "new").drop("_state", "_ref")

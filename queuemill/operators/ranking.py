@@ -18,6 +18,21 @@ def ordinal_segment(order: Column, rows: int = SEGMENT_ROWS) -> Column:
     return F.floor(order / F.lit(rows)).cast("long")
 
 
+def order_segment(df: DataFrame, order: str, rows: int = SEGMENT_ROWS) -> Column:
+    """Segments of about `rows` rows along a numeric order, also where ids lie far apart.
+
+    Dense ids are cut by their value. Ids with gaps would give a segment for nearly each row; they are cut at
+    quantiles, one number per segment.
+    """
+    ends = df.agg(F.count(order).alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).first()
+    wanted = -(-ends.n // rows)
+    if not ends.n or (ends.high - ends.low) // rows <= 4 * wanted:
+        return ordinal_segment(F.col(order), rows)
+    cuts = df.agg(F.percentile_approx(order, [k / wanted for k in range(1, wanted)] or [0.5], 100 * wanted).alias("q")).first().q
+    bounds = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set(cuts))])
+    return F.size(F.filter(bounds, lambda b: b <= F.col(order))).cast("long")
+
+
 def hash_segment(digest: Column, hex_digits: int = 4) -> Column:
     """The leading digits of a digest: evenly filled segments in digest order."""
     return F.substring(digest, 1, hex_digits)
@@ -53,7 +68,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def previous_value(df: DataFrame, key: str, order: str, value: Column, out: str,
                    segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """The last non-null `value` strictly before each row of the same key."""
-    df = df.withColumn("_value", value).withColumn("_segment", ordinal_segment(F.col(order), segment_rows))
+    df = df.withColumn("_value", value).withColumn("_segment", order_segment(df, order, segment_rows))
     part = [key, "_segment"]
     # One summary row per segment, also where the segment sets no value.
     ends = df.groupBy(*part).agg(

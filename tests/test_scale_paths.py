@@ -157,3 +157,14 @@ def test_term_basis_spans_the_leading_singular_vectors(spark):
     basis = MO.term_basis(rows, 20, 4)
     want = np.linalg.svd(x)[2][:4].T
     assert np.allclose(np.linalg.svd(basis.T @ want)[1], 1.0, atol=1e-6)
+
+
+def test_ids_with_gaps_fill_few_segments(spark):
+    from queuemill.operators import ranking as RK
+    ids = [i ** 4 for i in range(200)]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    segments = df.select(RK.order_segment(df, "id", 20).alias("s"), "id").collect()
+    assert len({r.s for r in segments}) <= 11
+    assert [r.s for r in sorted(segments, key=lambda r: r.id)] == sorted(r.s for r in segments)
+    ranked = RK.segmented_rank(df, [], RK.order_segment(df, "id", 20), ["id"])
+    assert {r.id: r.rk for r in ranked.collect()} == {i: k + 1 for k, i in enumerate(ids)}
