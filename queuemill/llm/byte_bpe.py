@@ -26,13 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Finished pre-tokens in each of a worker's two generations. A memory bound; results don't depend on it.
-CACHE = 500_000
+CACHE = 120_000
 #: Longer pre-tokens (in bytes) have a queue of their own.
 SHORT = 200
 #: Ranks to a bucket in `merge_many`.
 WIDTH = 512
 #: Characters of text worked on at a time.
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 4_000_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
@@ -289,6 +289,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch (id, text) in pieces of bounded text, so that only some texts are Python strings at a time."""
+    pa.default_memory_pool().release_unused()
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     at = 0
     while at < batch.num_rows:

@@ -28,6 +28,10 @@ def powers(base: int, n: int) -> np.ndarray:
 STEP = 500_000
 
 
+#: Powers that a worker keeps; longer tables are made when they are needed, as idle workers share the memory.
+KEPT_POWERS = 1_000_000
+
+
 class Powers:
     """Powers of BASE and of its inverse, grown on demand."""
 
@@ -35,8 +39,10 @@ class Powers:
         self.up, self.down = powers(BASE, 1), powers(BASE_INVERSE, 1)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > KEPT_POWERS:
+            return powers(BASE, n), powers(BASE_INVERSE, n)
         if len(self.up) <= n:
-            self.up, self.down = powers(BASE, n * 5 // 4), powers(BASE_INVERSE, n * 5 // 4)
+            self.up, self.down = powers(BASE, KEPT_POWERS), powers(BASE_INVERSE, KEPT_POWERS)
         return self.up, self.down
 
 
@@ -100,7 +106,9 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
 
 
 def chunks(batch: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of about `limit` bytes of text; a longer text is a piece of its own."""
+    """A batch in pieces of about `limit` bytes of text; a longer text is a piece of its own. Before each
+    batch Arrow gives back what it holds of earlier ones."""
+    pa.default_memory_pool().release_unused()
     sizes = np.diff(text_bytes(batch.column(column))[1]) if batch.num_rows else []
     at = 0
     while at < batch.num_rows:
