@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Finished pre-tokens in each of a worker's two generations. A memory bound; results don't depend on it.
-CACHE = 120_000
+CACHE = 160_000
 #: Longer pre-tokens (in bytes) have a queue of their own.
 SHORT = 200
 #: Ranks to a bucket in `merge_many`.
