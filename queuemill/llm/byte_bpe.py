@@ -32,7 +32,7 @@ SHORT = 200
 #: Ranks to a bucket in `merge_many`.
 WIDTH = 512
 #: Characters of text worked on at a time.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 3_000_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
@@ -240,6 +240,10 @@ class Codec:
     def encode_text(self, text: str) -> list[str]:
         return next(iter(self.encode_texts([text])))
 
+    def forget(self) -> None:
+        """Workers stay alive after a task; what it learned would stay with them."""
+        self.done, self.earlier = {}, {}
+
     def decode(self, ids: list[str]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -270,6 +274,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             for part in slices(batch):
                 ids = [list(map(int, x)) for x in own.encode_texts([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        own.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -314,5 +319,6 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

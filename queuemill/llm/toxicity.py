@@ -44,6 +44,8 @@ MAX_FEATURES, MAX_SAMPLE, CACHE = 6_000, 30_000, 300_000
 #: A feature must be in so many rows and so many standard deviations more often in rows of label 1 than by chance.
 MIN_ROWS, MIN_DEVIATIONS = 5, 6.0
 COUNTERFACTUAL, RIDGE, ROUNDS = 1.0, 1e-3, 250
+#: Bytes of text whose features are counted at a time.
+COUNTED = 500_000
 WORDS = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -94,7 +96,7 @@ def fit(rows: list[list[int]], swapped: list[list[int]], labels: np.ndarray, fea
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, label) to the number of rows with each feature, by label, per piece of a batch."""
     for batch in batches:
-        for part in chunks(batch, 0):
+        for part in chunks(batch, 0, COUNTED):
             counts: dict[str, list[int]] = {}
             for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 for feature in {f for w in words_in(text) for f in features_of(w)}:
