@@ -165,6 +165,15 @@ def test_wrapper_has_optional_and_repeated_groups():
     assert json.loads(page_wrappers.infer([a, b]))["pattern"] == '<div>(<p>#</p>)+(<h2>)?("new")?(</h2>)?</div>'
 
 
+def test_pages_of_a_host_with_and_without_article(spark):
+    article = "<html><body><nav>Menu</nav><article><p>story {n}</p></article><div>Site name</div></body></html>"
+    bare = "<html><body><nav>Menu</nav><div>Site name</div><p>note {n}</p><aside><article>teaser</article></aside></body></html>"
+    kinds = [(n, (article, bare)[n % 3 > 0].replace("{n}", str(n)), ("story", "note")[n % 3 > 0]) for n in range(60)]
+    for url in ("'http://mixed.org/' || page_id", "CAST(NULL AS string)"):
+        df = spark.createDataFrame([(n, page) for n, page, _ in kinds], "page_id long, html string").selectExpr("page_id", f"{url} AS url", "html")
+        assert {r["page_id"]: r["text"] for r in page_wrappers.extract(df).collect()} == {n: f"{kind} {n}" for n, _, kind in kinds}
+
+
 def test_pages_query_and_edges(spark):
     got = QUERIES["op3_page_text"](spark, SF).collect()
     pages = spark.read.parquet(f"{SF}/pages.parquet")
