@@ -1,15 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
 Documents and benchmark items become tokens of three kinds with a placeholder each: numbers, units (after a number) and
-names (capitalised inside a sentence); all others are plain, A to Z lower-cased. Windows of WIDTH tokens are hashed as
-templates, the first token of a window always as a plain one (where a passage was cut in, the case of its first word says nothing), and
-joined by hash. All windows of one document that hit one item along one diagonal are a match. Its slots must agree: one value of the
-item always stands against one value of the document and the other way round, so that a question with other numbers and
-names is found and a chance hit isn't. The match is `exact` if every value is the same.
+names (capitalised inside a sentence); all others are plain, A to Z lower-cased. Windows of WIDTH tokens are hashed as templates, the first token of a window always as a plain one (where a passage was cut
+in, the case of its first word says nothing), and joined by hash. All windows of a text
+that hit one item along one diagonal are a match, and those of them that overlap a run. In a run one value of the item always stands
+against one value of the document, so that a question with other numbers and names is found and a chance hit isn't; of a run
+that contradicts itself the windows count in which every value is the same. The match is `exact` if all values are.
 
 An item shorter than a window is one window of its length; items under SHORTEST tokens aren't looked for. A window needs
-PLAIN plain tokens (or all of a shorter one's but two). Null and empty texts match nothing; repeated rows and rows that share
-a document id count under that id; rows with a null id are matched and carry null. Extra columns are left out.
+PLAIN plain tokens (or all of a shorter one's but two).
+Null and empty texts match nothing; repeated rows and rows that share a document id count under that id; rows with a null id are
+matched and carry null. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queuemill.llm.wordcodes import U, chunks, mix, run_hashes, text_bytes
@@ -32,7 +34,7 @@ s sec secs second seconds min mins minute minutes h hr hrs hour hours day days w
 l ml liter liters litre litres gallon gallons percent dollar dollars euro euros pound pounds cent cents usd eur gbp
 degree degrees kmh mph w kw kwh v volt volts hz mb gb tb""".split()
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
-FOUND = "id long, hash long, at int, slots array<string>, tokens int"
+FOUND = "id long, row long, hash long, at int, slots array<string>, tokens int"
 
 
 def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -94,13 +96,13 @@ def windows_of(row: np.ndarray, plain: np.ndarray, kind: np.ndarray, width: int)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], widths: list[int], wanted: np.ndarray | None, whole: bool) -> Iterator[pa.RecordBatch]:
-    """(id, text) to the windows: of all widths, or (`whole`) of a text's own length if that is less than WIDTH."""
+    """(id, text, row) to the windows: of all widths, or (`whole`) of a text's own length if that is less than WIDTH."""
     for batch in batches:
         for part in chunks(batch, 1):
             row, plain, kind, starts, ends, raw = tokens_of(part.column(1))
             count = np.bincount(row, minlength=part.num_rows)
             first = np.cumsum(count) - count
-            ids = part.column(0).to_pylist()
+            ids, rows = part.column(0).to_pylist(), part.column(2).to_pylist()
             out: list[tuple] = []
             for width in widths:
                 at, digest = windows_of(row, plain, kind, width)
@@ -116,17 +118,17 @@ def _windows(batches: Iterator[pa.RecordBatch], widths: list[int], wanted: np.nd
                     slots = [f"{k - a}:{bytes(raw[starts[k]:ends[k]]).decode('utf-8', 'replace')}"
                              for k in range(a + 1, a + width) if kind[k] != WORD]
                     r = int(row[a])
-                    out.append((ids[r], h, a - int(first[r]), slots, width))
+                    out.append((ids[r], rows[r], h, a - int(first[r]), slots, width))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()))],
-                names=["id", "hash", "at", "slots", "tokens"])
+                [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()))],
+                names=["id", "row", "hash", "at", "slots", "tokens"])
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_tokens and exact: every match of a document with a benchmark item."""
     spark = docs.sparkSession
     widths = list(range(SHORTEST, WIDTH + 1))
-    items = (benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    items = (benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text"))
              .mapInArrow(lambda b: _windows(b, widths, None, True), FOUND))
     sizes = items.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()       # one row per width
     used = sorted({WIDTH, *(r["tokens"] for r in sizes)})
@@ -134,21 +136,30 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if sum(r["n"] for r in sizes) <= SENT_WINDOWS:
         hashes = np.unique(np.array([r["hash"] for r in items.select("hash").distinct().collect()], np.int64).view(U))
         wanted = spark.sparkContext.broadcast(hashes)
-    found = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text"))
              .mapInArrow(lambda b: _windows(b, used, wanted.value if wanted else None, False), FOUND))
-    theirs = items.select("hash", F.col("id").alias("item_id"), F.col("at").alias("_at"), F.col("slots").alias("_slots"), F.col("tokens").alias("_width"))
-    pairs = (found.join(F.broadcast(theirs) if wanted else theirs, "hash").where("tokens = _width AND size(slots) = size(_slots)")
-             .select(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("_at")).alias("_diagonal"), "_at", "tokens",
-                     F.zip_with("_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))).alias("_pairs")))
+    theirs = items.select("hash", F.col("id").alias("item_id"), F.col("row").alias("_item"), F.col("at").alias("_at"),
+                          F.col("slots").alias("_slots"), F.col("tokens").alias("_width"))
     # The place inside the window says which slots stand against each other; without it they are values.
     value = lambda c: F.substring_index(c, ":", -1)
-    match = (pairs.groupBy("doc_id", "item_id", "_diagonal").agg(
-        F.countDistinct("_at").alias("n_windows"), (F.max(F.col("_at") + F.col("tokens")) - F.min("_at")).alias("n_tokens"),
-        F.array_distinct(F.flatten(F.collect_set(F.transform("_pairs", lambda p: F.struct(value(p["item"]).alias("item"), value(p["doc"]).alias("doc")))))).alias("_values")))
-    consistent = ((F.size(F.array_distinct(F.col("_values.item"))) == F.size("_values"))
-                  & (F.size(F.array_distinct(F.col("_values.doc"))) == F.size("_values")))
-    exact = ~F.exists("_values", lambda v: v["item"] != v["doc"])
-    return (match.where(consistent).withColumn("exact", exact).groupBy("doc_id", "item_id")
+    pairs = (found.join(F.broadcast(theirs) if wanted else theirs, "hash").where("tokens = _width AND size(slots) = size(_slots)")
+             .select(F.col("id").alias("doc_id"), F.col("row").alias("_row"), "item_id", "_item", (F.col("at") - F.col("_at")).alias("_diagonal"), "_at", "tokens",
+                     F.zip_with("_slots", "slots", lambda a, b: F.struct(value(a).alias("item"), value(b).alias("doc"))).alias("_values"))
+             .withColumn("_same", F.forall("_values", lambda v: v["item"] == v["doc"])))
+    # Texts that share an id are matched one by one.
+    text_pair = ["doc_id", "_row", "item_id", "_item", "_diagonal"]
+    windows = pairs.groupBy(*text_pair, "_at", "tokens").agg(F.max("_same").alias("_same"), F.max("_values").alias("_values"))
+    # A run ends where no window reaches over; between two windows of a run those may lack that begin with a changed slot.
+    stop, along = F.col("_at") + F.col("tokens"), W.partitionBy(*text_pair).orderBy("_at")
+    begins = F.when(F.col("_at") < F.lag(stop).over(along), 0).otherwise(1)
+    runs = windows.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(along)).groupBy(*text_pair, "_run").agg(
+        F.array_distinct(F.flatten(F.collect_list("_values"))).alias("_values"), F.min("_same").alias("_same"),
+        *[F.struct(F.count(one).alias("n"), F.min(F.when(one.isNotNull(), F.col("_at"))).alias("first"), F.max(F.when(one.isNotNull(), stop)).alias("stop")).alias(name)
+          for name, one in (("_all", F.lit(1)), ("_equal", F.when(F.col("_same"), 1)))])
+    consistent = F.size(F.array_distinct(F.col("_values.item"))) == F.size("_values")
+    match = (runs.withColumn("_hit", F.when(consistent, F.col("_all")).otherwise(F.col("_equal"))).groupBy(*text_pair)
+             .agg(F.sum("_hit.n").alias("n_windows"), (F.max("_hit.stop") - F.min("_hit.first")).alias("n_tokens"), F.min("_same").alias("exact")))
+    return (match.where("n_windows > 0").groupBy("doc_id", "item_id")
             .agg(F.max("n_windows").cast("long").alias("n_windows"), F.max("n_tokens").cast("long").alias("n_tokens"), F.max("exact").alias("exact")))
 
 

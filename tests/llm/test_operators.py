@@ -384,6 +384,26 @@ def test_decontamination(spark, edge_docs, no_docs):
     assert decontamination.contaminations(no_docs, quiz).count() == 0 and decontamination.contaminations(docs, quiz.where("false")).count() == 0
 
 
+def found_items(spark, docs, items):
+    frame = lambda texts, name: spark.createDataFrame(list(enumerate(texts)), f"{name} long, text string")
+    return {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_tokens"], r["exact"])
+            for r in decontamination.contaminations(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+
+
+def test_decontamination_of_runs_that_contradict_themselves(spark):
+    item = ("Yesterday a farmer called Anna sold 12 red apples to the old market near the river and 7 green pears to the baker, "
+            "so in the end the clever farmer Anna had earned much more than all of the others did.")
+    edited = item.replace("farmer Anna had", "farmer Carla had")
+    both = item.replace("Anna", "Boris").replace("12", "4").replace("7", "4")
+    got = found_items(spark, [item, edited, both], [item])
+    n = len(item.replace(",", "").split())
+    assert got[0, 0] == (n - 11, n, True) and got[2, 0] == (n - 11 - 3, n, False)       # none begins with Boris or 4
+    at = item.replace(",", "").split().index("Anna", 10)
+    assert set(got) == {(0, 0), (1, 0), (2, 0)} and got[1, 0] == (n - 11 - (n - at), at, False)
+    twice = spark.createDataFrame([(1, item.replace("Anna", "Boris")), (1, item.replace("Anna", "Carla"))], "doc_id long, text string")
+    assert decontamination.contaminations(twice, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 1
+
+
 def test_decontamination_without_a_sent_benchmark(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     sent = rows(decontamination.contaminations(docs, items))
