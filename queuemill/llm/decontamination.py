@@ -1,14 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
 Documents and benchmark items become tokens of three kinds with a placeholder each: numbers, units (after a number) and
-names (capitalised inside a sentence); all others are plain, A to Z lower-cased. Windows of WIDTH tokens are hashed as templates, the first token of a window always as a plain one (where a passage was cut
-in, the case of its first word says nothing), and joined by hash. All windows of a text
+names (capitalised inside a sentence); all others are plain, A to Z lower-cased. In scripts without spaces every character is a
+token. Windows of WIDTH tokens are hashed as templates, the first token of a window always as a plain one (where a passage was cut
+in, the case of its first word says nothing), and in plain form, without placeholders, and joined by hash. All windows of a text
 that hit one item along one diagonal are a match, and those of them that overlap a run. In a run one value of the item always stands
 against one value of the document, so that a question with other numbers and names is found and a chance hit isn't; of a run
 that contradicts itself the windows count in which every value is the same. The match is `exact` if all values are.
 
-An item shorter than a window is one window of its length; items under SHORTEST tokens aren't looked for. A window needs
-PLAIN plain tokens (or all of a shorter one's but two).
+An item shorter than a window is one window of its length. A template window needs PLAIN plain tokens (or all of a shorter
+one's but two) and SHORTEST tokens; everything else is found in plain form only. Items under LEAST tokens aren't looked for.
 Null and empty texts match nothing; repeated rows and rows that share a document id count under that id; rows with a null id are
 matched and carry null. Extra columns are left out.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from queuemill.llm.wordcodes import U, chunks, mix, run_hashes, text_bytes
 from queuemill.runtime import materialise
 
-WIDTH, PLAIN, SHORTEST = 12, 6, 5
+WIDTH, PLAIN, SHORTEST, LEAST = 12, 6, 5, 3
 #: Windows of a benchmark (or digests of matched texts) that may be sent to the tasks; more are joined by a shuffle.
 SENT_WINDOWS = 2_000_000
 UNITS = """mm cm m km in ft yd mi mile miles inch inches foot feet meter meters metre metres g kg mg lb lbs oz ton tons gram grams
@@ -51,6 +52,20 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(_hash_words(raw, starts, starts + sizes))
 
 
+def characters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of scripts without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer): places before and behind each character; and which bytes are CJK or full-width punctuation."""
+    after = np.append(raw[1:], np.zeros(1, np.uint8))
+    third = np.append(raw[2:], np.zeros(2, np.uint8))[:len(raw)]
+    between = lambda x, low, high: (x >= low) & (x <= high)
+    mark = ((raw == 0xE3) & (after == 0x80) & (third != 0x85)
+            | (raw == 0xEF) & ((after == 0xBC) & (between(third, 0x81, 0x8F) | between(third, 0x9A, 0xA0) | (third >= 0xBB)) | (after == 0xBD) & between(third, 0x9B, 0xA5)))
+    three = (between(raw, 0xE3, 0xE9) | (raw == 0xE0) & between(after, 0xB8, 0xBB)
+             | (raw == 0xE1) & (between(after, 0x80, 0x82) | between(after, 0x9E, 0x9F)))
+    three, four = np.flatnonzero(three), np.flatnonzero((raw == 0xF0) & between(after, 0xA0, 0xB2))
+    marks = np.flatnonzero(mark)
+    return np.concatenate([three, three + 3, four, four + 4]), np.concatenate([marks, marks + 1, marks + 2])
+
+
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Row, plain digest, kind and byte bounds of every token."""
     raw, offsets = text_bytes(texts)
@@ -61,6 +76,10 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
         inside[1:-1] |= ((raw[1:-1] == 46) | (raw[1:-1] == 44)) & digit[:-2] & digit[2:]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
+    if len(raw) and raw.max() >= 0xE0:
+        cuts, marks = characters(raw)
+        edge[cuts] = True
+        inside[marks] = False
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1] | edge[1:-1]
     stops[:-1] &= ~inside[1:] | edge[1:-1]
@@ -81,18 +100,19 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return row, plain, kind, starts, ends, raw
 
 
-def windows_of(row: np.ndarray, plain: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """First token and template digest of every window with enough plain tokens."""
+def windows_of(row: np.ndarray, plain: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First token, digest, and if it is a template: all windows with enough plain tokens as templates, and all in plain form unless that is the same."""
     if len(row) < width:
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, bool)
     at = np.flatnonzero(row[:len(row) - width + 1] == row[width - 1:])
     words = np.append(0, np.cumsum(kind == WORD))
     # The first token counts as plain, whatever it looks like.
-    enough = words[at + width] - words[at + 1] + 1 >= min(PLAIN, width - 2)
-    at = at[enough]
+    count = words[at + width] - words[at + 1] + 1
+    enough = (count >= min(PLAIN, width - 2)) & (width >= SHORTEST)
     form = np.where(kind == WORD, plain, mix(kind.astype(U) + U(77)))
-    rest = run_hashes(form, at + 1, np.full(len(at), width - 1))
-    return at, mix(rest + plain[at] * U(0x9FB21C651E98DF25))
+    forms = [(at[enough], form), (at[~enough | (count < width)], plain)]
+    digest = [mix(run_hashes(values, a + 1, np.full(len(a), width - 1)) + plain[a] * U(0x9FB21C651E98DF25)) for a, values in forms]
+    return np.concatenate([a for a, _ in forms]), np.concatenate(digest), np.repeat([True, False], [len(a) for a, _ in forms])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], widths: list[int], wanted: np.ndarray | None, whole: bool) -> Iterator[pa.RecordBatch]:
@@ -105,7 +125,7 @@ def _windows(batches: Iterator[pa.RecordBatch], widths: list[int], wanted: np.nd
             ids, rows = part.column(0).to_pylist(), part.column(2).to_pylist()
             out: list[tuple] = []
             for width in widths:
-                at, digest = windows_of(row, plain, kind, width)
+                at, digest, template = windows_of(row, plain, kind, width)
                 if whole:
                     keep = (width == WIDTH) | (count[row[at]] == width)
                 else:
@@ -114,9 +134,9 @@ def _windows(batches: Iterator[pa.RecordBatch], widths: list[int], wanted: np.nd
                     keep &= wanted[np.minimum(np.searchsorted(wanted, digest), len(wanted) - 1)] == digest
                 elif wanted is not None:
                     keep[:] = False
-                for a, h in zip(at[keep].tolist(), digest[keep].view(np.int64).tolist()):
+                for a, h, t in zip(at[keep].tolist(), digest[keep].view(np.int64).tolist(), template[keep].tolist()):
                     slots = [f"{k - a}:{bytes(raw[starts[k]:ends[k]]).decode('utf-8', 'replace')}"
-                             for k in range(a + 1, a + width) if kind[k] != WORD]
+                             for k in range(a + 1, a + width) if kind[k] != WORD] if t else []
                     r = int(row[a])
                     out.append((ids[r], rows[r], h, a - int(first[r]), slots, width))
             yield pa.RecordBatch.from_arrays(
@@ -127,7 +147,7 @@ def _windows(batches: Iterator[pa.RecordBatch], widths: list[int], wanted: np.nd
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_tokens and exact: every match of a document with a benchmark item."""
     spark = docs.sparkSession
-    widths = list(range(SHORTEST, WIDTH + 1))
+    widths = list(range(LEAST, WIDTH + 1))
     items = (benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text"))
              .mapInArrow(lambda b: _windows(b, widths, None, True), FOUND))
     sizes = items.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()       # one row per width
@@ -146,7 +166,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
              .select(F.col("id").alias("doc_id"), F.col("row").alias("_row"), "item_id", "_item", (F.col("at") - F.col("_at")).alias("_diagonal"), "_at", "tokens",
                      F.zip_with("_slots", "slots", lambda a, b: F.struct(value(a).alias("item"), value(b).alias("doc"))).alias("_values"))
              .withColumn("_same", F.forall("_values", lambda v: v["item"] == v["doc"])))
-    # Texts that share an id are matched one by one.
+    # Texts that share an id are matched one by one. A window may be hit as a template and in plain form.
     text_pair = ["doc_id", "_row", "item_id", "_item", "_diagonal"]
     windows = pairs.groupBy(*text_pair, "_at", "tokens").agg(F.max("_same").alias("_same"), F.max("_values").alias("_values"))
     # A run ends where no window reaches over; between two windows of a run those may lack that begin with a changed slot.

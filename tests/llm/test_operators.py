@@ -404,6 +404,16 @@ def test_decontamination_of_runs_that_contradict_themselves(spark):
     assert decontamination.contaminations(twice, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 1
 
 
+def test_decontamination_in_plain_form(spark):
+    items = ["What is 12 + 7 * 3 - 4?", "The Old Man And The Sea By Ernest Hemingway", "WHO WROTE THE LONG BOOK ABOUT WAR AND PEACE",
+             "请问水在标准大气压下的沸点是多少度？", "日本の首都はどこですか", "What is 2+2?", "which of the following people wrote this famous book"]
+    docs = [f"xx {t} yy" for t in items[:3]] + ["他说：请问水在标准大气压下的沸点是多少度？谢谢", "質問:日本の首都はどこですか。", "so What is 2+2? yes",
+            "then WHICH OF THE FOLLOWING PEOPLE WROTE THIS FAMOUS BOOK it said", "What is 13 + 7 * 3 - 4? The Old Woman And The Sea By Ernest Hemingway 请问水的沸点 日本の首都は"]
+    got = found_items(spark, docs, items)
+    assert set(got) == {(k, k) for k in range(7)} and all(x[2] for x in got.values())
+    assert got[0, 0][:2] == (1, 6) and got[4, 4][:2] == (1, 11)
+
+
 def test_decontamination_without_a_sent_benchmark(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     sent = rows(decontamination.contaminations(docs, items))
