@@ -2,7 +2,9 @@
 
 Found are e-mail addresses, access key ids, IBANs (check digits), IPv4 addresses (octets), dates of 1900 to 2099, social security
 numbers (area, group and serial), telephone numbers (8 to 15 digits) and card numbers (13 to 19 digits, Luhn). What doesn't
-validate stays. A value is split into two halves; in each round one half is shifted by a keyed SHA-256 of the other, so the
+validate stays. Neighbouring numbers don't count: cards and IBANs are looked for at every group of digits and only those with right
+check digits are cut out, real groupings before others; telephone numbers end where their country's plan does, where a date or card
+begins, or with the last group within 15 digits. A value is split into two halves; in each round one half is shifted by a keyed SHA-256 of the other, so the
 whole is a permutation of all values of that format: no two values get one pseudonym, and a value has the same pseudonym in
 every document, written with or without separators. Check digits are computed anew, dates stay dates, letters letters, digits
 digits, and separators, country codes and mail domains stay.
@@ -21,15 +23,32 @@ FIRST_DAY, DAYS = "1900-01-01", 17 * 4297     # 1900-01-01 to 2099-12-31
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Countries by length of their IBANs.
+IBAN_SIZES = {15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+              23: "AE|GI|IL|IQ|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|FR|GR|IT|MC|MR|SM",
+              28: "AL|AZ|BY|CY|DO|GT|HU|LB|LC|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC"}
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+KNOWN_IBAN = "|".join(rf"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(size - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{size % 4}}}" if size % 4 else "")
+                      for size, countries in IBAN_SIZES.items())
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9])(?:19|20)[0-9]{2}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9])"
 DMY_DATE = r"(?<![0-9])[0-9]{1,2}([-/.])[0-9]{1,2}\2(?:19|20)[0-9]{2}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = (r"(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
+#: Cards in fours, 4-6-5, 4-6-4 or unbroken; and other groupings.
+CARD = r"[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19}"
+LONG_CARD, LOOSE_CARD = r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}", r"[0-9](?:[ -]?[0-9]){12,18}"
+#: Digits after the country code where a country has one length.
+PHONE_SIZES = {9: "27|30|31|32|33|34|41|48|61", 10: "1|20|44|52|7|90|91", 11: "86"}
+#: What begins at a group of digits and isn't part of a telephone number.
+OTHER = rf"(?!(?<= )(?:{ISO_DATE}|{DMY_DATE}|{IP}|{SSN}|(?:{CARD})(?![0-9])))".replace("([-/.])", "[-/.]").replace(r"\1", "[-/.]").replace(r"\2", "[-/.]")
+for _before in ("(?<![0-9])", "(?<![0-9.])", "(?<![0-9-])"):
+    OTHER = OTHER.replace(_before, "")
+NEXT = rf"(?:[ .-]{OTHER}(?=[0-9]{{2}})|[ .-]?\((?=[0-9]{{1,4}}\)[ .-]?[0-9]{{2}})|\)[ .-]?{OTHER})?[0-9]"
+#: After the country code one digit may stand alone.
+PHONE = ("(?:(?<![0-9+])\\+(?:" + "|".join(rf"(?:{codes})(?:[ .-]?\(0\))?(?:[ .-](?=[0-9][ .-][0-9]{{2}}))?(?:{NEXT}){{{n}}}(?![0-9])" for n, codes in PHONE_SIZES.items()) + rf"|[0-9](?:{NEXT}){{7,14}})"
          r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])")
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = "|".join((EMAIL, ACCESS_KEY, IBAN, IP, ISO_DATE, DMY_DATE, SSN, PHONE, CARD))
+#: All but those with check digits, which come before (IBAN) and behind them (cards).
+FIRST, THEN = "|".join((EMAIL, ACCESS_KEY)), "|".join((IP, ISO_DATE, DMY_DATE, SSN, PHONE))
 KINDS = ("email", "access_key", "iban", "ip", "date", "ssn", "phone", "card")
 
 
@@ -197,15 +216,40 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
     return out
 
 
+def _literal(values: Column, before: str) -> Column:
+    """A pattern of just these values, longest first; of nothing if there are none."""
+    longest = F.array_sort(F.array_distinct(values), lambda a, b: F.length(b) - F.length(a))
+    return F.when(F.size(values) > 0, F.concat(F.lit(f"(?<![{before}])(?:"), F.array_join(longest, "|"), F.lit(f")(?![{before}])"))).otherwise(F.lit("(?!)"))
+
+
+def _pattern() -> Column:
+    """What is to be found in `text`: IBANs and cards only where their check digits are right."""
+    def starts(pattern: str, before: str) -> Column:
+        return F.regexp_extract_all("text", F.lit(f"(?<![{before}])(?=({pattern})(?![{before}]))"), F.lit(1))
+
+    def right_iban(v: Column) -> Column:
+        own = _symbols(v)
+        return iban_rest(F.concat(F.substring(own, F.lit(5), F.length(own)), F.substring(own, 1, 4))) == 1
+
+    right_card = lambda v: luhn_sum(_symbols(v)) % 10 == 0
+    # A value of another shape mustn't hold one of the usual shape.
+    both = lambda usual, other: F.concat(usual, F.filter(other, lambda v: ~F.exists(usual, lambda u: F.instr(v, u) > 0)))
+    iban = both(F.filter(starts(KNOWN_IBAN, "A-Za-z0-9"), right_iban), F.filter(starts(IBAN, "A-Za-z0-9"), right_iban))
+    other = F.concat(starts(LONG_CARD, "0-9"), F.regexp_extract_all("text", F.lit(f"(?<![0-9])({LOOSE_CARD})(?![0-9])"), F.lit(1)))
+    card = both(F.filter(starts(CARD, "0-9"), right_card), F.filter(other, right_card))
+    return F.concat_ws("|", F.lit(FIRST), _literal(iban, "A-Za-z0-9"), F.lit(THEN), _literal(card, "0-9"))
+
+
 def _matches(docs: DataFrame, key: str) -> DataFrame:
     """Adds _pieces, the text around the matches, and _found, for each match its kind, the value and the pseudonym."""
     maybe = F.col("text").rlike("[0-9@]")
     some = lambda c: F.when(maybe, c)
     found = F.transform(F.col("_values"), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
-    return (docs.withColumn("_pieces", some(F.split("text", ANY, -1))).withColumn("_values", some(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    return (docs.withColumn("_pattern", some(_pattern()))
+            .withColumn("_pieces", some(F.split("text", F.col("_pattern"), -1))).withColumn("_values", some(F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))))
             .withColumn("_kinds", found)
             .withColumn("_found", F.transform("_kinds", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("new"))))
-            .drop("_values", "_kinds"))
+            .drop("_values", "_kinds", "_pattern"))
 
 
 def _rebuilt() -> Column:

@@ -213,6 +213,21 @@ def test_pseudonyms_keep_format_and_links(spark, edge_docs, no_docs):
     assert pii.report(no_docs, "k").count() == 0
 
 
+def test_personal_data_beside_other_numbers(spark):
+    card, phone, iban = "4041 8949 7460 8795", "+1 (988) 555-2485", "BE68 5390 0754 7034"
+    cases = [(card, "card"), (f"order 12 {card}", "card"), (f"1234 {card}", "card"), (f"{card} 7", "card"), (f"{card} 123", "card"), (f"ID12 {card} x", "card"),
+             (f"no 1 2 {card}-12 3", "card"), (phone, "phone"), (f"{phone} 2023-01-05", "phone,date"), (f"{phone} 12 apples", "phone"), (f"{phone} {card}", "phone,card"),
+             (f"+49 30 123456 {card}", "phone,card"), ("+49 30 123456 05.01.2023", "phone,date"), (iban, "iban"), (f"{iban} 2023", "iban"), (f"{iban} {card}", "iban,card"),
+             ("+33 1 23 45 67 89 45 pages", "phone"), ("3782 822463 10005", "card"), ("40418949 74608795", "card"), ("1234 5678 9012 3456 7890", "")]
+    out = {r["doc_id"]: r for r in pii.report(spark.createDataFrame([(n, t) for n, (t, _) in enumerate(cases)], "doc_id long, text string"), "k").collect()}
+    assert [out[n]["kinds"] for n in range(len(cases))] == [kinds for _, kinds in cases]
+    new = {card: out[0]["text"], phone: out[7]["text"], iban: out[13]["text"]}
+    for n, (text, _) in enumerate(cases):
+        for old in new:
+            assert old not in out[n]["text"] and (old not in text or new[old] in out[n]["text"])
+    assert out[1]["text"] == f"order 12 {new[card]}" and out[9]["text"] == f"{new[phone]} 12 apples" and out[16]["text"].endswith(" 45 pages")
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
     got = spark.range(17 * 43).select(pii.feistel_numbers(F.col("id") % 17, F.floor(F.col("id") / 17), 17, 43, "k", "t").alias("p")).distinct()
