@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from queuemill.llm import byte_bpe, decontamination, ngram_join, page_wrappers, pii, sharding, spotsigs, substring_dedup, toxicity, url_rules
+from queuemill.llm import (byte_bpe, decontamination, ngram_join, page_wrappers, pii, sharding, spotsigs, substring_dedup, toxicity, turn_repair,
+                           url_rules)
 from queuemill.runtime import table
 
 QUERIES: dict = {}
@@ -89,3 +90,69 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENS), public_tokenizers.PATTERN)
+
+
+def _crc32(text: str) -> tuple[str, str]:
+    """DuckDB has no CRC: an expression over an ASCII text byte by byte, and the table of 256 remainders it reads."""
+    remainders = ("list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], "
+                  "lambda s, z: xor(s >> 1, CASE WHEN s & 1 = 1 THEN 3988292384 ELSE 0 END)))")
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), "
+            f"lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])))", f"remainders AS (SELECT {remainders} AS t)")
+
+
+_CRC, _REMAINDERS = _crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _edit(state: str, cost: str, edit: str, line: str = "''") -> str:
+    return f"{{'c': {state}.c + {cost}, 'e': {state}.e || '{edit}', 't': {state}.t || {line}}}"
+
+
+#: States of a prefix as in the operator: nothing, a system row, a user row, an assistant row is the last that stays.
+_WITH_INSERTS = {"a0": "s0", "a1": "s1", "a2": _least("s2", *(_edit(s, "3", "I", "chr(10) || 'user:'") for s in ("s0", "s1", "s3"))),
+                 "a3": _least("s3", _edit("s2", "3", "I", "chr(10) || 'assistant:'"))}
+_LINE = "chr(10) || role || ':' || text"
+
+
+def _taken(state: str, role: str) -> str:
+    kept = _edit(state, "x", "K", _LINE)
+    return f"CASE WHEN x > 9 THEN {{'c': 1000000000, 'e': '', 't': ''}} WHEN i = '{role[0]}' THEN {kept} ELSE {_edit(state, '3 + x', 'R', f'chr(10) || {chr(39)}{role}:{chr(39)} || text')} END"
+
+
+@query("op11_turn_repair", sql=f"""
+WITH RECURSIVE {_REMAINDERS},
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS how FROM conversations, remainders),
+hurt AS (
+    SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+           CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM raw WHERE how <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, left(role, 1) AS i FROM hurt),
+judged AS (
+    SELECT *, CASE WHEN regexp_full_match(text, '[\x20\x09-\x0D]*') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd'
+                   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+           lag(i) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM placed),
+costed AS (SELECT *, CASE fault WHEN '' THEN 0 WHEN 't' THEN 3 ELSE 10 END AS x FROM judged),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+           count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM judged GROUP BY conv_id),
+walk AS (
+    SELECT conv_id, 0::BIGINT AS n, {{'c': 0::BIGINT, 'e': '', 't': ''}} AS s0, {{'c': 1000000000::BIGINT, 'e': '', 't': ''}} AS s1,
+           {{'c': 1000000000::BIGINT, 'e': '', 't': ''}} AS s2, {{'c': 1000000000::BIGINT, 'e': '', 't': ''}} AS s3 FROM counted
+    UNION ALL
+    SELECT conv_id, n, {_edit('a0', '4', 'D')}, {_least(_edit('a1', '4', 'D'), "CASE WHEN i = 's' AND x < 9 THEN " + _edit('a0', 'x', 'K', _LINE) + " ELSE {'c': 1000000000, 'e': '', 't': ''} END")},
+           {_least(_edit('a2', '4', 'D'), *(_taken(s, 'user') for s in ('a0', 'a1', 'a3')))}, {_least(_edit('a3', '4', 'D'), _taken('a2', 'assistant'))}
+    FROM (SELECT w.conv_id, j.n, j.i, j.x, j.role, j.text, {', '.join(f'{sql} AS {name}' for name, sql in _WITH_INSERTS.items())}
+          FROM walk w JOIN costed j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.n = w.n + 1)),
+solved AS (
+    SELECT c.*, {_least('s0', 's3', _edit('s2', '3', 'I', "chr(10) || 'assistant:'"), _edit('s1', '6', 'II', "chr(10) || 'user:' || chr(10) || 'assistant:'"))} AS best
+    FROM walk w JOIN counted c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.n = c.n),
+named AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.c, 0) AS cost, coalesce(best.e, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM named o LEFT JOIN solved s ON o.conv_id IS NOT DISTINCT FROM s.conv_id""")
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")))
