@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 17 * 4297     # 1900-01-01 to 2099-12-31
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+#: The part before the @ repeats possessively and the domain is one run of characters: a group that repeats without bound and may
+#: give back needs a stack as deep as the text is long.
+EMAIL = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@(?=[A-Za-z0-9-])[A-Za-z0-9.-]*"
+         r"(?<=[A-Za-z0-9-]\.)[A-Za-z]{2,}")
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 #: Countries by length of their IBANs.
 IBAN_SIZES = {15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
@@ -49,12 +52,16 @@ PHONE = ("(?:(?<![0-9+])\\+(?:" + "|".join(rf"(?:{codes})(?:[ .-]?\(0\))?(?:[ .-
          r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])")
 #: All but those with check digits, which come before (IBAN) and behind them (cards).
 FIRST, THEN = "|".join((EMAIL, ACCESS_KEY)), "|".join((IP, ISO_DATE, DMY_DATE, SSN, PHONE))
-KINDS = ("email", "access_key", "iban", "ip", "date", "ssn", "phone", "card")
 
 
-def _keyed(key: str, kind: str, round_: Column, other: Column) -> Column:
+def _keyed(key: str, kind: str | Column, round_: Column, other: Column) -> Column:
     """64 hex digits."""
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), round_.cast("string"), other.cast("string")), 256)
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind) if isinstance(kind, str) else kind, round_.cast("string"), other.cast("string")), 256)
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with `value` written into the plan, and computed, once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _rounds() -> Column:
@@ -62,33 +69,26 @@ def _rounds() -> Column:
 
 
 def feistel_numbers(left: Column, right: Column, a: int, b: int, key: str, kind: str) -> Column:
-    """Struct (l, r): a permutation of all pairs with l < a and r < b."""
-    def number(i: Column, other: Column) -> Column:
-        return F.conv(F.substring(_keyed(key, kind, i, other), 1, 12), 16, 10).cast("long")
-
+    """Struct (l, r): a permutation of all pairs with l < a and r < b. Halves change places each round, so that one step serves both."""
     def step(s: Column, i: Column) -> Column:
-        even = i % 2 == 0
-        return F.struct(F.when(even, (s["l"] + number(i, s["r"])) % a).otherwise(s["l"]).alias("l"),
-                        F.when(even, s["r"]).otherwise((s["r"] + number(i, s["l"])) % b).alias("r"))
+        number = F.conv(F.substring(_keyed(key, kind, i, s["r"]), 1, 12), 16, 10).cast("long")
+        return F.struct(s["r"].alias("l"), ((s["l"] + number) % F.when(i % 2 == 0, a).otherwise(b)).alias("r"))
 
     return F.aggregate(_rounds(), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), step)
 
 
-def feistel_text(text: Column, key: str, kind: str) -> Column:
+def feistel_text(text: Column, key: str, kind: str | Column) -> Column:
     """A permutation of all texts with digits, small and capital letters at the same places."""
     def shifted(half: Column, digest: Column) -> Column:
         def one(c: Column, j: Column) -> Column:
+            turn = lambda base, size: F.char(base + (F.ascii(c) - base + by) % size)
             by = F.conv(F.substring(digest, (j % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-            code = F.ascii(c)
-            turn = lambda base, size: F.char(F.lit(base) + (code - base + by) % size)
-            return (F.when(code.between(48, 57), turn(48, 10)).when(code.between(65, 90), turn(65, 26))
-                    .when(code.between(97, 122), turn(97, 26)).otherwise(c))
+            base = F.when(c.between("0", "9"), 48).when(c.between("A", "Z"), 65).when(c.between("a", "z"), 97)
+            return F.coalesce(turn(base, F.when(base == 48, 10).otherwise(26)), c)
         return F.array_join(F.transform(F.filter(F.split(half, ""), lambda c: c != ""), one), "")
 
     def step(s: Column, i: Column) -> Column:
-        even = i % 2 == 0
-        return F.struct(F.when(even, shifted(s["l"], _keyed(key, kind, i, s["r"]))).otherwise(s["l"]).alias("l"),
-                        F.when(even, s["r"]).otherwise(shifted(s["r"], _keyed(key, kind, i, s["l"]))).alias("r"))
+        return F.struct(s["r"].alias("l"), let(_keyed(key, kind, i, s["r"]), lambda digest: shifted(s["l"], digest)).alias("r"))
 
     middle = F.floor(F.length(text) / 2).cast("int")
     halves = F.struct(F.substring(text, F.lit(1), middle).alias("l"), F.substring(text, middle + 1, F.length(text)).alias("r"))
@@ -124,81 +124,91 @@ def iban_rest(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), add)
 
 
-def _email(v: Column, key: str) -> Column:
-    own = F.substring_index(v, "@", 1)
-    return F.concat(feistel_text(own, key, "email"), F.substring(v, F.length(own) + 1, F.length(v)))
-
-
-def _access_key(v: Column, key: str) -> Column:
-    return F.concat(F.lit("AKIA"), feistel_text(F.substring(v, 5, 16), key, "access_key"))
-
-
-def _iban(v: Column, key: str) -> Column:
-    own = _symbols(v)
-    country, account = F.substring(own, 1, 2), F.substring(own, F.lit(5), F.length(own))
-    new = feistel_text(account, key, "iban")
-    check = F.lpad((98 - iban_rest(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(iban_rest(F.concat(account, country, F.substring(own, 3, 2))) == 1, _within(v, F.concat(country, check, new))).otherwise(v)
+def _text_parts(v: Column, kind: Column) -> Column:
+    """Struct of what is permuted of a value of letters and digits (`body`), what stands before it (`head`), and its letters and digits
+    (`own`). Mail domains, country codes, the first digit of a telephone or card number and check digits aren't permuted."""
+    def parts(own: Column) -> Column:
+        local = F.substring_index(v, "@", 1)
+        # A country code and the first digit after it stay.
+        code = F.regexp_extract(v, r"^\+(?:1|7|[0-9]{1,3})(?=[ .(-]|[0-9]{8,12}$)", 0)
+        digits = F.length(_symbols(code))
+        body = (F.when(kind == "email", local).when(kind == "access_key", F.substring(v, 5, 16)).when(kind == "iban", F.substring(own, F.lit(5), F.length(own)))
+                .when(kind == "phone", F.substring(own, digits + 2, F.length(own))).otherwise(F.substring(own, F.lit(2), F.length(own) - 2)))
+        head = (F.when(kind == "iban", F.substring(own, 1, 2)).when(kind == "phone", F.substring(own, F.lit(1), digits + 1)).otherwise(F.substring(own, 1, 1)))
+        return F.struct(own.alias("own"), head.alias("head"), body.alias("body"))
+    return let(_symbols(v), parts)
+
+
+def _text_pseudonym(v: Column, kind: Column, key: str) -> Column:
+    """E-mail addresses, access keys, IBANs, telephone and card numbers: one permutation serves all."""
+    def written(p: Column) -> Column:
+        own, head, body, new = p["own"], p["head"], p["body"], p["new"]
+        check = F.lpad((98 - iban_rest(F.concat(new, head, F.lit("00")))).cast("string"), 2, "0")
+        iban = F.when(iban_rest(F.concat(body, head, F.substring(own, 3, 2))) == 1, F.concat(head, check, new))
+        phone = F.when(F.length(own).between(8, 15), F.concat(head, new))
+        last = (10 - luhn_sum(F.concat(head, new, F.lit("0"))) % 10) % 10
+        card = F.when(luhn_sum(own) % 10 == 0, F.concat(head, new, last.cast("string")))
+        symbols = F.when(kind == "iban", iban).when(kind == "phone", phone).otherwise(card)
+        return (F.when(kind == "email", F.concat(new, F.substring(v, F.length(body) + 1, F.length(v)))).when(kind == "access_key", F.concat(F.lit("AKIA"), new))
+                .otherwise(let(symbols, lambda s: F.coalesce(_within(v, s), v))))
+
+    permuted = let(_text_parts(v, kind), lambda p: F.struct(p["own"].alias("own"), p["head"].alias("head"), p["body"].alias("body"),
+                                                            feistel_text(p["body"], key, kind).alias("new")))
+    return let(permuted, written)
 
 
 def _ip(v: Column, key: str) -> Column:
-    octets = F.transform(F.split(v, r"\."), lambda c: c.cast("int"))
-    new = feistel_numbers(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], 65536, 65536, key, "ip")
-    joined = F.concat_ws(".", F.floor(new["l"] / 256), new["l"] % 256, F.floor(new["r"] / 256), new["r"] % 256)
-    return F.when(F.forall(octets, lambda o: o < 256), joined).otherwise(v)
+    def written(octets: Column) -> Column:
+        new = feistel_numbers(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], 65536, 65536, key, "ip")
+        joined = let(new, lambda n: F.concat_ws(".", F.floor(n["l"] / 256), n["l"] % 256, F.floor(n["r"] / 256), n["r"] % 256))
+        return F.when(F.forall(octets, lambda o: o < 256), joined).otherwise(v)
+    return let(F.transform(F.split(v, r"\."), lambda c: c.cast("int")), written)
 
 
 def _date(v: Column, key: str) -> Column:
     """Year first, or day, month and year; month and day change places where only that is a date."""
-    parts = F.transform(F.split(v, "[-/.]"), lambda c: c.cast("int"))
-    iso = F.length(F.regexp_extract(v, "^[0-9]+", 0)) == 4
-    year = F.when(iso, parts[0]).otherwise(parts[2])
-    second, third = F.when(iso, parts[1]).otherwise(parts[1]), F.when(iso, parts[2]).otherwise(parts[0])
-    turned = (second > 12) & (third <= 12)
-    month, day = F.when(turned, third).otherwise(second), F.when(turned, second).otherwise(third)
-    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    valid = month.between(1, 12) & (day >= 1) & (day <= last) & year.between(1900, 2099)
-    safe = F.when(valid, F.make_date(year, month, day)).otherwise(F.lit(FIRST_DAY).cast("date"))
-    number = F.date_diff(safe, F.lit(FIRST_DAY).cast("date"))
-    new = feistel_numbers(number % 17, F.floor(number / 17), 17, DAYS // 17, key, "date")
-    # Plain arithmetic on the day number, as a date can't be built from a column of struct fields in a lambda otherwise.
-    then = F.date_add(F.lit(FIRST_DAY).cast("date"), (new["r"] * 17 + new["l"]).cast("int"))
+    first_day = F.lit(FIRST_DAY).cast("date")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    mark = F.regexp_extract(v, "[-/.]", 0)
-    dm = F.when(turned, F.concat(two(F.month(then)), mark, two(F.dayofmonth(then)))).otherwise(F.concat(two(F.dayofmonth(then)), mark, two(F.month(then))))
-    md = F.when(turned, F.concat(two(F.dayofmonth(then)), mark, two(F.month(then)))).otherwise(F.concat(two(F.month(then)), mark, two(F.dayofmonth(then))))
-    written = F.when(iso, F.concat(F.year(then).cast("string"), mark, md)).otherwise(F.concat(dm, mark, F.year(then).cast("string")))
-    return F.when(valid, written).otherwise(v)
 
+    def read(parts: Column) -> Column:
+        iso = F.length(F.regexp_extract(v, "^[0-9]+", 0)) == 4
+        third = F.when(iso, parts[2]).otherwise(parts[0])
+        turned = (parts[1] > 12) & (third <= 12)
+        return F.struct(iso.alias("iso"), turned.alias("turned"), F.when(iso, parts[0]).otherwise(parts[2]).alias("year"),
+                        F.when(turned, third).otherwise(parts[1]).alias("month"), F.when(turned, parts[1]).otherwise(third).alias("day"))
 
-def _ssn(v: Column, key: str) -> Column:
-    area, group, serial = (F.split(v, "-")[k].cast("int") for k in range(3))
-    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    # 898 areas, 99 groups, 9999 serials.
-    place = F.when(area > 666, area - 2).otherwise(area - 1)
-    new = feistel_numbers(place * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
-    at = F.floor(new["l"] / 99)
-    pad = lambda c, n: F.lpad(c.cast("long").cast("string"), n, "0")
-    joined = F.concat_ws("-", pad(F.when(at >= 665, at + 2).otherwise(at + 1), 3), pad(new["l"] % 99 + 1, 2), pad(new["r"] + 1, 4))
-    return F.when(valid, joined).otherwise(v)
+    def shifted(d: Column) -> Column:
+        leap = (d["year"] % 4 == 0) & ((d["year"] % 100 != 0) | (d["year"] % 400 == 0))
+        last = F.when(d["month"] == 2, F.when(leap, 29).otherwise(28)).when(d["month"].isin(4, 6, 9, 11), 30).otherwise(31)
+        valid = d["month"].between(1, 12) & (d["day"] >= 1) & (d["day"] <= last) & d["year"].between(1900, 2099)
+        number = F.date_diff(F.make_date(d["year"], d["month"], d["day"]), first_day)
+        new = let(number, lambda n: feistel_numbers(n % 17, F.floor(n / 17), 17, DAYS // 17, key, "date"))
+        then = let(new, lambda n: F.date_add(first_day, (n["r"] * 17 + n["l"]).cast("int")))
+        return F.when(valid, let(then, lambda t: written(d, t))).otherwise(v)
 
+    def written(d: Column, then: Column) -> Column:
+        mark, month, day = F.regexp_extract(v, "[-/.]", 0), two(F.month(then)), two(F.dayofmonth(then))
+        year = F.year(then).cast("string")
+        before, behind = F.when(d["turned"] == d["iso"], day).otherwise(month), F.when(d["turned"] == d["iso"], month).otherwise(day)
+        # Year first: month, then day. Year last: day, then month. The other way round where they have changed places.
+        return F.when(d["iso"], F.concat(year, mark, before, mark, behind)).otherwise(F.concat(before, mark, behind, mark, year))
 
-def _phone(v: Column, key: str) -> Column:
-    """A country code and the first digit after it stay."""
-    code = F.regexp_extract(v, r"^\+(?:1|7|[0-9]{1,3})(?=[ .(-]|[0-9]{8,12}$)", 0)
-    rest = F.substring(v, F.length(code) + 1, F.length(v))
-    own = _symbols(rest)
-    new = F.concat(F.substring(own, 1, 1), feistel_text(F.substring(own, F.lit(2), F.length(own)), key, "phone"))
-    return F.when(F.length(_symbols(v)).between(8, 15), F.concat(code, _within(rest, new))).otherwise(v)
+    return let(let(F.transform(F.split(v, "[-/.]"), lambda c: c.cast("int")), read), shifted)
 
 
-def _card(v: Column, key: str) -> Column:
-    """The first digit, which names the issuer's trade, stays."""
-    own = _symbols(v)
-    body = F.concat(F.substring(own, 1, 1), feistel_text(F.substring(own, F.lit(2), F.length(own) - 2), key, "card"))
-    check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when(luhn_sum(own) % 10 == 0, _within(v, F.concat(body, check.cast("string")))).otherwise(v)
+def _ssn(v: Column, key: str) -> Column:
+    pad = lambda c, n: F.lpad(c.cast("long").cast("string"), n, "0")
+
+    def written(p: Column) -> Column:
+        area, group, serial = p[0], p[1], p[2]
+        valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+        # 898 areas, 99 groups, 9999 serials.
+        place = F.when(area > 666, area - 2).otherwise(area - 1)
+        new = feistel_numbers(place * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
+        joined = let(new, lambda n: let(F.floor(n["l"] / 99), lambda at: F.concat_ws(
+            "-", pad(F.when(at >= 665, at + 2).otherwise(at + 1), 3), pad(n["l"] % 99 + 1, 2), pad(n["r"] + 1, 4))))
+        return F.when(valid, joined).otherwise(v)
+    return let(F.transform(F.split(v, "-"), lambda c: c.cast("int")), written)
 
 
 def kind_of(v: Column) -> Column:
@@ -209,17 +219,15 @@ def kind_of(v: Column) -> Column:
 
 
 def pseudonym(v: Column, kind: Column, key: str) -> Column:
-    made = dict(zip(KINDS, (_email, _access_key, _iban, _ip, _date, _ssn, _phone, _card)))
-    out = F.when(kind == KINDS[0], made[KINDS[0]](v, key))
-    for name in KINDS[1:]:
-        out = out.when(kind == name, made[name](v, key))
-    return out
+    return (F.when(kind == "ip", _ip(v, key)).when(kind == "date", _date(v, key)).when(kind == "ssn", _ssn(v, key))
+            .otherwise(_text_pseudonym(v, kind, key)))
 
 
 def _literal(values: Column, before: str) -> Column:
     """A pattern of just these values, longest first; of nothing if there are none."""
-    longest = F.array_sort(F.array_distinct(values), lambda a, b: F.length(b) - F.length(a))
-    return F.when(F.size(values) > 0, F.concat(F.lit(f"(?<![{before}])(?:"), F.array_join(longest, "|"), F.lit(f")(?![{before}])"))).otherwise(F.lit("(?!)"))
+    longest = lambda vs: F.array_sort(F.array_distinct(vs), lambda a, b: F.length(b) - F.length(a))
+    some = lambda vs: F.concat(F.lit(f"(?<![{before}])(?:"), F.array_join(longest(vs), "|"), F.lit(f")(?![{before}])"))
+    return let(values, lambda vs: F.when(F.size(vs) > 0, some(vs)).otherwise(F.lit("(?!)")))
 
 
 def _pattern() -> Column:
@@ -233,7 +241,7 @@ def _pattern() -> Column:
 
     right_card = lambda v: luhn_sum(_symbols(v)) % 10 == 0
     # A value of another shape mustn't hold one of the usual shape.
-    both = lambda usual, other: F.concat(usual, F.filter(other, lambda v: ~F.exists(usual, lambda u: F.instr(v, u) > 0)))
+    both = lambda usual, other: let(usual, lambda us: F.concat(us, F.filter(other, lambda v: ~F.exists(us, lambda u: F.instr(v, u) > 0))))
     iban = both(F.filter(starts(KNOWN_IBAN, "A-Za-z0-9"), right_iban), F.filter(starts(IBAN, "A-Za-z0-9"), right_iban))
     other = F.concat(starts(LONG_CARD, "0-9"), F.regexp_extract_all("text", F.lit(f"(?<![0-9])({LOOSE_CARD})(?![0-9])"), F.lit(1)))
     card = both(F.filter(starts(CARD, "0-9"), right_card), F.filter(other, right_card))
