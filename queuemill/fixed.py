@@ -111,6 +111,14 @@ BOOTSTRAPS = 2000
 # Lexical representation.
 MIN_DF, MAX_DF, MAX_TERMS = 2, 0.85, 30000
 LSA_DIMS = 300
+# Steps of the ablation by name and blocks; the last is for routing alone.
+ABLATION_STEPS = (
+    ("Semantic text only", ("text",)),
+    ("+ department metadata", ("text", "dept")),
+    ("+ temporal context", ("text", "dept", "time")),
+    ("+ text-shape context", ("text", "dept", "time", "shape")),
+    ("+ predicted-category context", ("text", "dept", "time", "shape", "cat")),
+)
 
 # Task names and the pooled rules of the ensemble.
 CLASSIFICATION, ROUTING, RECOMMENDATION = (

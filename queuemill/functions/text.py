@@ -128,6 +128,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(strip_accents(F.lower(text)), F.lit(r"(?U)(\b\w\w+\b)"))
 
 
+def clean_words(cleaned: Column) -> Column:
+    """The same of a cleaned text, which has nothing but a-z and single blanks."""
+    return F.filter(F.split(cleaned, " "), lambda word: F.length(word) >= 2)
+
+
 def ngrams(tokens: Column) -> Column:
     """Single words followed by neighbouring pairs; the lambda binds the word list once."""
     return bind(tokens, _with_pairs)

@@ -1,7 +1,7 @@
 """TF-IDF over words and word pairs, as tables and as sparse vectors.
 
-A document is one row, so its terms are counted where it lies (Arrow batches, NumPy): no text and no
-term of a single document is ever shuffled, only the counts per term that the vocabulary is made of.
+Texts are cleaned and split once (`tokens`). A document is one row, so its terms are counted where it lies (Arrow batches, NumPy): no
+text and no term of a single document is ever shuffled, only the counts per term that the vocabulary is made of.
 """
 
 from __future__ import annotations
@@ -63,6 +63,11 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
              pa.array(np.bincount(place, tf, minlength=len(distinct)).astype(np.int64))], names=["term", "df", "cf"])
 
 
+def tokens(docs: DataFrame, key: str, cleaned: Column, *columns: str) -> DataFrame:
+    """(key, columns, words), written once: the vocabulary and the vectors both start from it."""
+    return materialise(docs.select(key, *columns, F.coalesce(X.clean_words(cleaned), F.array().cast("array<string>")).alias("words")), "tokens")
+
+
 @dataclass
 class Vocabulary:
     """At most MAX_TERMS rows (term, term_id, idf): small enough to send to every task."""
@@ -71,9 +76,10 @@ class Vocabulary:
     n_docs: int
 
     @classmethod
-    def fit(cls, docs: DataFrame, key: str, text: Column, max_terms: int = fixed.MAX_TERMS) -> "Vocabulary":
+    def fit(cls, docs: DataFrame, max_terms: int = fixed.MAX_TERMS) -> "Vocabulary":
+        """From rows of `tokens`."""
         n_docs = docs.count()
-        per_term = (docs.select(F.coalesce(X.words(text), F.array()).alias("words")).mapInArrow(_document_counts, "term string, df long, cf long")
+        per_term = (docs.select("words").mapInArrow(_document_counts, "term string, df long, cf long")
                     .groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")))
         kept = (per_term.where((F.col("df") >= fixed.MIN_DF) & (F.col("df") <= fixed.MAX_DF * n_docs))
                 .orderBy(F.desc("cf"), "term").limit(max_terms))
@@ -82,8 +88,8 @@ class Vocabulary:
         return cls(materialise(kept.select("term", term_id.alias("term_id"), idf.alias("idf"), "df"), "vocabulary"), n_docs)
 
 
-def vectors(docs: DataFrame, key: str, text: Column, vocabulary: Vocabulary) -> DataFrame:
-    """(key, idx, val): unit-norm sparse vectors; a text without known terms has empty arrays."""
+def vectors(docs: DataFrame, key: str, vocabulary: Vocabulary) -> DataFrame:
+    """(key, idx, val) of rows of `tokens`: unit-norm sparse vectors; a text without known terms has empty arrays."""
     rows = vocabulary.terms.select("term", "term_id", "idf").collect()      # at most MAX_TERMS
     shared = docs.sparkSession.sparkContext.broadcast({r.term: (r.term_id, r.idf) for r in rows})
 
@@ -107,7 +113,7 @@ def vectors(docs: DataFrame, key: str, text: Column, vocabulary: Vocabulary) ->
                 names=[key, "idx", "val"])
 
     ddl = f"{key} {docs.schema[key].dataType.simpleString()}, idx array<int>, val array<double>"
-    return docs.select(key, F.coalesce(X.words(text), F.array()).alias("words")).mapInArrow(run, ddl)
+    return docs.select(key, "words").mapInArrow(run, ddl)
 
 
 def long_vectors(sparse: DataFrame, key: str, vocabulary: Vocabulary) -> DataFrame:

@@ -8,7 +8,10 @@ before it is shuffled; only the holder before an event needs order, and that is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +40,21 @@ def with_holder(events: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFram
     return held.withColumn("is_move", F.coalesce((F.col("kind") == "referred") & moved, F.lit(False)))
 
 
+def with_holder_in_buckets(events: DataFrame) -> DataFrame:
+    """`with_holder` for events stored by buckets of the ticket: the tickets lie together, so one window over the order of the ids
+    needs no exchange. A ticket with a large share of all events is one task there; `with_holder` cuts it into segments."""
+    sets_team = F.when(F.col("kind").isin(*HOLDING), F.col("to_team"))
+    before = W.partitionBy("ticket_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
+    held = events.withColumn("holder", F.last(sets_team, ignorenulls=True).over(before))
+    moved = F.col("holder").isNull() | (F.col("holder") != F.col("to_team"))
+    return held.withColumn("is_move", F.coalesce((F.col("kind") == "referred") & moved, F.lit(False)))
+
+
+def state_of_buckets(events: DataFrame) -> DataFrame:
+    """`current_state` over a bucketed event table: folded where the events lie."""
+    return shown_state(fold(with_holder_in_buckets(events)))
+
+
 def fold(moves: DataFrame) -> DataFrame:
     """One row per ticket from events that carry `holder` and `is_move`."""
     kind, last = F.col("kind"), F.col("event_id")
@@ -70,6 +88,16 @@ def refold(history: DataFrame) -> DataFrame:
     return fold(with_holder(history.dropDuplicates(["ticket_id", "event_id"]))).select(*FOLDED)
 
 
+def _blank(*columns: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.trim(F.coalesce(c, F.lit(""))) == "" for c in columns])
+
+
+def rejected(arrivals: DataFrame) -> DataFrame:
+    """(ord, at, requester, reason): arrivals that open no ticket."""
+    reason = F.when(F.col("ord").isNull(), "without a number").when(_blank("subject", "description"), "without subject and description")
+    return arrivals.select("ord", "at", "requester", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def intake(arrivals: DataFrame, scored: DataFrame, last_id: int, first_event_id: int,
            abstain_below: float = fixed.ABSTAIN_BELOW, first_line: str = fixed.FIRST_LINE) -> tuple[DataFrame, DataFrame]:
     """New tickets opened with the suggested team; a weak suggestion goes to the first line, and a
@@ -77,7 +105,7 @@ def intake(arrivals: DataFrame, scored: DataFrame, last_id: int, first_event_id:
 
     Arrivals: ord, at, subject, description, requester. Scored: ord, category, team, confidence.
     """
-    written = arrivals.where((F.trim(F.coalesce("subject", F.lit(""))) != "") | (F.trim(F.coalesce("description", F.lit(""))) != ""))
+    written = arrivals.where(~_blank("subject", "description") & F.col("ord").isNotNull())
     weak = F.coalesce(F.col("confidence") < abstain_below, F.lit(False))
     triaged = written.join(scored.withColumnRenamed("team", "proposed"), "ord", "left").withColumns({
         "abstained": weak, "team": F.when(weak, F.lit(first_line)).otherwise(F.col("proposed")),
@@ -98,7 +126,10 @@ def intake(arrivals: DataFrame, scored: DataFrame, last_id: int, first_event_id:
 
 def current_state(events: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Team, category, status, closing time, hops ... of every ticket."""
-    folded = fold(with_holder(events, segment_rows))
+    return shown_state(fold(with_holder(events, segment_rows)))
+
+
+def shown_state(folded: DataFrame) -> DataFrame:
     linked = link_duplicates(folded)
     return linked.select(
         F.col("ticket_id").alias("id"), S.ticket_ref(F.col("ticket_id")).alias("ref"), "opened_at",

@@ -24,21 +24,12 @@ def pair_counts(predictions: DataFrame, by: list[str]) -> DataFrame:
 
 
 def confusion_matrix(predictions: DataFrame, by: list[str]) -> DataFrame:
-    """Counts over the full class grid, absent pairs 0. A group holds at most classes^2 counts."""
-    pair = F.struct("actual", "predicted", "n")
-    nested = pair_counts(predictions, by).groupBy(*by).agg(F.collect_list(pair).alias("c"))
-    labels = F.array_distinct(F.concat(F.transform("c", lambda x: x["actual"]), F.transform("c", lambda x: x["predicted"])))
-    rows = nested.withColumn("labels", labels).withColumn("actual", F.explode("labels"))
-    rows = rows.withColumn("predicted", F.explode("labels"))
-    at = F.filter("c", lambda x: (x["actual"] == F.col("actual")) & (x["predicted"] == F.col("predicted")))
-    return rows.select(*by, "actual", "predicted",
-                       F.aggregate(at, F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n"))
-
-
-def confusion_pivot(predictions: DataFrame, by: list[str], labels: list[str]) -> DataFrame:
-    """One column per predicted label."""
-    wide = confusion_matrix(predictions, by).groupBy(*by, "actual").pivot("predicted", labels)
-    return wide.agg(F.sum("n"))
+    """Counts over the full class grid, absent pairs 0: a grid of zeros and the counts, summed."""
+    counted = pair_counts(predictions, by)
+    labels = counted.groupBy(*by).agg(F.array_union(F.collect_set("actual"), F.collect_set("predicted")).alias("labels"))
+    grid = labels.withColumn("actual", F.explode("labels")).withColumn("predicted", F.explode("labels"))
+    zeros = grid.select(*by, "actual", "predicted", F.lit(0).cast("long").alias("n"))
+    return counted.unionByName(zeros).groupBy(*by, "actual", "predicted").agg(F.sum("n").alias("n"))
 
 
 def confusion_normalised(confusion: DataFrame, by: list[str]) -> DataFrame:
@@ -163,18 +154,24 @@ def poisson_weight(u: Column) -> Column:
     return weight
 
 
+CELL_DIGITS = 3     # hex digits of a digest: 4,096 cells
+
+
 def bootstrap_ci(rows: DataFrame, row_id: str, value: Column, n_boot: int = fixed.BOOTSTRAPS, alpha: float = 0.05,
-                 seed: int = fixed.SEED, statistic=None) -> DataFrame:
-    """Percentile interval of a weighted statistic (default: the mean of `value`).
+                 seed: int = fixed.SEED) -> DataFrame:
+    """Percentile interval of the mean of `value`.
 
-    Each row draws a Poisson(1) weight per replicate from a hash, so replicates need no data
-    movement: rows are multiplied inside their task and summed per replicate before the shuffle.
+    Rows are summed in cells by a digest of their id, and a cell draws one Poisson(1) weight per replicate from a hash. As the cells
+    are random, sums over cells vary between replicates as sums over rows do; the work is cells x replicates, however many rows there
+    are. NULL values don't count.
     """
-    statistic = statistic or (lambda v, w: F.try_divide(F.sum(v * w), F.sum(w).cast("double")))
-    drawn = rows.select(F.col(row_id).alias("_id"), value.alias("_v"),
-                        F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
-    u = mixed(F.col("_id").cast("long"), F.col("replicate").cast("long"), seed) / F.lit(float(MASK + 1))
-    stats = drawn.withColumn("_w", poisson_weight(u)).groupBy("replicate").agg(statistic(F.col("_v"), F.col("_w")).alias("s"))
+    cell = F.conv(F.substring(F.md5(F.col(row_id).cast("string").cast("binary")), 1, CELL_DIGITS), 16, 10).cast("long")
+    cells = rows.select(cell.alias("_id"), value.alias("_v")).groupBy("_id").agg(F.sum("_v").alias("_v"), F.count("_v").alias("_n"))
+    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
+    u = mixed(F.col("_id"), F.col("replicate").cast("long"), seed) / F.lit(float(MASK + 1))
+    weight = F.col("_w")
+    stats = drawn.withColumn("_w", poisson_weight(u)).groupBy("replicate").agg(
+        F.try_divide(F.sum(F.col("_v") * weight), F.sum(F.col("_n") * weight).cast("double")).alias("s"))
     ends = stats.agg(F.percentile("s", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
     return ends.select(rounded(F.col("q")[0], 4).alias("low"), rounded(F.col("q")[1], 4).alias("high"))
 

@@ -296,12 +296,18 @@ KNN = "k-NN (cosine)"
 
 
 def _fold_neighbours(train: DataFrame, labels: list[str], k: int, key: str, vector: str) -> DataFrame:
-    """The k nearest rows outside a row's own fold, each fold searched once, with labels of both."""
-    folds = sorted(r.fold for r in train.select("fold").distinct().collect())
+    """The k nearest rows outside a row's own fold, with labels of both, in one search.
+
+    A place for each fold is added to the vectors: 1 for the fold of a candidate, and for that of a query a number which puts
+    candidates of its own fold below any score and leaves the scores of the others as they are.
+    """
     facts = [F.col(key).alias("candidate_id"), *[F.col(c) for c in labels]]
     own = [F.col(key).alias("query_id"), "fold", *[F.col(c).alias(f"true_{c}") for c in labels]]
-    found = [R.semantic_topk(train.where(F.col("fold") == f), train.where(F.col("fold") != f), k, key, vector) for f in folds]
-    near = reduce(lambda a, b: a.unionByName(b), found)
+    ends = train.agg(F.max("fold").alias("last"), F.max(VX.norm(VX.doubles(F.col(vector)))).alias("longest")).first()
+    last, reach = ends.last or 0, (ends.longest or 0.0) ** 2       # no score is beyond +-reach
+    marked = lambda mark: train.withColumn(vector, F.concat(VX.doubles(F.col(vector)), F.transform(
+        F.sequence(F.lit(0), F.lit(last).cast("int")), lambda f: F.when(f == F.col("fold"), F.lit(float(mark))).otherwise(0.0))))
+    near = R.semantic_topk(marked(-2 * reach - 1), marked(1), k, key, vector).where(F.col("score") > -reach - 0.5)
     return materialise(near.join(train.select(*facts), "candidate_id").join(train.select(*own), "query_id"), "fold-neighbours")
 
 
@@ -339,13 +345,26 @@ SLICE = 256      # rows multiplied at a time inside a task
 POWER_PASSES = 4
 
 
+TERM_BLOCK = 1024       # terms whose sums travel together
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Partial sums of one block of terms, each a matrix, to their sum."""
+    total = None
+    for z in table.column("z"):
+        part = np.frombuffer(z.as_py())
+        total = part.copy() if total is None else total + part
+    return pa.table({"block": table.column("block")[:1], "z": pa.array([total.tobytes()], pa.binary())})
+
+
 def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """(X'X) basis in one pass: every task returns one matrix of bounded size, summed in a tree."""
+    """(X'X) basis in one pass. A task's sums leave it in blocks of terms, those it has rows of; blocks are summed in tasks of their
+    own, and the driver gets each once, as many numbers as the basis has."""
     shared = rows.sparkSession.sparkContext.broadcast(basis)
 
     def run(batches):
         q = shared.value
-        out, any_rows = np.zeros_like(q), False
+        blocks: dict[int, np.ndarray] = {}
         for batch in batches:
             offsets, index = list_values(batch.column("idx"))
             values = list_values(batch.column("val"))[1]
@@ -355,13 +374,21 @@ def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
                 terms, place = np.unique(index[part], return_inverse=True)
                 x = np.zeros((high - low, len(terms)))
                 x[np.repeat(np.arange(high - low), np.diff(offsets[low:high + 1])), place] = values[part]
-                out[terms] += x.T @ (x @ q[terms])
-                any_rows = True
-        if any_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["z"])
-
-    partial = rows.select("idx", "val").mapInArrow(run, "z binary").rdd.map(lambda r: np.frombuffer(r.z).reshape(basis.shape))
-    return partial.treeReduce(np.add, depth=3)
+                z, edges = x.T @ (x @ q[terms]), np.flatnonzero(np.diff(terms // TERM_BLOCK, prepend=-1))
+                for first, last in zip(edges, np.append(edges[1:], len(terms))):
+                    number = int(terms[first] // TERM_BLOCK)
+                    if number not in blocks:
+                        blocks[number] = np.zeros((min(TERM_BLOCK, len(q) - number * TERM_BLOCK), q.shape[1]))
+                    blocks[number][terms[first:last] - number * TERM_BLOCK] += z[first:last]
+        for number, block in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["block", "z"])
+
+    partial = rows.select("idx", "val").mapInArrow(run, "block int, z binary")
+    out = np.zeros_like(basis)
+    for row in partial.groupBy("block").applyInArrow(_summed, "block int, z binary").toLocalIterator():
+        block = np.frombuffer(row.z).reshape(-1, basis.shape[1])
+        out[row.block * TERM_BLOCK:row.block * TERM_BLOCK + len(block)] = block
+    return out
 
 
 def term_basis(rows: DataFrame, size: int, dims: int, seed: int = fixed.SEED) -> np.ndarray:

@@ -15,6 +15,7 @@ from queuemill import fixed
 from queuemill.functions import scalars as S
 from queuemill.functions import text as X
 from queuemill.functions import vectors as VX
+from queuemill.operators import postings as POST
 from queuemill.operators import similarity as SIM
 from queuemill.runtime import ratio, rounded
 
@@ -35,36 +36,33 @@ def sparse_corpus(df: DataFrame, key: str) -> DataFrame:
 
 
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, key: str) -> DataFrame:
-    return SIM.topk(sparse_queries(queries, key), sparse_corpus(corpus, key), k, sparse=True).drop("variant")
+    return POST.topk(sparse_queries(queries, key), sparse_corpus(corpus, key), k).drop("variant")
 
 
-def blended(df: DataFrame, weight: Column, dense: str = "embedding") -> DataFrame:
-    """One sparse vector per row whose dot product with `joined` rows is w*dense + (1-w)*lexical."""
-    return _side_by_side(df, VX.scaled(F.col(dense), weight), VX.scaled(F.col("val"), 1 - weight), dense)
+def joined(df: DataFrame, dims: int, dense: str = "embedding") -> DataFrame:
+    """The `dims` numbers of the dense vector and the term weights side by side; a row without one of them has zeros, or no terms."""
+    zeros, none = F.array_repeat(F.lit(0.0), dims), lambda kind: F.array().cast(f"array<{kind}>")
+    places = F.concat(F.sequence(F.lit(0), F.lit(dims - 1)) if dims else none("int"),
+                      F.transform(F.coalesce("idx", none("int")), lambda i: (i + dims).cast("int")))
+    return (df.withColumn("_val", F.concat(F.coalesce(F.col(dense), zeros), F.coalesce("val", none("double")))).withColumn("idx", places)
+            .drop("val").withColumnRenamed("_val", "val"))
 
 
-def joined(df: DataFrame, dense: str = "embedding") -> DataFrame:
-    return _side_by_side(df, F.col(dense), F.col("val"), dense)
-
-
-def _side_by_side(df, left, right, dense):
-    shift = F.size(dense)
-    places = F.concat(F.sequence(F.lit(0), shift - 1), F.transform("idx", lambda i: (i + shift).cast("int")))
-    return df.withColumn("_val", F.concat(left, right)).withColumn("idx", places).drop("val").withColumnRenamed("_val", "val")
+def dense_size(df: DataFrame, dense: str = "embedding") -> int:
+    return df.select(F.size(dense).alias("n")).where("n > 0").agg(F.max("n")).first()[0] or 0
 
 
 def hybrid_topk(queries: DataFrame, corpus: DataFrame, weight: float, k: int, key: str = "vec_id") -> DataFrame:
-    """A blend of two cosines is one dot product of the vectors laid side by side."""
-    return SIM.topk(sparse_queries(blended(queries, F.lit(weight)), key),
-                    sparse_corpus(joined(corpus), key), k, sparse=True).drop("variant")
+    """The best by a blend of two cosines."""
+    dims = dense_size(corpus)
+    return SIM.blend_topk(sparse_queries(joined(queries, dims), key), sparse_corpus(joined(corpus, dims), key), k, [weight], dims).drop("variant")
 
 
 def leave_one_out(corpus: DataFrame, weights=fixed.BLEND_GRID, key: str = "vec_id") -> DataFrame:
     """The best other row for every row and weight, all weights in one pass."""
-    grid = F.posexplode(F.array(*[F.lit(w) for w in weights])).alias("variant", "w")
-    asked = blended(corpus.select("*", grid), F.col("w"))
-    best = SIM.topk(sparse_queries(asked, key, exclude=key, variant=F.col("variant")),
-                    sparse_corpus(joined(corpus), key), 1, sparse=True)
+    dims = dense_size(corpus)
+    rows = joined(corpus, dims)
+    best = SIM.blend_topk(sparse_queries(rows, key, exclude=key), sparse_corpus(rows, key), 1, list(weights), dims)
     named = F.array(*[F.lit(w) for w in weights])[F.col("variant").cast("int")]
     return best.select(named.alias("w"), "variant", "query_id", "candidate_id", "score")
 
@@ -94,10 +92,11 @@ def category_topk(queries: DataFrame, corpus: DataFrame, k: int, predicted: str,
 
 def category_hybrid_topk(queries: DataFrame, corpus: DataFrame, weight: float, k: int, predicted: str, key: str = "vec_id") -> DataFrame:
     scoped = category_scope(queries, corpus, predicted, k)
-    q = blended(scoped, F.lit(weight))
-    asked = sparse_queries(q, key).drop("scope").join(scoped.select(F.col(key).alias("query_id"), "scope"), "query_id")
-    return SIM.topk(asked, joined(corpus).select(F.col(key).cast("long").alias("candidate_id"),
-                    F.col("category").alias("scope"), "idx", "val"), k, sparse=True).drop("variant")
+    dims = dense_size(corpus)
+    asked = joined(scoped, dims).select(F.col(key).cast("long").alias("query_id"), F.lit(0).cast("long").alias("variant"),
+                                        F.lit(None).cast("long").alias("exclude_id"), "scope", "idx", "val")
+    held = joined(corpus, dims).select(F.col(key).cast("long").alias("candidate_id"), F.col("category").alias("scope"), "idx", "val")
+    return SIM.blend_topk(asked, held, k, [weight], dims).drop("variant")
 
 
 def with_pids(ranked: DataFrame, queries: DataFrame, corpus: DataFrame, key: str = "vec_id") -> DataFrame:

@@ -29,6 +29,7 @@ DIGITS = 9          # scores are compared after rounding, so engines agree on ti
 SLACK = 1e-7        # above rounding and floating-point error of the bounds
 MAX_CELLS = 16_384  # cells whose bounds every task holds
 BLOCK = 4096        # rows of a query block, and of a chunk of a cell
+BLEND_BLOCK = 1024  # the same for blends, which cost more for each pair
 SLICE = 256         # queries multiplied at a time
 MOST = 4_000_000    # numbers in one intermediate matrix
 EVERY = "every"     # the cell of the whole corpus; scopes are named "in ..."
@@ -160,6 +161,49 @@ def _block_topk(k: int):
     return run
 
 
+def _sides(rows: _Rows, dims: int) -> tuple[np.ndarray, _Rows]:
+    """The dense part, which is the first `dims` entries of every row, and the rest."""
+    first = rows.offsets[:-1, None] + np.arange(dims)
+    rest = np.ones(len(rows.values), bool)
+    rest[first] = False
+    out = object.__new__(_Rows)
+    out.offsets, out.values, out.index, out.sparse, out.n = rows.offsets - dims * np.arange(rows.n + 1), rows.values[rest], rows.index[rest], True, rows.n
+    return rows.values[first], out
+
+
+def _block_blends(k: int, weights: list[float], dims: int):
+    """Like `_block_topk`, over rows of a dense and a sparse part: both products are taken once and blended with every weight, which is
+    the variant."""
+    def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        if queries.num_rows == 0 or corpus.num_rows == 0:
+            return OUT.empty_table()
+        named = lambda table, prefix: table.rename_columns([n.removeprefix(prefix) for n in table.column_names])
+        queries, corpus = named(queries, "q_"), named(corpus, "c_")
+        asked, candidates, query = _Rows(queries), _ids(corpus, "candidate_id"), _ids(queries, "query_id")
+        held_dense, held = _sides(_Rows(corpus), dims)
+        own = queries.column("exclude_id").combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+        parts = []
+        for low in range(0, asked.n, SLICE):
+            high = min(low + SLICE, asked.n)
+            dense, terms = _sides(asked.part(low, high), dims)
+            near, shared = dense @ held_dense.T, _products(terms, held)
+            hidden = own[low:high, None] == candidates[None, :]
+            for variant, weight in enumerate(weights):
+                scores = np.round(weight * near + (1 - weight) * shared, DIGITS) + 0.0
+                scores[hidden] = -np.inf
+                rows, cols, found = _best(scores, candidates, k)
+                parts.append(pa.table([query[low + rows], np.full(len(rows), variant), candidates[cols], found], schema=OUT))
+        return pa.concat_tables(parts)
+    return run
+
+
+def blend_topk(queries: DataFrame, corpus: DataFrame, k: int, weights: list[float], dims: int, block_rows: int = BLEND_BLOCK) -> DataFrame:
+    """(query_id, variant, candidate_id, score, rank) for rows whose first `dims` entries are dense: the k best for every weight w of
+    w * dense + (1 - w) * sparse. A dense part says nothing about terms and the other way round, so no cell is left out."""
+    asked, placed = _by_scope(queries, corpus)
+    return ranked(_partial(asked, placed, k, block_rows, _block_blends(k, list(weights), dims)), k)
+
+
 # ---------------------------------------------------------------- pivots, cells, bounds
 
 def _pivot_rows(corpus: DataFrame, count: int) -> pa.Table:
@@ -265,7 +309,7 @@ def query_blocks(asked: DataFrame, block: int) -> DataFrame:
             .withColumn("qblock", F.struct("home", F.pmod(F.xxhash64("query_id", "variant"), F.col("blocks")).alias("part"))))
 
 
-def _partial(asked: DataFrame, placed: DataFrame, k: int, block: int) -> DataFrame:
+def _partial(asked: DataFrame, placed: DataFrame, k: int, block: int, run=None) -> DataFrame:
     """The k best of every query in every chunk it looks into."""
     asked = query_blocks(asked, block)
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("chunks"))
@@ -278,7 +322,7 @@ def _partial(asked: DataFrame, placed: DataFrame, k: int, block: int) -> DataFra
          .select("ccell", "cblock", F.pmod(F.xxhash64("candidate_id"), F.col("chunks")).cast("int").alias("cchunk"),
                  *_fresh("c_", "candidate_id", "idx", "val")))
     return (q.groupBy("qcell", "qchunk", "qblock").cogroup(c.groupBy("ccell", "cchunk", "cblock"))
-            .applyInArrow(_block_topk(k), OUT_DDL))
+            .applyInArrow(run or _block_topk(k), OUT_DDL))
 
 
 def _fresh(prefix: str, *names: str) -> list:

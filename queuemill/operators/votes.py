@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queuemill import fixed
@@ -27,8 +28,8 @@ def align_classes(scores: DataFrame, classes: list[str], keys: list[str]) -> Dat
 
 def normalised(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Scores of one (row, model) scaled to sum 1."""
-    total = scores.groupBy(*keys).agg(F.sum("score").alias("_total"))
-    return scores.join(total, keys).withColumn("score", F.col("score") / F.greatest("_total", F.lit(1e-12))).drop("_total")
+    total = F.sum("score").over(W.partitionBy(*keys))       # as many rows as there are classes
+    return scores.withColumn("score", F.col("score") / F.greatest(total, F.lit(1e-12)))
 
 
 def softmax_scores(scores: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,18 +5,20 @@ from pyspark.sql import functions as F
 
 from queuemill import fixed
 from queuemill.functions import scalars as S
+from queuemill.operators import bundles as BU
 from queuemill.operators import features as FE
 from queuemill.operators import lexical as LX
 from queuemill.operators import metrics as M
 from queuemill.operators import models as MO
 from queuemill.operators import retrieval as R
+from queuemill.operators import sampling as SA
 from queuemill.operators import votes as VO
 from queuemill.plans import retrieval_queries as RQ
 from queuemill.plans import views as V
 from queuemill.plans.registry import query
 from queuemill.plans.shared_frames import split
-from queuemill.runtime import fresh_path, materialise, rounded
-from queuemill.sources import io as IO
+from queuemill.runtime import fresh_path, materialise, rounded, spread, table
+from queuemill.streaming import jobs as J
 
 
 def dense_rows(spark, sf, label="category"):
@@ -28,14 +30,11 @@ def dense_rows(spark, sf, label="category"):
 
 def sparse_rows(spark, sf):
     """Documents labelled by language, as TF-IDF vectors."""
-    from queuemill.operators import sampling as SA
-    from queuemill.runtime import table
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = LX.tokens(spread(table(spark, sf, "documents")), "doc_id", RQ._clean(), "lang")
     placed = materialise(SA.stratified_split(docs, "lang", "doc_id"), "documents")
-    clean = RQ._clean()
-    vocabulary = LX.Vocabulary.fit(placed.where("split = 'train'"), "doc_id", clean)
+    vocabulary = LX.Vocabulary.fit(placed.where("split = 'train'"))
     size = max(1, vocabulary.terms.count())
-    vectors = LX.vectors(placed, "doc_id", clean, vocabulary)
+    vectors = LX.vectors(placed, "doc_id", vocabulary)
     rows = placed.select("doc_id", "lang", "split", "fold").join(vectors, "doc_id")
     rows = rows.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "split", "fold", "idx", "val")
     rows = materialise(rows, "sparse-rows")
@@ -96,10 +95,8 @@ def select_head(spark, sf):
 
 
 def with_context(spark, sf):
-    """Vectors beside the context blocks of the ticket with the same number."""
-    vectors = split(spark, sf).select("vec_id", F.col("category").alias("label"), "split", "fold", F.col("embedding").alias("text"))
-    tickets = V.tickets(spark, sf).select("ord", "subject", "description", "department", "created")
-    both = vectors.join(tickets, F.col("vec_id") == F.col("ord"))
+    """Every vector and every document as a ticket, with its context blocks; a ticket without a vector has zeros."""
+    both = ticket_rows(spark, sf).withColumnsRenamed({"id": "vec_id", "vector": "text", "category": "label"})
     fitter = FE.ContextBlocks.fit(both.where("split = 'train'"))
     blocks = materialise(fitter.transform(both).select("vec_id", "label", "split", "fold", "text", "dept", "time", "shape"), "blocks")
     return blocks
@@ -108,8 +105,8 @@ def with_context(spark, sf):
 @query("ablate")
 def ablate(spark, sf):
     train = with_context(spark, sf).where("split = 'train'")
-    spec = [("Semantic text only", ["text"]), ("+ department metadata", ["text", "dept"])]
-    return MO.ablate(train, spec, "Logistic Regression", {"C": 1.0, "max_iter": 25})
+    spec = [(name, list(blocks)) for name, blocks in fixed.ABLATION_STEPS[:-1]]
+    return MO.ablate(train, spec, "Logistic Regression", {"C": 1.0})
 
 
 @query("block_registry")
@@ -139,36 +136,85 @@ def score_batch(spark, sf):
     return scored.withColumn("ranking", F.array_join("ranking", ">"))
 
 
+def ticket_rows(spark, sf):
+    """Every vector and every document as a ticket: fields, vector, category, team, problem, resolution, split and fold."""
+    cases = SA.stratified_split(V.cases(spark, sf), "category", "vec_id").drop("text")
+    fields = V.tickets(spark, sf).select(F.col("ord").alias("t_ord"), "subject", "description", "department", "created")
+    rows = cases.join(fields, F.col("vec_id") == F.col("t_ord"), "left").drop("t_ord")
+    return materialise(rows.withColumnsRenamed({"vec_id": "id", "embedding": "vector"}), "ticket-rows")
+
+
+def saved_bundle(spark, rows):
+    """Fits the category and the routing job, and stores them with the corpus of solved tickets."""
+    path, train = fresh_path(spark, "bundle"), rows.where("split = 'train'")
+    category = BU.fit_category(train)
+    BU.save_bundle(path, BU.fit_routing(train, category), train)
+    return path
+
+
 @query("save_model_bundle")
 def save_model_bundle(spark, sf):
-    train, test = dense_rows(spark, sf)
-    path = fresh_path(spark, "bundle")
-    IO.save_model_bundle(MO.fit("Logistic Regression", train), path)
-    return MO.predict(IO.load_model_bundle(path), test).select("id", "predicted")
+    rows = ticket_rows(spark, sf)
+    path = saved_bundle(spark, rows)
+    fresh = rows.where("split = 'test'").select("id", "subject", "description", "department", "created", "vector")
+    return BU.load_pipeline(f"{path}/routing").transform(fresh).select(
+        "id", F.col("category").alias("predicted"), rounded(F.col("category_confidence"), 4).alias("confidence"), F.col("team_suggested").alias("team"))
+
+
+@query("answer_batch")
+def answer_batch(spark, sf):
+    """New tickets answered by a stored bundle: category, team, and solved tickets to look at."""
+    rows = ticket_rows(spark, sf)
+    path = saved_bundle(spark, rows)
+    fresh = rows.where("split = 'test'").select("id", "subject", "description", "department", "created", "vector")
+    shown = BU.answer(spark, path, fresh)
+    return shown.select("id", "category", "team", "abstained", "category_filtered", "threshold", F.size("matches").cast("long").alias("n_matches"),
+                        F.array_join(F.transform("matches", lambda m: m["candidate_id"].cast("string")), ",").alias("matched"),
+                        F.exists("matches", lambda m: m["strong"]).alias("strong_match"))
+
+
+@query("stream_scored_intake")
+def stream_scored_intake(spark, sf):
+    """Arriving tickets are scored by a stored bundle inside the stream; blank ones are set aside with the reason."""
+    rows = ticket_rows(spark, sf)
+    bundle = saved_bundle(spark, rows)
+    arriving = rows.where("split = 'test'").select(
+        F.col("id").alias("ord"), F.lit("2024-07-01 08:00:00").alias("at"), "subject", "description", F.lit("").alias("requester"), "department", "created", "vector")
+    source, opened, events, rejected, checkpoint = (fresh_path(spark, t) for t in ("arrivals", "opened", "intake-events", "rejected", "checkpoint"))
+    for part in ("ord % 2 = 0", "ord % 2 = 1"):
+        arriving.where(part).write.mode("append").parquet(source)
+        stream = J.read_stream(spark, source, arriving.schema, "parquet")
+        J.stream_intake(stream, J.scores_of(BU.load_pipeline(f"{bundle}/routing")), opened, events, checkpoint, rejected_path=rejected).awaitTermination()
+    told = spark.read.parquet(events).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("detail").alias("abstained"))
+    aside = spark.read.parquet(rejected).groupBy(F.concat(F.lit("rejected "), F.col("reason")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("abstained"))
+    return told.unionByName(aside)
 
 
 @query("lsa_vectors")
 def lsa_vectors(spark, sf):
     rows, size = sparse_rows(spark, sf)
-    made, share = MO.lsa_vectors(rows.where("split = 'train'"), rows, size, dims=50)
+    made, share = MO.lsa_vectors(rows.where("split = 'train'"), rows, size)
     return made.select("id", F.size("lsa").cast("long").alias("dims"), F.lit(share).alias("explained"))
 
 
 @query("representation_test")
 def representation_test(spark, sf):
-    """The same head and folds on dense vectors and on term vectors, for the rows that have both."""
-    rows, size = sparse_rows(spark, sf)
-    lsa, _ = MO.lsa_vectors(rows.where("split = 'train'"), rows, size, dims=50)
-    train, _ = dense_rows(spark, sf)
-    both = train.join(lsa.select("id", MO.array_to_vector("lsa").alias("lexical")), "id").select("id", "label", "fold", "features", "lexical")
+    """Both tasks by the same head and folds on sentence vectors and on term vectors, over all training tickets."""
+    cases = SA.stratified_split(V.cases(spark, sf), "category", "vec_id")
+    words = LX.tokens(spread(cases), "vec_id", RQ._clean(), "split")
+    vocabulary = LX.Vocabulary.fit(words.where("split = 'train'"))
+    terms = materialise(LX.vectors(words, "vec_id", vocabulary).join(words.select("vec_id", "split"), "vec_id"), "term-vectors")
+    lsa, _ = MO.lsa_vectors(terms.where("split = 'train'"), terms, max(1, vocabulary.terms.count()))
+    both = cases.where("split = 'train'").join(lsa.select("vec_id", MO.array_to_vector("lsa").alias("lexical")), "vec_id").select(
+        "category", "team", "fold", MO.dense_vector("embedding").alias("features"), "lexical")
     both = materialise(both, "representations")
-    result = [(name, MO.cv_score("Logistic Regression", both.select("label", "fold", F.col(column).alias("features")), C=1.0, max_iter=25))
-              for name, column in (("Contextual sentence embedding", "features"), ("Lexical TF-IDF → LSA", "lexical"))]
-    return spark.createDataFrame(result, "representation string, cv_f1 double")
+    result = [(task, name, MO.cv_score("Logistic Regression", both.select(F.col(task).alias("label"), "fold", F.col(column).alias("features")), C=1.0))
+              for task in ("category", "team") for name, column in (("Contextual sentence embedding", "features"), ("Lexical TF-IDF → LSA", "lexical"))]
+    return spark.createDataFrame(result, "task string, representation string, cv_f1 double")
 
 
 @query("fit_learning_curve")
 def fit_learning_curve(spark, sf):
     train, test = dense_rows(spark, sf)
-    runs = MO.learning_runs(train.select("id", "label", "features"), test, "Logistic Regression", C=1.0, max_iter=15)
+    runs = MO.learning_runs(train.select("id", "label", "features"), test, "Logistic Regression", C=1.0)
     return M.learning_curve(runs)

@@ -7,11 +7,12 @@ from queuemill.functions import text as X
 from queuemill.functions import vectors as VX
 from queuemill.operators import lexical as LX
 from queuemill.operators import retrieval as R
+from queuemill.operators import sampling as SA
 from queuemill.plans import views as V
 from queuemill.plans.registry import query, with_ctes
 from queuemill.plans.screening_queries import clean_sql, long_array, long_array_sql
 from queuemill.plans.shared_frames import split
-from queuemill.runtime import rounded, table
+from queuemill.runtime import rounded, spread, table
 
 QC = [V.VECTORS, V.SPLIT, ("q", "SELECT * FROM sp WHERE split = 'test'"),
       ("c", "SELECT * FROM sp WHERE split = 'train' AND trim(resolution) <> ''")]
@@ -150,7 +151,7 @@ def held_out(row_id):
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents")).select("doc_id", "text")
 
 
 def _clean():
@@ -158,28 +159,27 @@ def _clean():
 
 
 def lexical_sides(spark, sf):
-    docs = documents(spark, sf)
-    vocabulary = LX.Vocabulary.fit(docs.where(~held_out("doc_id")), "doc_id", _clean())
-    sparse = R.SIM.materialise(LX.vectors(docs, "doc_id", _clean(), vocabulary), "term-vectors")
+    docs = LX.tokens(documents(spark, sf), "doc_id", _clean())
+    vocabulary = LX.Vocabulary.fit(docs.where(~held_out("doc_id")))
+    sparse = R.SIM.materialise(LX.vectors(docs, "doc_id", vocabulary), "term-vectors")
     return sparse.where(held_out("doc_id")), sparse.where(~held_out("doc_id")), vocabulary
 
 
 @query("tfidf", with_ctes(lexical_ctes(f"SELECT doc_id FROM documents WHERE NOT {_HELD_OUT}"), f"""
 SELECT doc_id, term, round(w, 6) AS weight FROM wt WHERE NOT {_HELD_OUT}"""))
 def tfidf(spark, sf):
-    docs = documents(spark, sf).where(~held_out("doc_id"))
-    vocabulary = LX.Vocabulary.fit(docs, "doc_id", _clean())
-    rows = LX.long_vectors(LX.vectors(docs, "doc_id", _clean(), vocabulary), "doc_id", vocabulary)
+    docs = LX.tokens(documents(spark, sf).where(~held_out("doc_id")), "doc_id", _clean())
+    vocabulary = LX.Vocabulary.fit(docs)
+    rows = LX.long_vectors(LX.vectors(docs, "doc_id", vocabulary), "doc_id", vocabulary)
     return rows.withColumn("weight", rounded(F.col("weight")))
 
 
 @query("tfidf_transform", with_ctes(lexical_ctes(f"SELECT doc_id FROM documents WHERE NOT {_HELD_OUT}"), f"""
 SELECT doc_id, term, round(w, 6) AS weight FROM wt WHERE {_HELD_OUT}"""))
 def tfidf_transform(spark, sf):
-    docs = documents(spark, sf)
-    vocabulary = LX.Vocabulary.fit(docs.where(~held_out("doc_id")), "doc_id", _clean())
-    unseen = docs.where(held_out("doc_id"))
-    rows = LX.long_vectors(LX.vectors(unseen, "doc_id", _clean(), vocabulary), "doc_id", vocabulary)
+    docs = LX.tokens(documents(spark, sf), "doc_id", _clean())
+    vocabulary = LX.Vocabulary.fit(docs.where(~held_out("doc_id")))
+    rows = LX.long_vectors(LX.vectors(docs.where(held_out("doc_id")), "doc_id", vocabulary), "doc_id", vocabulary)
     return rows.withColumn("weight", rounded(F.col("weight")))
 
 
@@ -197,10 +197,9 @@ def positive_only(spark, sf):
 
 # ---------------------------------------------------------------- hybrid
 
-_BOTH = "(SELECT d.* FROM documents d JOIN sp ON sp.vec_id = d.doc_id)"
-HQC = [V.VECTORS, V.SPLIT, ("q", "SELECT sp.* FROM sp JOIN documents ON doc_id = vec_id WHERE split = 'test'"),
-       ("c", "SELECT sp.* FROM sp JOIN documents ON doc_id = vec_id WHERE split = 'train' AND trim(resolution) <> ''"), SEM,
-       *lexical_ctes("SELECT vec_id AS doc_id FROM c", _BOTH),
+HQC = [V.CASES, V.SPLIT, ("q", "SELECT * FROM sp WHERE split = 'test'"),
+       ("c", "SELECT * FROM sp WHERE split = 'train' AND trim(resolution) <> ''"), SEM,
+       *lexical_ctes("SELECT vec_id AS doc_id FROM c", "(SELECT vec_id AS doc_id, text FROM sp)"),
        ("lq", "SELECT vec_id AS doc_id FROM q"), ("lc", "SELECT vec_id AS doc_id FROM c"), LEX]
 
 
@@ -211,12 +210,12 @@ FROM q CROSS JOIN c LEFT JOIN lex ON query_id = q.vec_id AND candidate_id = c.ve
 
 
 def hybrid_sides(spark, sf):
-    both = split(spark, sf).join(documents(spark, sf), F.col("vec_id") == F.col("doc_id")).drop("doc_id")
-    corpus = both.where("split = 'train' AND trim(resolution) <> ''")
-    vocabulary = LX.Vocabulary.fit(corpus, "vec_id", _clean())
-    sparse = LX.vectors(both, "vec_id", _clean(), vocabulary)
+    both = R.SIM.materialise(SA.stratified_split(V.cases(spark, sf), "category", "vec_id"), "cases")
+    cased = "split = 'train' AND trim(resolution) <> ''"
+    words = LX.tokens(spread(both), "vec_id", _clean(), "split", "resolution")
+    sparse = LX.vectors(words, "vec_id", LX.Vocabulary.fit(words.where(cased)))
     full = R.SIM.materialise(both.drop("text").join(sparse, "vec_id"), "hybrid-vectors")
-    return full.where("split = 'test'"), full.where("split = 'train' AND trim(resolution) <> ''")
+    return full.where("split = 'test'"), full.where(cased)
 
 
 @query("hybrid_topk", with_ctes([*HQC, hybrid_cte(0.5)], _topk_sql(10, "hyb")))

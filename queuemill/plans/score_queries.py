@@ -365,15 +365,16 @@ def prefix_join(spark, sf):
     return M.prefix_join(M.head_to_head(*arms(spark, sf)).select("task", "metric", "delta"), tests)
 
 
-_MIX = "(ticket_id * 2654435 + rep * 7919 + 42) & 4294967295"
+_MIX = "(cell * 2654435 + rep * 7919 + 42) & 4294967295"
 _ROUND = "(xor(x >> 16, x) * 73244475) & 4294967295"
 _POISSON = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {k}" for k, p in enumerate(M.POISSON_STEPS)) + f" ELSE {len(M.POISSON_STEPS)} END"
 
 
-@query("bootstrap_ci", with_ctes([*VOTES, ("h0", f"SELECT rep, (predicted = actual)::INT AS ok, {_MIX} AS x FROM br, (SELECT unnest(range(2000)) AS rep) WHERE model = 'm0'"),
-       ("h1", f"SELECT rep, ok, {_ROUND} AS x FROM h0"), ("h2", f"SELECT rep, ok, {_ROUND} AS x FROM h1"), ("h3", f"SELECT rep, ok, {_ROUND} AS x FROM h2"),
-       ("hw", f"SELECT rep, ok, {_POISSON} AS w FROM (SELECT rep, ok, xor(x >> 16, x) / 4294967296.0::DOUBLE AS u FROM h3)"),
-       ("hs", "SELECT rep, sum(ok * w)::DOUBLE / sum(w) AS s FROM hw GROUP BY rep")],
+@query("bootstrap_ci", with_ctes([*VOTES, ("hc", "SELECT ('0x' || substring(md5(ticket_id::VARCHAR), 1, 3))::BIGINT AS cell, sum((predicted = actual)::INT) AS ok, count(*) AS n FROM br WHERE model = 'm0' GROUP BY 1"),
+       ("h0", f"SELECT rep, ok, n, {_MIX} AS x FROM hc, (SELECT unnest(range(2000)) AS rep)"),
+       ("h1", f"SELECT rep, ok, n, {_ROUND} AS x FROM h0"), ("h2", f"SELECT rep, ok, n, {_ROUND} AS x FROM h1"), ("h3", f"SELECT rep, ok, n, {_ROUND} AS x FROM h2"),
+       ("hw", f"SELECT rep, ok, n, {_POISSON} AS w FROM (SELECT rep, ok, n, xor(x >> 16, x) / 4294967296.0::DOUBLE AS u FROM h3)"),
+       ("hs", "SELECT rep, sum(ok * w)::DOUBLE / sum(n * w) AS s FROM hw GROUP BY rep")],
        "SELECT round(quantile_cont(s, 0.025), 4) AS low, round(quantile_cont(s, 0.975), 4) AS high FROM hs"))
 def bootstrap_ci(spark, sf):
     labels = branch_labels(normalised_scores(spark, sf).where("model = 'm0'"))

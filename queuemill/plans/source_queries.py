@@ -1,5 +1,7 @@
 """Queries that go through storage or a stream, each with its check."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from queuemill import fixed
@@ -112,6 +114,17 @@ def event_tables(spark, sf):
                                               rounded(F.col("confidence")).alias("confidence"), "detail")
 
 
+@query("event_table_state", with_ctes(V.QUEUE, "SELECT * FROM st"))
+def event_table_state(spark, sf):
+    """Written in two deliveries, compacted, and folded bucket by bucket."""
+    names = [f"events_{uuid.uuid4().hex}" for _ in range(2)]
+    IO.create_event_table(spark, names[0], fresh_path(spark, "event-table"), 8)
+    for part in deliveries(V.ticket_events(spark, sf), "event_id"):
+        IO.append_event_table(part, names[0])
+    IO.compact_event_table(spark, *names, fresh_path(spark, "event-table"), 8)
+    return L.state_of_buckets(spark.table(names[1]))
+
+
 # ---------------------------------------------------------------- intake
 
 ARRIVALS = [V.VECTORS, SQ.SCORES, SQ.NORM, ("sb", SQ.best_sql("(SELECT * FROM ns WHERE model = 'm0')")), ("it", """

@@ -87,17 +87,22 @@ _PROBLEM = "concat('P', label, '_', vec_id % 3)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_facts(table(spark, sf_dir, "embeddings"))
+
+
+def _with_facts(labelled: DataFrame, *columns: str) -> DataFrame:
+    """Category, team, problem and resolution of rows (vec_id, embedding, label)."""
     letters = F.translate(F.md5(F.expr(_PROBLEM).cast("binary")), "0123456789", "ghijklmnop")
     spaced = F.trim(F.regexp_replace(letters, r"(.{4})", "$1 "))
     tail = (F.when(F.col("vec_id") % 4 == 0, ". Ticket closed.")
             .when(F.col("vec_id") % 4 == 1, ". User confirmed the issue was resolved.").otherwise("."))
-    return table(spark, sf_dir, "embeddings").select(
+    return labelled.select(
         "vec_id", F.col("embedding").cast("array<double>").alias("embedding"),
         F.concat(F.lit("cat_"), F.col("label")).alias("category"),
         F.concat(F.lit("team_"), F.col("label") % 7).alias("team"),
         F.expr(_PROBLEM).alias("pid"),
         F.when(F.col("vec_id") % 33 == 0, "")
-        .otherwise(F.concat(F.lit("Replaced unit "), spaced, tail)).alias("resolution"))
+        .otherwise(F.concat(F.lit("Replaced unit "), spaced, tail)).alias("resolution"), *columns)
 
 
 VECTORS = ("vx", """
@@ -110,6 +115,26 @@ SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, 'cat_' || label AS cate
          ELSE '.' END END AS resolution
 FROM embeddings""")
 
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector and every document, joined by id: zeros stand for a vector that isn't there, NULL for a text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors_ = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    dims = vectors_.agg(F.max(F.size("embedding"))).first()[0] or 0
+    both = vectors_.join(docs, F.col("vec_id") == F.col("doc_id"), "full").select(
+        F.coalesce("vec_id", "doc_id").alias("vec_id"), F.coalesce("embedding", F.array_repeat(F.lit(0.0), dims)).alias("embedding"),
+        F.coalesce(F.col("label").cast("long"), F.pmod("doc_id", F.lit(10))).alias("label"), "text")
+    return _with_facts(both, "text")
+
+
+CASES = ("vx", """
+SELECT vec_id, embedding, 'cat_' || label AS category, 'team_' || (label % 7) AS team, 'P' || label || '_' || (vec_id % 3) AS pid,
+  CASE WHEN vec_id % 33 = 0 THEN '' ELSE 'Replaced unit ' ||
+    trim(regexp_replace(translate(md5('P' || label || '_' || (vec_id % 3)), '0123456789', 'ghijklmnop'), '(.{4})', '\\1 ', 'g')) ||
+    CASE vec_id % 4 WHEN 0 THEN '. Ticket closed.' WHEN 1 THEN '. User confirmed the issue was resolved.' ELSE '.' END END AS resolution, text
+FROM (SELECT coalesce(vec_id, doc_id) AS vec_id, coalesce(label, doc_id % 10) AS label, text,
+        coalesce(CAST(embedding AS DOUBLE[]), list_transform(range((SELECT max(len(embedding)) FROM embeddings)), lambda x: 0::DOUBLE)) AS embedding
+      FROM embeddings FULL JOIN documents ON vec_id = doc_id)""")
+
 SPLIT = ("sp", """
 SELECT *, CASE WHEN rk <= floor(0.2 * n + 0.5) THEN 'test' ELSE 'train' END AS split, (rk - 1) % 5 AS fold
 FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('42|' || vec_id), vec_id) AS rk,

@@ -57,10 +57,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Row-heavy work on one small file would use one thread of a local session; a cluster's tables
-    lie in more files than it has cores and are read as they are."""
-    context = df.sparkSession.sparkContext
-    return df.repartition(context.defaultParallelism) if context.master.startswith("local") else df
+    """Row-heavy work on fewer files than there are cores would leave most of them idle: such a table is dealt out. Larger ones are
+    read as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def rounded(value: Column, digits: int = 6) -> Column:

@@ -132,6 +132,30 @@ def append_events(events: DataFrame, path: str, buckets: int = 64) -> None:
     dealt.write.mode("append").partitionBy("bucket").parquet(path)
 
 
+def create_event_table(spark: SparkSession, name: str, path: str, buckets: int = 64) -> None:
+    """An event table stored by hash buckets of the ticket, sorted inside them: what groups, windows or joins by ticket over it needs
+    no exchange. Another session registers the same folder under a name of its own."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in EVENT_SCHEMA.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+              f"CLUSTERED BY (ticket_id) SORTED BY (ticket_id, event_id) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+
+
+def append_event_table(events: DataFrame, name: str) -> None:
+    """One more file in every bucket; dealt by bucket first, so that a batch adds one file to a bucket and not one for each task."""
+    spark = events.sparkSession
+    spec = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE FORMATTED {name}").collect()}
+    buckets = int(spec["Num Buckets"])
+    names = [F.col(f.name) if f.name in events.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields]
+    (events.select(*names).repartition(buckets, "ticket_id").write.mode("append").format("parquet")
+     .bucketBy(buckets, "ticket_id").sortBy("ticket_id", "event_id").saveAsTable(name))
+
+
+def compact_event_table(spark: SparkSession, name: str, to_name: str, to_path: str, buckets: int = 64) -> None:
+    """The same events with one file in every bucket, each repeated event once."""
+    create_event_table(spark, to_name, to_path, buckets)
+    append_event_table(spark.table(name).dropDuplicates(["ticket_id", "event_id"]), to_name)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType([*EVENT_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])).parquet(path).drop("bucket")
 

@@ -6,6 +6,7 @@ replaces what it wrote before.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +15,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from queuemill.operators import decisions as D
 from queuemill.operators import lifecycle as L
 from queuemill.sources.io import is_missing
+from queuemill.streaming import ticket_state as TS
+
+TS_READS = ("event_id", "ticket_id", "at", "kind", "to_team", "category", "detail", "resolution")
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "json", files_per_batch: int = 1000) -> DataFrame:
@@ -59,37 +63,50 @@ def latest_state(log: DataFrame) -> DataFrame:
     return last.select("ticket_id", "s.*")
 
 
-def stream_ticket_state(events: DataFrame, log_path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
-    """State of the touched tickets after every micro-batch, under its batch number.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-    Events are kept by bucket of the ticket. A batch adds its own and folds the whole history of the tickets it touches,
-    reading only their buckets, so that late events and events delivered twice end as in the batch fold. The
-    fold reduces by many tasks: a ticket with very many events is never gathered in one.
-    """
-    bucket = F.pmod(F.xxhash64("ticket_id"), F.lit(buckets)).cast("int")
 
-    def apply(batch: DataFrame, number: int):
-        spark = batch.sparkSession
-        own, history = f"{log_path}/events", f"{log_path}/events/batch={number}"
+def stream_ticket_state(events: DataFrame, log_path: str, checkpoint: str, keep: int = TS.KEEP, idle_ms: int = TS.IDLE_MS) -> StreamingQuery:
+    """State of the touched tickets after every micro-batch, under its batch number; `TicketState` keeps it by key, so a batch
+    reads nothing but its own events. A ticket's events of one batch stream through one task."""
+    spark = events.sparkSession
+    names = [f.name for f in L.EVENT_SCHEMA.fields if f.name in events.columns and f.name in TS_READS]
+    folded = (events.select(*names).where(F.col("ticket_id").isNotNull()).groupBy("ticket_id")
+              .transformWithState(TS.TicketState(keep, idle_ms), TS.OUT, "Update", "ProcessingTime"))
+
+    def write(batch: DataFrame, number: int):
         # Written under the batch number: a batch that runs again replaces its first attempt.
-        batch.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(history)
-        mine = spark.read.parquet(history)
-        touched = mine.select("ticket_id").distinct()
-        dirty = [r.bucket for r in mine.select("bucket").distinct().collect()]      # at most `buckets` numbers
-        past = spark.read.parquet(own).where(F.col("bucket").isin(dirty) & (F.col("batch") <= number))
-        whole = past.drop("bucket", "batch").join(touched, "ticket_id", "left_semi")
-        L.refold(whole).write.mode("overwrite").parquet(f"{log_path}/state/batch={number}")
-    return start(events, apply, checkpoint)
+        batch.write.mode("overwrite").parquet(f"{log_path}/state/batch={number}")
+
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)       # read when the query starts; other queries keep theirs
+    try:
+        return start(folded, write, checkpoint, mode="update")
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def scores_of(model: PipelineModel):
+    """What a routing bundle says of a batch of arrivals, for `stream_intake`."""
+    def score(batch: DataFrame) -> DataFrame:
+        scored = model.transform(batch.where("ord IS NOT NULL").withColumn("id", F.col("ord")))
+        return scored.select("ord", "category", F.col("team_suggested").alias("team"), F.round("team_suggested_confidence", 4).alias("confidence"))
+    return score
 
 
 def stream_intake(arrivals: DataFrame, score, opened_path: str, events_path: str, checkpoint: str, last_id: int = 0,
-                  first_event_id: int = 0, abstain_below: float = L.fixed.ABSTAIN_BELOW) -> StreamingQuery:
-    """Arriving tickets scored by `score(batch)` and opened; ids continue from the batches before."""
+                  first_event_id: int = 0, abstain_below: float = L.fixed.ABSTAIN_BELOW,
+                  rejected_path: str | None = None) -> StreamingQuery:
+    """Arriving tickets scored by `score(batch)` and opened; ids continue from the batches before. Arrivals that open no ticket are
+    written to `rejected_path` with the reason."""
     def apply(batch: DataFrame, number: int):
         spark = batch.sparkSession
         log = state_log(spark, opened_path)
         taken = last_id if log is None else log.where(F.col("batch") < number).agg(F.coalesce(F.max("id"), F.lit(last_id))).first()[0]
         opened, events = L.intake(batch, score(batch), taken, first_event_id + 2 * (taken - last_id), abstain_below)
         opened.write.mode("overwrite").parquet(f"{opened_path}/batch={number}")
+        if rejected_path:
+            L.rejected(batch).write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
         events.write.mode("overwrite").parquet(f"{events_path}/batch={number}")
     return start(arrivals, apply, checkpoint)

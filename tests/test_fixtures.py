@@ -116,7 +116,7 @@ def test_stream_state_with_late_events_equals_batch(spark, tmp_path):
     source, log = str(tmp_path / "in"), str(tmp_path / "log")
     for part in ("event_id % 3 = 0", "event_id % 3 = 2", "event_id % 3 = 1", "event_id < 4"):      # late, and some twice
         events.where(part).write.mode("append").parquet(source)
-        J.stream_ticket_state(J.read_stream(spark, source, events.schema, "parquet"), log, str(tmp_path / "cp"), buckets=4).awaitTermination()
+        J.stream_ticket_state(J.read_stream(spark, source, events.schema, "parquet"), log, str(tmp_path / "cp")).awaitTermination()
     got = J.latest_state(J.state_log(spark, f"{log}/state")).select(*L.FOLDED)
     assert {r.ticket_id: tuple(r) for r in got.collect()} == {r.ticket_id: tuple(r) for r in L.fold(L.with_holder(events)).select(*L.FOLDED).collect()}
 

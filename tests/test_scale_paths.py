@@ -103,7 +103,7 @@ def test_sparse_and_dense_agree(spark):
     sparse = spark.createDataFrame([(i, np.nonzero(v)[0].tolist(), v[np.nonzero(v)[0]].tolist()) for i, v in enumerate(dense)],
                                    "id long, idx array<int>, val array<double>")
     from queuemill.operators import retrieval as R
-    got = R.lexical_topk(sparse, sparse, 5, "id").collect()
+    got = SIM.topk(R.sparse_queries(sparse, "id"), R.sparse_corpus(sparse, "id"), 5, sparse=True).collect()
     found = {}
     for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
         found.setdefault(r.query_id, []).append(r.candidate_id)
