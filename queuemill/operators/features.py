@@ -60,7 +60,8 @@ def statistics(df: DataFrame, blocks: list[str]) -> dict[str, tuple[list[float],
 
 def apply_statistics(vector: Column, fitted, unitise: bool = True) -> Column:
     mean, std = fitted
-    scaled = VX.standardised(vector, literal_array(mean), literal_array(std))
+    # What a rounded mean leaves of a constant is no signal; a head that scales its features by their spread would blow it up.
+    scaled = F.transform(VX.standardised(vector, literal_array(mean), literal_array(std)), lambda x: F.when(F.abs(x) < 1e-12, 0.0).otherwise(x))
     return VX.unit(scaled) if unitise else scaled
 
 

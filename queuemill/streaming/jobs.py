@@ -63,8 +63,9 @@ def latest_state(log: DataFrame) -> DataFrame:
     return last.select("ticket_id", "s.*")
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Keyed state needs RocksDB. Timers fire in batches that have data: without it a run over what is there would never end.
+KEYED = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
 def stream_ticket_state(events: DataFrame, log_path: str, checkpoint: str, keep: int = TS.KEEP, idle_ms: int = TS.IDLE_MS) -> StreamingQuery:
@@ -79,12 +80,14 @@ def stream_ticket_state(events: DataFrame, log_path: str, checkpoint: str, keep:
         # Written under the batch number: a batch that runs again replaces its first attempt.
         batch.write.mode("overwrite").parquet(f"{log_path}/state/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)       # read when the query starts; other queries keep theirs
+    before = {key: spark.conf.get(key) for key in KEYED}
     try:
+        for key, value in KEYED.items():        # read when the query starts; other queries keep theirs
+            spark.conf.set(key, value)
         return start(folded, write, checkpoint, mode="update")
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def scores_of(model: PipelineModel):
