@@ -32,6 +32,7 @@ BLOCK = 4096        # rows of a query block, and of a chunk of a cell
 BLEND_BLOCK = 1024  # the same for blends, which cost more for each pair
 SLICE = 256         # queries multiplied at a time
 MOST = 4_000_000    # numbers in one intermediate matrix
+SPARSE = 4          # work of a pair of meeting entries, in multiplications of a matrix
 EVERY = "every"     # the cell of the whole corpus; scopes are named "in ..."
 
 
@@ -95,6 +96,12 @@ class _Rows:
         return out
 
 
+def sparse_rows(offsets: np.ndarray, index: np.ndarray, values: np.ndarray) -> _Rows:
+    out = object.__new__(_Rows)
+    out.offsets, out.index, out.values, out.sparse, out.n = offsets, index, values, True, len(offsets) - 1
+    return out
+
+
 def _products(left: _Rows, right: _Rows) -> np.ndarray:
     """left @ right.T; of term vectors only the terms of `right` that `left` has are touched."""
     if not left.sparse and not right.sparse:
@@ -103,10 +110,17 @@ def _products(left: _Rows, right: _Rows) -> np.ndarray:
     columns = np.unique(left.index) if left.sparse else np.zeros(0, int)
     if not len(columns) or not right.sparse:
         return out.T
-    by_term = np.ascontiguousarray(left.matrix(columns).T)
     place = np.minimum(np.searchsorted(columns, right.index), len(columns) - 1)
     known = np.flatnonzero(columns[place] == right.index)
     row = np.repeat(np.arange(right.n), np.diff(right.offsets))[known]
+    if left.sparse:
+        # Where two rows share few terms, entry by entry is less work than row by row.
+        order = np.argsort(left.index, kind="stable")
+        starts = np.searchsorted(left.index[order], columns)
+        sizes = np.diff(np.append(starts, len(order)))[place[known]]
+        if SPARSE * sizes.sum() < left.n * len(known):
+            return _meeting_entries(left, order, starts[place[known]], sizes, row, right.values[known], right.n)
+    by_term = np.ascontiguousarray(left.matrix(columns).T)
     step = max(1, MOST // max(1, left.n))
     for at in range(0, len(known), step):
         some = known[at:at + step]
@@ -117,6 +131,23 @@ def _products(left: _Rows, right: _Rows) -> np.ndarray:
     return out.T
 
 
+def _meeting_entries(left: _Rows, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, row: np.ndarray, values: np.ndarray, n_right: int) -> np.ndarray:
+    """Products summed over pairs of entries with one term: an entry of `right` meets `sizes` entries of `left` from `starts` on, which
+    `order` sorts by term."""
+    left_row, left_values = np.repeat(np.arange(left.n), np.diff(left.offsets))[order], left.values[order]
+    out, ends = np.zeros(left.n * n_right), np.cumsum(sizes)
+    low = 0
+    while low < len(sizes):
+        base = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, base + MOST, "right")))
+        some = slice(low, high)
+        mine = np.repeat(np.arange(low, high), sizes[some])
+        at = np.arange(len(mine)) - (ends[some] - sizes[some] - base)[mine - low] + starts[mine]
+        out += np.bincount(left_row[at] * n_right + row[mine], left_values[at] * values[mine], len(out))
+        low = high
+    return out.reshape(left.n, n_right)
+
+
 def _ids(table, name):
     return table.column(name).to_numpy() if isinstance(table.column(name), pa.ChunkedArray) \
         else table.column(name).to_numpy(zero_copy_only=False)
@@ -166,9 +197,7 @@ def _sides(rows: _Rows, dims: int) -> tuple[np.ndarray, _Rows]:
     first = rows.offsets[:-1, None] + np.arange(dims)
     rest = np.ones(len(rows.values), bool)
     rest[first] = False
-    out = object.__new__(_Rows)
-    out.offsets, out.values, out.index, out.sparse, out.n = rows.offsets - dims * np.arange(rows.n + 1), rows.values[rest], rows.index[rest], True, rows.n
-    return rows.values[first], out
+    return rows.values[first], sparse_rows(rows.offsets - dims * np.arange(rows.n + 1), rows.index[rest], rows.values[rest])
 
 
 def _block_blends(k: int, weights: list[float], dims: int):

@@ -33,6 +33,16 @@ def brute(queries, corpus, k, first=0, without_self=False):
     return {first + q: sorted(((-s, c) for c, s in enumerate(row) if s >= 0))[:k] for q, row in enumerate(scores)}
 
 
+def test_products_of_meeting_entries(monkeypatch):
+    rng = np.random.default_rng(7)
+    sides = [corpus_of(rng, n) for n in (30, 40)]
+    rows = [SIM.sparse_rows(np.concatenate([[0], np.cumsum((m > 0).sum(axis=1))]), np.nonzero(m)[1], m[np.nonzero(m)]) for m in sides]
+    for most, work in ((4_000_000, 0), (17, 0), (50, 10**9)):
+        monkeypatch.setattr(SIM, "MOST", most)
+        monkeypatch.setattr(SIM, "SPARSE", work)
+        assert np.allclose(SIM._products(*rows), sides[0] @ sides[1].T, atol=1e-12)
+
+
 @pytest.mark.parametrize("block, pivots, pack", [(4096, None, 4_000_000), (7, 5, 60), (30, 1, 4_000_000)])
 def test_against_brute_force(spark, monkeypatch, block, pivots, pack):
     monkeypatch.setattr(P, "PACK", pack)
@@ -84,7 +94,8 @@ def test_terms_that_cannot_reach_the_floor_open_no_postings():
     chunk = P.Chunk(np.arange(300), np.cumsum([0, *map(len, rows)]), np.concatenate(rows), np.concatenate([v[r] for v, r in zip(held, rows)]))
     v = held[10]
     index = np.flatnonzero(v)
-    ids, scores = chunk.best(index, v[index], None, 0.9, 5)
+    asked = SIM.sparse_rows(np.array([0, len(index)]), index, v[index])
+    _, ids, scores = chunk.best(asked, np.array([-1]), np.array([0.9]), 5)
     want = sorted((-s, i) for i, s in enumerate(np.round(held @ v, 9)) if s >= 0.9 - SIM.SLACK)[:5]
     assert [(-s, i) for i, s in zip(ids, scores)] == want
     assert chunk.scored < 80
