@@ -248,7 +248,7 @@ SELECT * REPLACE (coalesce(ticket_id, (SELECT max(ticket_id) FROM ev) + nr) AS t
     ("ns", DECISION_STEPS), ("nw", "SELECT event_id, ticket_id, kind, actor, to_team, detail FROM ns"), ("ap", APPENDED)], """
 SELECT ap.event_id, ap.ticket_id, ap.kind, ap.actor, ap.to_team, ap.detail, ns.category, round(ns.confidence, 6) AS confidence,
   CASE WHEN ap.kind IN ('accepted','corrected') THEN ns.suggested_team ELSE ap.from_team END AS from_team
-FROM ap JOIN ns USING (event_id)"""))
+FROM ap JOIN ns USING (event_id)""", once=True))
 def apply_decisions(spark, sf):
     from queuemill.operators import decisions as D
     events = _events(spark, sf)

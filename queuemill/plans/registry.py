@@ -18,5 +18,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def with_ctes(ctes: list[tuple[str, str]], body: str) -> str:
-    return "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in ctes) + "\n" + body
+def with_ctes(ctes: list[tuple[str, str]], body: str, once: bool = False) -> str:
+    """`once`: parts that several others read are computed once and kept."""
+    kept = "MATERIALIZED " if once else ""
+    return "WITH " + ",\n".join(f"{name} AS {kept}({text})" for name, text in ctes) + "\n" + body
