@@ -32,6 +32,7 @@ from queuemill.runtime import materialise
 SAMPLE = 4096       # anchors the cluster centres are fitted on
 CHUNK = 1 << 22     # components of the rows a task holds
 PACK = 1 << 18      # components of the anchors a task holds
+LEAST = 1024        # rows below which a chunk isn't cut finer
 MEMBERS = 64        # anchors a cluster has on average
 TILE = 512          # rows multiplied at a time
 ROUNDS = 5          # of k-means
@@ -306,7 +307,8 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 1
     found = centres(matrix([bytes(r.vector) for r in some], [r.wide for r in some], 1), min(max(1, n_asked // MEMBERS), SAMPLE // 4))
     width = found.shape[1]
     placed, packs = _in_packs(asked, found, max(1, PACK // width))
-    chunks = math.ceil(n_rows / max(1, CHUNK // width))
+    # Small tables are cut finer, so that every core has a chunk.
+    chunks = max(math.ceil(n_rows / max(1, CHUNK // width)), min(2 * spark.sparkContext.defaultParallelism, math.ceil(n_rows / LEAST)))
     placed = placed.select("a_key", *(F.col(c).alias(n) for c, n in zip(ROW_NAMES, ("a_id", "a_label", "a_vector", "a_wide"))), F.col("cluster").alias("a_cluster"), "a_pack")
 
     partial = _meet(placed, rows, chunks, packs, _positives(positives, found), "key long, positive_id long, positive_score long")
