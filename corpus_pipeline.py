@@ -3,6 +3,10 @@
 Every stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
 columns of `documents`. SQL can express neither the classifier nor the tokenizer: there is no ORACLE_SQL; tests hold the
 stages against brute force.
+
+Rows with a null id or text, empty texts, repeated rows and columns of any further name pass through every stage: a text that is null or
+empty is never toxic, near another or contaminated, stays as it is, and has no tokens; of equal texts one row stays. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
