@@ -5,8 +5,8 @@ columns of `documents`. SQL can express neither the classifier nor the tokenizer
 stages against brute force.
 
 Rows with a null id or text, empty texts, repeated rows and columns of any further name pass through every stage: a text that is null or
-empty is never toxic, near another or contaminated, stays as it is, and has no tokens; of equal texts one row stays. Empty tables
-give empty results.
+empty is judged by the classifier's intercept alone, is never near another or contaminated, is not rewritten, and has no tokens; of
+equal texts with words one row stays. Empty tables give empty results.
 """
 
 from __future__ import annotations
