@@ -168,3 +168,35 @@ def test_ids_with_gaps_fill_few_segments(spark):
     assert [r.s for r in sorted(segments, key=lambda r: r.id)] == sorted(r.s for r in segments)
     ranked = RK.segmented_rank(df, [], RK.order_segment(df, "id", 20), ["id"])
     assert {r.id: r.rk for r in ranked.collect()} == {i: k + 1 for k, i in enumerate(ids)}
+
+
+def test_a_query_travels_once_to_each_chunk(spark):
+    rng = np.random.default_rng(8)
+    corpus = rng.normal(size=(200, 8))      # no cell can be skipped
+    c, q = SIM.dense_corpus(frame(spark, corpus, "id"), "id", "v"), SIM.dense_queries(frame(spark, corpus[:20], "id"), "id", "v")
+    asked, placed = SIM._by_pivot(q, c, [""], 3, 40, 50)
+    chunks = placed.select("seat").distinct().count()
+    assert chunks == 4
+    sent = asked.where("val is not null").select("query_id", "seat")
+    assert sent.count() == sent.distinct().count() <= 20 * chunks < asked.count()
+    assert asked.select("query_id", "seat").distinct().count() == sent.count()
+
+
+def test_products_of_postings():
+    rng = np.random.default_rng(9)
+    sides = [rng.random((n, 60)) * (rng.random((n, 60)) < np.linspace(0.01, 0.6, 60)) for n in (15, 40)]
+    rows = [SIM.sparse_rows(np.concatenate([[0], np.cumsum((m > 0).sum(axis=1))]), np.nonzero(m)[1], m[np.nonzero(m)]) for m in sides]
+    held = SIM.Postings(rows[1])
+    assert 0 < len(held.matrix) < len(held.terms)
+    assert np.allclose(held.products(rows[0]), sides[0] @ sides[1].T, atol=1e-12)
+
+
+@pytest.mark.parametrize("step", [3, 100])
+def test_best_over_parts(step):
+    scores = np.round(np.random.default_rng(10).random((6, 40)), 1)       # many ties
+    scores[2] = -np.inf
+    best = SIM.Best(6, 5)
+    for low in range(0, 40, step):
+        best.add(np.arange(6), scores[:, low:low + step], np.arange(40)[low:low + step])
+    want = [(q, c, s) for q in range(6) for s, c in sorted((-s, c) for c, s in enumerate(scores[q]) if np.isfinite(s))[:5] for s in [-s]]
+    assert list(zip(best.row.tolist(), best.ids.tolist(), best.scores.tolist())) == want
