@@ -154,24 +154,19 @@ def poisson_weight(u: Column) -> Column:
     return weight
 
 
-CELL_DIGITS = 3     # hex digits of a digest: 4,096 cells
-
-
 def bootstrap_ci(rows: DataFrame, row_id: str, value: Column, n_boot: int = fixed.BOOTSTRAPS, alpha: float = 0.05,
                  seed: int = fixed.SEED) -> DataFrame:
     """Percentile interval of the mean of `value`.
 
-    Rows are summed in cells by a digest of their id, and a cell draws one Poisson(1) weight per replicate from a hash. As the cells
-    are random, sums over cells vary between replicates as sums over rows do; the work is cells x replicates, however many rows there
-    are. NULL values don't count.
+    Each row draws a Poisson(1) weight per replicate from a hash, so replicates need no data movement: rows are multiplied inside
+    their task and summed per replicate before the shuffle. NULL values don't count.
     """
-    cell = F.conv(F.substring(F.md5(F.col(row_id).cast("string").cast("binary")), 1, CELL_DIGITS), 16, 10).cast("long")
-    cells = rows.select(cell.alias("_id"), value.alias("_v")).groupBy("_id").agg(F.sum("_v").alias("_v"), F.count("_v").alias("_n"))
-    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
+    drawn = rows.select(F.col(row_id).cast("long").alias("_id"), value.alias("_v")).where(F.col("_v").isNotNull()).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
     u = mixed(F.col("_id"), F.col("replicate").cast("long"), seed) / F.lit(float(MASK + 1))
     weight = F.col("_w")
     stats = drawn.withColumn("_w", poisson_weight(u)).groupBy("replicate").agg(
-        F.try_divide(F.sum(F.col("_v") * weight), F.sum(F.col("_n") * weight).cast("double")).alias("s"))
+        F.try_divide(F.sum(F.col("_v") * weight), F.sum(weight).cast("double")).alias("s"))
     ends = stats.agg(F.percentile("s", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
     return ends.select(rounded(F.col("q")[0], 4).alias("low"), rounded(F.col("q")[1], 4).alias("high"))
 

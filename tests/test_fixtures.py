@@ -320,3 +320,15 @@ def test_python_regex_agrees_on_word_edges(spark):
         return re.sub(r"\s+", " ", re.sub(r"[^a-z\s]", " ", s)).strip()
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in rows(df, X.clean_text(F.col("t")))] == [expected(t) for t in texts]
+
+
+def test_bootstrap_draws_for_every_row(spark):
+    import hashlib
+    from queuemill.operators import metrics as M
+    first = {}
+    for i in range(10_000):     # two ids whose digests begin alike
+        other = first.setdefault(hashlib.md5(str(i).encode()).hexdigest()[:3], i)
+        if other != i:
+            break
+    rows = spark.createDataFrame([(other, 0.0), (i, 1.0), (i + 1, None)], "id long, v double")
+    assert tuple(M.bootstrap_ci(rows, "id", F.col("v")).first()) == (0.0, 1.0)
