@@ -200,3 +200,25 @@ def test_best_over_parts(step):
         best.add(np.arange(6), scores[:, low:low + step], np.arange(40)[low:low + step])
     want = [(q, c, s) for q in range(6) for s, c in sorted((-s, c) for c, s in enumerate(scores[q]) if np.isfinite(s))[:5] for s in [-s]]
     assert list(zip(best.row.tolist(), best.ids.tolist(), best.scores.tolist())) == want
+
+
+def test_no_vector_is_shuffled_for_a_pair(spark):
+    rng = np.random.default_rng(9)
+    corpus = rng.normal(size=(200, 8))
+    c, q = SIM.dense_corpus(frame(spark, corpus, "id"), "id", "v"), SIM.dense_queries(frame(spark, corpus[:60], "id"), "id", "v")
+    for found, asked, placed in ((SIM._seated, *SIM._by_pivot(q, c, [""], 3, 40, 50)), (SIM._partial, *SIM._by_scope(q, c))):
+        pairs = found(asked, placed, 3, 20)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        assert SIM.ranked(pairs, 3).count() == 60 * 3
+
+
+def test_blocks_and_chunks_are_packed_whole():
+    import pyarrow as pa
+    batches = [pa.RecordBatch.from_pydict({"q_query_id": pa.array([10 * b + i for i in range(n)], pa.int64()), "q_looks": pa.array([[b, i] for i in range(n)], pa.list_(pa.int64()))})
+               for b, n in enumerate((7, 0, 5, 1))]
+    blocks = list(SIM._pack_blocks(4)(iter(batches)))
+    rows = [SIM._unpacked(b.column("q_rows")[0]).to_pylist() for b in blocks]
+    assert [len(r) for r in rows] == [4, 4, 4, 1]
+    assert sum(rows, []) == pa.Table.from_batches(batches).to_pylist()
+    assert [sorted(b.column("q_looks")[0].as_py()) for b in blocks] == [sorted({x for r in some for x in r["q_looks"]}) for some in rows]
