@@ -222,3 +222,14 @@ def test_blocks_and_chunks_are_packed_whole():
     assert [len(r) for r in rows] == [4, 4, 4, 1]
     assert sum(rows, []) == pa.Table.from_batches(batches).to_pylist()
     assert [sorted(b.column("q_looks")[0].as_py()) for b in blocks] == [sorted({x for r in some for x in r["q_looks"]}) for some in rows]
+
+
+def test_an_optimiser_goes_through_few_partitions(spark, monkeypatch):
+    from queuemill.operators import models as MO
+    rows = spark.range(400).select("id", (F.col("id") % 2).cast("string").alias("label"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v")).repartition(16)
+    rows = rows.select("id", "label", MO.dense_vector("v").alias("features"))
+    parts = lambda head: MO.for_passes(head, rows, 400).rdd.getNumPartitions()
+    assert parts("Linear SVM") == parts("Logistic Regression") == 1 and parts("Random Forest") == 16
+    monkeypatch.setattr(MO, "PART_BYTES", 1000)     # 400 rows of 2 numbers, 12 bytes each
+    assert parts("Linear SVM") == 10 and MO.for_passes("Linear SVM", rows, 400).count() == 400
+    assert MO.for_passes("Linear SVM", rows.where("false"), 0).count() == 0
