@@ -493,3 +493,18 @@ def test_bpe_equals_tiktoken(spark, documents, edge_docs, no_docs):
     assert [list(map(int, i)) for i in own.encode_texts(texts)] == [other.encode_ordinary(t) for t in texts]
     for piece in ("abababab", "the", "aaaa", "zebra" * 60):
         assert byte_bpe.merge(piece.encode(), own.ranks, own.pairs) == other.encode_ordinary(piece)
+
+
+def test_a_template_text_is_on_every_page_of_the_host(spark, monkeypatch):
+    # The line is missing on one page of 60: whatever few pages are looked at, it is no template text.
+    bare = "<html><body><div>Site name</div>{line}<p>note {n}</p></body></html>"
+    kinds = [(n, bare.format(n=n, line="" if n == 37 else "<h2>Seen often</h2>")) for n in range(60)]
+    df = spark.createDataFrame([(n, f"http://h.org/{n}", page) for n, page in kinds], "page_id long, url string, html string").repartition(5)
+    want = {n: f"note {n}" if n == 37 else f"Seen often\nnote {n}" for n, _ in kinds}
+    for fan, stream in ((256, 400), (2, 400), (256, 6)):
+        monkeypatch.setattr(page_wrappers, "FAN", fan)
+        monkeypatch.setattr(page_wrappers, "STREAM", stream)
+        assert {r["page_id"]: r["text"] for r in page_wrappers.extract(df).collect()} == want
+    # Three distinct pages, however often they come, make no template.
+    few = spark.createDataFrame([(n, "http://h.org/", bare.format(n=n % 3, line="")) for n in range(30)], "page_id long, url string, html string")
+    assert {r["text"] for r in page_wrappers.extract(few).collect()} == {f"Site name\nnote {n}" for n in range(3)}
