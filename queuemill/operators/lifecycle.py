@@ -271,15 +271,16 @@ def max_event_id(events: DataFrame) -> int:
     return events.agg(F.coalesce(F.max("event_id"), F.lit(-1))).first()[0]
 
 
+#: Tickets ranked by one task: they carry their texts, a few KB each.
+TICKETS_RANKED = 1 << 14
+
+
 def open_tickets(arrivals: DataFrame, last_id: int, order: str = "ord") -> DataFrame:
     """New ids in arrival order, the reference made from the id, bounded texts."""
-    numbered = segmented_rank(arrivals, [], order_segment(arrivals, order), [order])
+    cut = arrivals.withColumns({c: S.truncated(F.col(c), fixed.TICKET_LIMITS[c]) for c in ("subject", "description")})
+    numbered = segmented_rank(cut, [], order_segment(arrivals, order, TICKETS_RANKED), [order])
     new_id = F.col("rk") + F.lit(last_id)
-    return numbered.withColumns({
-        "id": new_id, "ref": S.ticket_ref(new_id), "status": F.lit(fixed.OPEN),
-        "subject": S.truncated(F.col("subject"), fixed.TICKET_LIMITS["subject"]),
-        "description": S.truncated(F.col("description"), fixed.TICKET_LIMITS["description"]),
-        "hops": F.lit(0).cast("long")}).drop("rk")
+    return numbered.withColumns({"id": new_id, "ref": S.ticket_ref(new_id), "status": F.lit(fixed.OPEN), "hops": F.lit(0).cast("long")}).drop("rk")
 
 
 # Actions of the queue, the events they append and the messages for what is missing. A note is

@@ -233,3 +233,22 @@ def test_an_optimiser_goes_through_few_partitions(spark, monkeypatch):
     monkeypatch.setattr(MO, "PART_BYTES", 1000)     # 400 rows of 2 numbers, 12 bytes each
     assert parts("Linear SVM") == 10 and MO.for_passes("Linear SVM", rows, 400).count() == 400
     assert MO.for_passes("Linear SVM", rows.where("false"), 0).count() == 0
+
+
+def test_tickets_are_ranked_by_many_tasks(spark):
+    from queuemill.operators import lifecycle as L
+    arrivals = spark.range(50_000).select((F.col("id") * 1).alias("ord"), F.lit("s").alias("subject"), F.repeat(F.lit("d"), 3000).alias("description"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        opened = L.open_tickets(arrivals, 7)
+        parts = opened.groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) > 1 and max(r["count"] for r in parts) < 40_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert opened.where((F.col("id") != F.col("ord") + 8) | (F.length("description") != 2000)).count() == 0
+
+
+def test_label_codes_screen_once(spark):
+    from queuemill.plans.catalog import QUERIES
+    plan = QUERIES["label_codes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
