@@ -252,3 +252,21 @@ def test_label_codes_screen_once(spark):
     from queuemill.plans.catalog import QUERIES
     plan = QUERIES["label_codes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan
+
+
+def test_naive_bayes_sends_no_rows_to_their_class(spark, monkeypatch):
+    from queuemill.operators import models as MO
+    data = [(f"c{i % 3}" if i % 10 else None, [float(i % 7), 1.0 + i % 3, float(i % 3)]) for i in range(90)]
+    rows = spark.createDataFrame(data, "label string, v array<double>").withColumn("features", MO.dense_vector("v"))
+    seen = []
+    real = MO.for_passes
+    monkeypatch.setattr(MO, "for_passes", lambda head, df, n: seen.append(df) or real(head, df, n))
+    model = MO.fit("Multinomial Naive Bayes", rows, alpha=0.5)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert MO.classes(model) == ["c0", "c1", "c2"]
+    for k, name in enumerate(MO.classes(model)):
+        mine = np.array([v for label, v in data if label == name])
+        share = (mine.sum(axis=0) + 0.5) / (mine.sum() + 1.5)
+        assert np.allclose(np.array(model.stages[-1].theta.toArray())[k], np.log(share))
+        assert np.isclose(model.stages[-1].pi.toArray()[k], np.log((len(mine) + 0.5) / (81 + 1.5)))
