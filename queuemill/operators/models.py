@@ -109,16 +109,19 @@ def pipeline(head: str, n_rows: int, **settings) -> Pipeline:
 
 PART_BYTES = 16 << 20       # of features in a partition that an optimiser goes through
 MANY_PASSES = ("Linear SVM", "Logistic Regression")
+DRAWN_PASSES = ("Boosted Trees",)
 UNWEIGHTED = ("Multinomial Naive Bayes",)
 
 
 def for_passes(head: str, rows: DataFrame, n_rows: int) -> DataFrame:
     """Rows in no more partitions than their bytes are worth. An optimiser makes hundreds of passes, and in each of them every partition
-    sends the driver a result: many small ones cost more than the work in them. Trees keep theirs, as their draws go by partition."""
-    one = rows.select("features").where("features is not null").first() if head in MANY_PASSES else None
+    sends the driver a result: many small ones cost more than the work in them. Boosting passes once for every level of every tree of every
+    class; its draws go by partition, so as many partitions as there are cores are left as they are. Forests keep theirs."""
+    one = rows.select("features").where("features is not null").first() if head in MANY_PASSES + DRAWN_PASSES else None
     if one is None:
         return rows
-    return rows.coalesce(max(1, math.ceil(12 * len(one.features.values) * n_rows / PART_BYTES)))
+    least = rows.sparkSession.sparkContext.defaultParallelism if head in DRAWN_PASSES else 1
+    return rows.coalesce(max(least, math.ceil(12 * len(one.features.values) * n_rows / PART_BYTES)))
 
 
 def fit(head: str, train: DataFrame, **settings) -> PipelineModel:

@@ -254,6 +254,16 @@ def test_label_codes_screen_once(spark):
     assert "documents.parquet" not in plan
 
 
+def test_boosting_goes_through_few_partitions(spark):
+    from queuemill.operators import models as MO
+    rows = spark.range(400).select("id", (F.col("id") % 2).cast("string").alias("label"), F.array(F.col("id").cast("double")).alias("v"))
+    rows = rows.withColumn("features", MO.dense_vector("v"))
+    cores = spark.sparkContext.defaultParallelism
+    parts = lambda n: MO.for_passes("Boosted Trees", rows.repartition(n), 400).rdd.getNumPartitions()
+    assert parts(5 * cores) == cores and parts(2) == 2      # draws of few partitions stay
+    assert MO.for_passes("Boosted Trees", rows.repartition(5 * cores), 400).count() == 400
+
+
 def test_naive_bayes_sends_no_rows_to_their_class(spark, monkeypatch):
     from queuemill.operators import models as MO
     data = [(f"c{i % 3}" if i % 10 else None, [float(i % 7), 1.0 + i % 3, float(i % 3)]) for i in range(90)]
