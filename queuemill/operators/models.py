@@ -371,13 +371,27 @@ def knn_cv_scores(rows: DataFrame, grid: list[int], key: str = "id", vector: str
 
 # ---------------------------------------------------------------- latent semantic vectors
 
-SLICE = 256      # rows multiplied at a time inside a task
+SLICE = 16       # rows multiplied at a time inside a task: more of them share few terms and are mostly zeros
+SPLITS = 4       # parts of the table that one task goes through in a pass, at most
 POWER_PASSES = 4
 
 
 TERM_BLOCK = 1024       # terms whose sums travel together
 
 
+def _slices(batch: pa.RecordBatch):
+    """SLICE rows at a time: where they begin, their terms and their weights as a matrix over these terms."""
+    offsets, index = list_values(batch.column("idx"))
+    values = list_values(batch.column("val"))[1]
+    for low in range(0, batch.num_rows, SLICE):
+        high = min(low + SLICE, batch.num_rows)
+        part = slice(offsets[low], offsets[high])
+        terms, place = np.unique(index[part], return_inverse=True)
+        x = np.zeros((high - low, len(terms)))
+        x[np.repeat(np.arange(high - low), np.diff(offsets[low:high + 1])), place] = values[part]
+        yield low, terms, x
+
+
 def _summed(table: pa.Table) -> pa.Table:
     """Partial sums of one block of terms, each a matrix, to their sum."""
     total = None
@@ -387,6 +401,12 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "z": pa.array([total.tobytes()], pa.binary())})
 
 
+def _for_sums(rows: DataFrame) -> DataFrame:
+    """Rows in fewer partitions, as each sends sums as large as the basis: up to SPLITS in one, and a multiple of the cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(cores * max(1, math.ceil(rows.rdd.getNumPartitions() / (SPLITS * cores))))
+
+
 def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
     """(X'X) basis in one pass. A task's sums leave it in blocks of terms, those it has rows of; blocks are summed in tasks of their
     own, and the driver gets each once, as many numbers as the basis has."""
@@ -394,42 +414,39 @@ def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
 
     def run(batches):
         q = shared.value
-        blocks: dict[int, np.ndarray] = {}
+        total, met = np.zeros_like(q), np.zeros(len(q), bool)
         for batch in batches:
-            offsets, index = list_values(batch.column("idx"))
-            values = list_values(batch.column("val"))[1]
-            for low in range(0, batch.num_rows, SLICE):
-                high = min(low + SLICE, batch.num_rows)
-                part = slice(offsets[low], offsets[high])
-                terms, place = np.unique(index[part], return_inverse=True)
-                x = np.zeros((high - low, len(terms)))
-                x[np.repeat(np.arange(high - low), np.diff(offsets[low:high + 1])), place] = values[part]
-                z, edges = x.T @ (x @ q[terms]), np.flatnonzero(np.diff(terms // TERM_BLOCK, prepend=-1))
-                for first, last in zip(edges, np.append(edges[1:], len(terms))):
-                    number = int(terms[first] // TERM_BLOCK)
-                    if number not in blocks:
-                        blocks[number] = np.zeros((min(TERM_BLOCK, len(q) - number * TERM_BLOCK), q.shape[1]))
-                    blocks[number][terms[first:last] - number * TERM_BLOCK] += z[first:last]
-        for number, block in blocks.items():
+            for _, terms, x in _slices(batch):
+                total[terms] += x.T @ (x @ q[terms])
+                met[terms] = True
+        for number in np.unique(np.flatnonzero(met) // TERM_BLOCK):
+            block = total[number * TERM_BLOCK:(number + 1) * TERM_BLOCK]
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["block", "z"])
 
     partial = rows.select("idx", "val").mapInArrow(run, "block int, z binary")
     out = np.zeros_like(basis)
-    for row in partial.groupBy("block").applyInArrow(_summed, "block int, z binary").toLocalIterator():
+    for row in partial.groupBy("block").applyInArrow(_summed, "block int, z binary").collect():
         block = np.frombuffer(row.z).reshape(-1, basis.shape[1])
         out[row.block * TERM_BLOCK:row.block * TERM_BLOCK + len(block)] = block
     return out
 
 
-def term_basis(rows: DataFrame, size: int, dims: int, seed: int = fixed.SEED) -> np.ndarray:
-    """Leading right singular vectors of the rows by subspace iteration: a handful of passes over
-    the data whatever the number of dimensions."""
+def _leading(rows: DataFrame, size: int, dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors of the rows, and what the rows' products with each of them square to in sum."""
+    rows = _for_sums(rows)
     width = min(size, dims + 10)
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
     for _ in range(POWER_PASSES):
         basis = np.linalg.qr(_gram_times(rows, basis))[0]
     values, turn = np.linalg.eigh(basis.T @ _gram_times(rows, basis))
-    return basis @ turn[:, np.argsort(-values)[:dims]]
+    order = np.argsort(-values)[:dims]
+    return basis @ turn[:, order], values[order]
+
+
+def term_basis(rows: DataFrame, size: int, dims: int, seed: int = fixed.SEED) -> np.ndarray:
+    """Leading right singular vectors of the rows by subspace iteration: a handful of passes over
+    the data whatever the number of dimensions."""
+    return _leading(rows, size, dims, seed)[0]
 
 
 def lsa_vectors(fit_rows: DataFrame, rows: DataFrame, size: int, dims: int = fixed.LSA_DIMS) -> tuple[DataFrame, float]:
@@ -438,26 +455,44 @@ def lsa_vectors(fit_rows: DataFrame, rows: DataFrame, size: int, dims: int = fix
     The term side has at most MAX_TERMS x (dims + 10) numbers, which bounds what is broadcast.
     """
     dims = max(1, min(dims, size - 1))
-    terms = term_basis(fit_rows, size, dims)
-
-    def project(batches):
-        for pdf in batches:
-            out = np.vstack([terms[np.asarray(i, dtype=int)].T @ np.asarray(v, dtype=float) for i, v in zip(pdf["idx"], pdf["val"])]) \
-                if len(pdf) else np.zeros((0, terms.shape[1]))
-            length = np.clip(np.linalg.norm(out, axis=1, keepdims=True), 1e-9, None)
-            yield pdf.drop(columns=["idx", "val"]).assign(raw=list(out), lsa=list(out / length))
-
+    basis, squares = _leading(fit_rows, size, dims, fixed.SEED)
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
     kept = [f for f in rows.schema.fields if f.name not in ("idx", "val")]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", raw array<double>, lsa array<double>"
-    projected = rows.mapInPandas(project, ddl)
-    fitted = fit_rows.select("idx", "val").mapInPandas(project, "raw array<double>, lsa array<double>")
-    return projected.drop("raw"), explained_variance(fitted, fit_rows)
-
 
-def explained_variance(projected: DataFrame, fit_rows: DataFrame) -> float:
-    """Variance of the projected rows over the variance of the term weights."""
-    kept = projected.select(F.posexplode("raw").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("v")).agg(F.sum("v")).first()[0]
+    def project(batches):
+        terms_of = shared.value
+        for batch in batches:
+            out = np.zeros((batch.num_rows, terms_of.shape[1]))
+            for low, terms, x in _slices(batch):
+                out[low:low + len(x)] = x @ terms_of[terms]
+            out /= np.clip(np.linalg.norm(out, axis=1, keepdims=True), 1e-9, None)
+            ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.ListArray.from_arrays(ends, pa.array(out.ravel()))],
+                                             names=[*[f.name for f in kept], "lsa"])
+
+    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "lsa array<double>"])
+    return rows.mapInArrow(project, ddl), explained_variance(basis, squares, fit_rows)
+
+
+def _term_sums(batches):
+    """Sums of the weights, and of their squares, of each term in a task's rows."""
+    sums = np.zeros((0, 2))
+    for batch in batches:
+        index, values = list_values(batch.column("idx"))[1], list_values(batch.column("val"))[1]
+        if len(index):
+            sums = np.pad(sums, ((0, max(0, int(index.max()) + 1 - len(sums))), (0, 0)))
+            sums += np.stack([np.bincount(index, w, len(sums)) for w in (values, values * values)], axis=1)
+    met = np.flatnonzero(sums[:, 1])
+    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), *[pa.array(sums[met, k]) for k in (0, 1)]], names=["idx", "s", "ss"])
+
+
+def explained_variance(basis: np.ndarray, squares: np.ndarray, fit_rows: DataFrame) -> float:
+    """Variance of the projected rows over the variance of the term weights. Both follow from sums per term: a projected mean is the
+    mean row's projection, and `squares` are the sums of the squared projections."""
     n = fit_rows.count()
-    per_term = fit_rows.select(F.inline(F.arrays_zip("idx", "val"))).groupBy("idx").agg(
-        (F.sum(F.col("val") ** 2) / n - (F.sum("val") / n) ** 2).alias("v"))
-    return float(kept / per_term.agg(F.sum("v")).first()[0])
+    sums = np.zeros((len(basis), 2))
+    per_term = _for_sums(fit_rows.select("idx", "val")).mapInArrow(_term_sums, "idx int, s double, ss double")
+    for row in per_term.groupBy("idx").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss")).collect():      # one row for each term
+        sums[row.idx] = row.s, row.ss
+    means = sums / n
+    return float((np.sum(squares) / n - np.sum((means[:, 0] @ basis) ** 2)) / np.sum(means[:, 1] - means[:, 0] ** 2))

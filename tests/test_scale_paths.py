@@ -280,3 +280,34 @@ def test_naive_bayes_sends_no_rows_to_their_class(spark, monkeypatch):
         share = (mine.sum(axis=0) + 0.5) / (mine.sum() + 1.5)
         assert np.allclose(np.array(model.stages[-1].theta.toArray())[k], np.log(share))
         assert np.isclose(model.stages[-1].pi.toArray()[k], np.log((len(mine) + 0.5) / (81 + 1.5)))
+
+
+def test_latent_vectors_and_their_share_from_few_sums(spark):
+    from queuemill.operators import models as MO
+    rng = np.random.default_rng(6)
+    x = rng.random((120, 30)) * (rng.random((120, 30)) < 0.3)
+    x[:3] = 0       # without known terms
+    data = [(i, np.flatnonzero(v).tolist(), v[v > 0].tolist()) for i, v in enumerate(x)]
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.createDataFrame(data, "id long, idx array<int>, val array<double>").repartition(5 * cores)
+    assert MO._for_sums(rows).rdd.getNumPartitions() == 2 * cores
+    made, share = MO.lsa_vectors(rows, rows, 30, 4)
+    assert made.columns == ["id", "lsa"]
+    basis = MO.term_basis(rows, 30, 4)
+    raw = x @ basis
+    assert np.isclose(share, raw.var(axis=0).sum() / x.var(axis=0).sum())
+    found = {r.id: r.lsa for r in made.collect()}
+    assert sorted(found) == list(range(120)) and not np.any(found[0])
+    assert np.allclose([found[i] for i in range(3, 120)], raw[3:] / np.linalg.norm(raw[3:], axis=1, keepdims=True))
+
+
+def test_terms_of_documents_are_named_whole():
+    import pyarrow as pa
+    from queuemill.operators import lexical as LX
+    docs = [["b", "a", "b", "a"], [], ["a"], ["c", "c", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.string()))], names=["words"])
+    (_, row, code, names), = LX._slices([batch], 0)
+    rows, terms, counts = LX._terms(row, code, names)
+    got = sorted(zip(rows.tolist(), LX._named(terms, names).to_pylist(), counts.tolist()))
+    assert got == [(0, "a", 2), (0, "a b", 1), (0, "b", 2), (0, "b a", 2), (2, "a", 1), (3, "c", 3), (3, "c c", 2)]
+    assert len(LX._named(np.zeros(0, np.int64), pa.array([], pa.string()))) == 0
