@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier)
+    LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -28,6 +28,7 @@ from queuemill.operators import metrics as M
 from queuemill.operators import retrieval as R
 from queuemill.operators import sampling as SA
 from queuemill.operators import votes as VO
+from queuemill.operators.boosting import BoostedTrees
 from queuemill.operators.features import literal_array
 from queuemill.operators.similarity import list_values
 from queuemill.runtime import fresh_path, materialise, rounded
@@ -87,8 +88,7 @@ def head_rf(n_rows: int, trees: int = 300, min_leaf: int = 1):
 
 
 def head_gbt(n_rows: int, rounds: int = 150, depth: int = 6):
-    one = GBTClassifier(maxIter=rounds, stepSize=0.25, maxDepth=depth, subsamplingRate=0.9, featureSubsetStrategy="0.7", seed=fixed.SEED)
-    return OneVsRest(classifier=one, parallelism=4, **_common())
+    return BoostedTrees(rounds, depth)
 
 
 # Heads by name: builder, settings to try, kind of score.
@@ -110,7 +110,7 @@ def pipeline(head: str, n_rows: int, **settings) -> Pipeline:
 PART_BYTES = 16 << 20       # of features in a partition that an optimiser goes through
 MANY_PASSES = ("Linear SVM", "Logistic Regression")
 DRAWN_PASSES = ("Boosted Trees",)
-UNWEIGHTED = ("Multinomial Naive Bayes",)
+UNWEIGHTED = ("Multinomial Naive Bayes", "Boosted Trees")
 
 
 def for_passes(head: str, rows: DataFrame, n_rows: int) -> DataFrame:

@@ -63,7 +63,7 @@ def _head_query(name, head, **settings):
 _head_query("head_logreg", "Logistic Regression", C=1.0)
 _head_query("head_svm", "Linear SVM", C=1.0)
 _head_query("head_rf", "Random Forest")
-_head_query("head_gbt", "Boosted Trees", rounds=5, depth=3)
+_head_query("head_gbt", "Boosted Trees")
 
 
 @query("svm_calibrated")
