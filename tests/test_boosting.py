@@ -73,3 +73,15 @@ def test_head_gbt_runs_all_rounds(spark, monkeypatch):
     head, settings = asked.value.args
     trees = MO.HEADS[head][0](400, **settings)
     assert (trees.rounds, trees.depth) == (150, 6)
+
+
+def test_select_head_tries_all_heads_and_settings(spark, monkeypatch):
+    from queuemill import fixed
+    from queuemill.plans.catalog import QUERIES
+    asked = {}
+    monkeypatch.setattr(MO, "cv_scores", lambda head, rows, settings: asked.setdefault(head, settings) and [0.5 + 0.01 * len(asked)] * len(settings))
+    monkeypatch.setattr(MO, "knn_cv_scores", lambda rows, grid: asked.setdefault(MO.KNN, grid) and [0.1] * len(grid))
+    got = {r.head: r.selected for r in QUERIES["select_head"](spark, SF).collect()}
+    assert asked == {"Logistic Regression": [{"C": c} for c in (1.0, 3.0, 10.0, 30.0)], "Linear SVM": [{"C": c} for c in (0.3, 1.0, 3.0)],
+                     "Random Forest": [{"min_leaf": n} for n in (1, 2)], "Boosted Trees": [{}], MO.KNN: list(fixed.KNN_GRID)}
+    assert got == {**dict.fromkeys(asked, False), "Boosted Trees": True}
