@@ -508,3 +508,37 @@ def test_a_template_text_is_on_every_page_of_the_host(spark, monkeypatch):
     # Three distinct pages, however often they come, make no template.
     few = spark.createDataFrame([(n, "http://h.org/", bare.format(n=n % 3, line="")) for n in range(30)], "page_id long, url string, html string")
     assert {r["text"] for r in page_wrappers.extract(few).collect()} == {f"Site name\nnote {n}" for n in range(3)}
+
+
+def test_long_pages_are_aligned(spark, monkeypatch):
+    import json
+    # More than 400 folded tokens a page; one paragraph is missing on one page, and each has a text of its own in the middle.
+    tags = random.Random(5).choices(["p", "h2", "h3", "em", "b", "i"], k=500)
+    body = lambda n: "".join(f"<{t} class={'abcdefg'[k % 7]}>line {k}</{t}>" + (f"<p>own {n}</p>" if k == 250 else "") for k, t in enumerate(tags) if (n, k) != (3, 100))
+    pages = [f"<html><body>{body(n)}</body></html>" for n in range(5)]
+    for stream in (2000, 6):
+        monkeypatch.setattr(page_wrappers, "STREAM", stream)
+        wrapper = json.loads(page_wrappers.infer(pages))
+        assert set(wrapper["fixed"]) == {f"line {k}" for k in range(500)} - {"line 100"}
+        assert wrapper["pattern"].count("#") == 1 and '("line 100")?' in wrapper["pattern"]
+    df = spark.createDataFrame([(n, "http://h.org/", page) for n, page in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"].split("\n") for r in page_wrappers.extract(df).collect()}
+    assert all([x for x in got[n] if not x.startswith("line ")] == [f"own {n}"] for n in range(5))
+
+
+def test_alignments_in_halves_share_as_much():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a, b = (rng.integers(0, 4, rng.integers(0, 40)) for _ in range(2))
+        steps = {}
+        for stream in (2000, 3):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(page_wrappers, "STREAM", stream)
+                steps[stream] = page_wrappers._steps(a, b)
+            i = j = 0
+            for step in steps[stream]:
+                assert step != page_wrappers.BOTH or a[i] == b[j]
+                i, j = i + (step != page_wrappers.RIGHT), j + (step != page_wrappers.LEFT)
+            assert (i, j) == (len(a), len(b))
+        assert steps[3].count(page_wrappers.BOTH) == steps[2000].count(page_wrappers.BOTH)
