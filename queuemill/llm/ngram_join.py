@@ -9,9 +9,10 @@ A document's set holds its distinct runs of N words. Two sets link when 100 * sh
    n-gram that one set alone has links nothing, so most documents drop out here, and a passage in many documents
    comes late in the order and brings no candidates unless it fills a document.
 3. Sets connected through such n-grams meet in one task. There a prefix tree stores them, frequent n-grams first, so that
-   near copies share long paths; a set walks down the tree carrying its overlap, leaves a subtree when the rest
-   of its own n-grams or of the subtree's sets can't reach the bound, and when all sets below are in its group already.
-   Groups above BLOCK n-grams are cut into blocks and every two blocks meet in a task, so that no task is unbounded.
+   near copies share long paths; a set walks down the tree carrying its overlap, to sets of a like size that share one of its rarest
+   n-grams (counted in the task, so that what is in most texts of the group brings nobody together), leaves a subtree when the rest
+   of its own n-grams or of the subtree's sets can't reach the bound, and when all such sets below are in its group already.
+   Large groups are cut into blocks and every two blocks meet in a task, so that no task is unbounded.
 
 Texts without words (and nulls) have an empty set and link with nothing; fewer than N words make one n-gram. Rows with the
 same document id count as one document with several texts. A null id sorts first, as one document. Sets are compared by
@@ -20,6 +21,7 @@ same document id count as one document with several texts. A null id sorts first
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from typing import Iterator
 
 import numpy as np
@@ -29,13 +31,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queuemill.llm.components import components
-from queuemill.llm.wordcodes import U, chunks, mix, pack, run_hashes, unpack, words_of
+from queuemill.llm.wordcodes import U, chunks, mix, pack, ranges, run_hashes, unpack, words_of
 from queuemill.runtime import materialise
 
 #: The slice: digests below this share of all.
 SLICE = 0.3
-#: n-grams in one task of the tree join.
-BLOCK = 6_000_000
+#: n-grams in one task of the tree join, at most; a group of more than SMALL_BLOCK is cut into up to COPIES blocks, to be joined side by side.
+BLOCK, SMALL_BLOCK, COPIES = 6_000_000, 500_000, 16
 NO_ID = -(1 << 63)
 PACKED = "bucket int, blob binary"
 
@@ -204,47 +206,76 @@ class PrefixTree:
             yield at, left, depth + int(differ[0]) if len(differ) else common
             at = left
 
-    def build(self, low: int, high: int, depth: int) -> list:
-        """Nested nodes (low, high, depth, stop, least size, greatest size, children)."""
-        root: list = []
+    def build(self, low: int, high: int, depth: int) -> tuple[list, list]:
+        """Nested nodes (low, high, depth, stop, least size, greatest size, children); children are their first sets and the nodes."""
+        root: tuple[list, list] = ([], [])
         todo = [(root, low, high, depth)]
         while todo:
             nodes, low, high, depth = todo.pop()
             for a, b, stop in self.runs(low, high, depth):
-                below: list = []
+                below: tuple[list, list] = ([], [])
                 size = self.sizes[a:b]
-                nodes.append((a, b, depth, stop, int(size.min()), int(size.max()), below))
+                nodes[0].append(a)
+                nodes[1].append((a, b, depth, stop, int(size.min()), int(size.max()), below))
                 if b - a > 1:
                     todo.append((below, a, b, stop))
         return root
 
+    def earlier(self) -> Iterator[np.ndarray]:
+        """For each set the sets before it that may link with it: they are of a like size, and share one of their rarest n-grams with it
+        at places after which enough n-grams are left in both."""
+        p, sizes = self.percent, self.sizes
+        length = np.where(sizes > 0, prefix_sizes(sizes, p), 0)
+        if not length.sum():
+            yield from (np.zeros(0, np.int64) for _ in self.sets)
+            return
+        code = np.concatenate([s[len(s) - n:] for s, n in zip(self.sets, length.tolist())])
+        owner = np.repeat(np.arange(len(self.sets)), length)
+        ends = np.cumsum(length)
+        left = np.arange(len(code)) - (ends - length)[owner] + 1 + (sizes - length)[owner]     # n-grams from the frequent end to here
+        order = np.argsort(code, kind="stable")         # owners of a code in their order
+        place = np.empty(len(code), np.int64)
+        place[order] = np.arange(len(code))
+        by_code, left_by_code = owner[order], left[order]
+        first = np.searchsorted(code[order], code)
+        for n, low, high in zip(sizes.tolist(), (ends - length).tolist(), ends.tolist()):
+            lens = place[low:high] - first[low:high]
+            at = ranges(first[low:high], lens)
+            near = by_code[at]
+            size = sizes[near]
+            shared = np.minimum(left_by_code[at], np.repeat(left[low:high], lens))
+            fits = (shared * (100 + p) >= p * (size + n)) & (size * 100 >= p * n) & (n * 100 >= p * size)
+            yield np.unique(near[fits])
+
     def join(self) -> None:
         """Puts every two sets that link into one group."""
         root = self.build(0, len(self.sets), 0)
         p, group, mark = self.percent, self.group, self.mark
-        for k, own in enumerate(self.sets):
+        for k, (own, near) in enumerate(zip(self.sets, self.earlier())):
             n = len(own)
+            near = near[group[near] != group[k]]
+            if not len(near):
+                continue
             mark[own] = True
-            # Sets up to k have met each other; k walks over the sets before it.
-            todo = [(node, 0, 0) for node in root]
+            # The set walks over sets before it, to those that may link with it.
+            places = near.tolist()
+            todo = [(root, 0, 0, len(places))]
             while todo:
-                (a, b, depth, stop, least, most, below), overlap, _ = todo.pop()
-                if a >= k:
-                    continue
-                if most * 100 < p * n or n * 100 < p * least:
-                    continue
-                if (group[a:min(b, k)] == group[k]).all():
-                    continue
-                overlap += int(np.count_nonzero(mark[self.sets[a][depth:stop]]))
-                # At best all that is left of the subtree's sets and of the own set is shared.
-                best = min(overlap + most - stop, n)
-                if best * 100 < p * (n + max(least, best) - best):
-                    continue
-                if b - a == 1:
-                    if overlap * 100 >= p * (n + int(self.sizes[a]) - overlap):
+                (starts, nodes), shared, low, last = todo.pop()
+                while low < last:
+                    a, b, depth, stop, least, most, below = nodes[bisect_right(starts, places[low]) - 1]
+                    first, low = low, bisect_left(places, b, low, last)
+                    if (group[near[first:low]] == group[k]).all():
+                        continue
+                    overlap = shared + int(np.count_nonzero(mark[self.sets[a][depth:stop]]))
+                    # At best all that is left of the subtree's sets and of the own set is shared.
+                    best = min(overlap + most - stop, n)
+                    if best * 100 < p * (n + max(least, best) - best):
+                        continue
+                    if b - a > 1:
+                        todo.append((below, overlap, first, low))
+                    elif overlap * 100 >= p * (n + int(self.sizes[a]) - overlap):
                         group[group == group[k]] = group[a]
-                else:
-                    todo.extend((node, overlap, 0) for node in below)
             mark[own] = False
 
 
@@ -297,7 +328,8 @@ def link_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     # The smallest document stands for its set.
     stands = materialise(sizes.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "sets")
     group = candidates.join(stands, candidates["node"] == stands["name"]).select("component", "name", "doc_id", "n")
-    blocks = group.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("_blocks"))
+    many = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK)), F.least(F.ceil(F.sum("n") / F.lit(SMALL_BLOCK)), F.lit(COPIES)))
+    blocks = group.groupBy("component").agg(many.cast("int").alias("_blocks"))
     own = F.pmod(F.xxhash64("name"), F.col("_blocks")).cast("int")
     tasks = (group.join(blocks, "component").withColumn("_own", own)
              .withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))

@@ -542,3 +542,35 @@ def test_alignments_in_halves_share_as_much():
                 i, j = i + (step != page_wrappers.RIGHT), j + (step != page_wrappers.LEFT)
             assert (i, j) == (len(a), len(b))
         assert steps[3].count(page_wrappers.BOTH) == steps[2000].count(page_wrappers.BOTH)
+
+
+def test_tree_walks_to_sets_with_rare_runs_in_common_only():
+    import numpy as np
+    rng = np.random.default_rng(8)
+    for percent in (60, 80, 85, 100):
+        # Frequent codes are low: all sets share some of them, a few are near copies of others.
+        sets = [np.unique(np.concatenate([np.arange(rng.integers(0, 12)), rng.integers(12, 60, rng.integers(1, 12))])) for _ in range(60)]
+        sets += [np.unique(np.append(s, rng.integers(12, 60))) for s in sets[:40]] + [s[:-1] for s in sets[:20]]
+        sets = sorted(sets, key=lambda s: s.astype(">u4").tobytes())
+        group = np.arange(len(sets))
+        ngram_join.PrefixTree(sets, percent, group).join()
+        want = np.arange(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both * 100 >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    want[want == want[i]] = want[j]
+        assert len({*zip(group.tolist(), want.tolist())}) == len({*group.tolist()}) == len({*want.tolist()})
+    # A passage in all sets brings none of them together.
+    sets = [np.append(np.arange(30), 30 + 10 * k + np.arange(10)) for k in range(300)]
+    assert sum(len(near) for near in ngram_join.PrefixTree(sets, 85, np.arange(300)).earlier()) == 0
+
+
+def test_a_large_group_is_joined_by_several_tasks(spark, monkeypatch):
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words[:30] + [f"x{n % 25}"] + words[30:]) for n in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r["doc_id"]: r["component_id"] for r in ngram_join.link_groups(df, 4, 70).collect()}
+    monkeypatch.setattr(ngram_join, "SMALL_BLOCK", 100)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.link_groups(df, 4, 70).collect()} == want
+    assert set(want.values()) == {0}
