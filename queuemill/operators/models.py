@@ -43,13 +43,13 @@ def dense_vector(column: str) -> Column:
 
 
 def with_sparse_vectors(rows: DataFrame, size: int, tag: str = "sparse-vectors") -> DataFrame:
-    """Adds `features` from (idx, val). Spark SQL has no function for sparse vectors, but they are stored as
-    a struct: the rows are written with that struct and read back as vectors."""
+    """`features` for (idx, val). Spark SQL has no function for sparse vectors, but they are stored as
+    a struct: the rows are written with that struct alone and read back as vectors."""
     struct = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"),
                       F.col("idx").cast("array<int>").alias("indices"), F.col("val").cast("array<double>").alias("values"))
-    path = fresh_path(rows.sparkSession, tag)
-    rows.withColumn("features", struct).write.parquet(path)
-    return rows.sparkSession.read.schema(T.StructType([*rows.schema.fields, T.StructField("features", VectorUDT())])).parquet(path)
+    path, kept = fresh_path(rows.sparkSession, tag), rows.drop("idx", "val")
+    rows.select(*kept.columns, struct.alias("features")).write.parquet(path)
+    return rows.sparkSession.read.schema(T.StructType([*kept.schema.fields, T.StructField("features", VectorUDT())])).parquet(path)
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:

@@ -29,7 +29,7 @@ def dense_rows(spark, sf, label="category"):
 
 
 def sparse_rows(spark, sf):
-    """Documents labelled by language, as TF-IDF vectors."""
+    """Documents labelled by language, as TF-IDF vectors that are made when they are read."""
     docs = LX.tokens(spread(table(spark, sf, "documents")), "doc_id", RQ._clean(), "lang")
     placed = materialise(SA.stratified_split(docs, "lang", "doc_id"), "documents")
     vocabulary = LX.Vocabulary.fit(placed.where("split = 'train'"))
@@ -37,7 +37,6 @@ def sparse_rows(spark, sf):
     vectors = LX.vectors(placed, "doc_id", vocabulary)
     rows = placed.select("doc_id", "lang", "split", "fold").join(vectors, "doc_id")
     rows = rows.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "split", "fold", "idx", "val")
-    rows = materialise(rows, "sparse-rows")
     return rows, size
 
 
@@ -192,6 +191,7 @@ def stream_scored_intake(spark, sf):
 @query("lsa_vectors")
 def lsa_vectors(spark, sf):
     rows, size = sparse_rows(spark, sf)
+    rows = materialise(rows, "sparse-rows")
     made, share = MO.lsa_vectors(rows.where("split = 'train'"), rows, size)
     return made.select("id", F.size("lsa").cast("long").alias("dims"), F.lit(share).alias("explained"))
 

@@ -311,3 +311,17 @@ def test_terms_of_documents_are_named_whole():
     got = sorted(zip(rows.tolist(), LX._named(terms, names).to_pylist(), counts.tolist()))
     assert got == [(0, "a", 2), (0, "a b", 1), (0, "b", 2), (0, "b a", 2), (2, "a", 1), (3, "c", 3), (3, "c c", 2)]
     assert len(LX._named(np.zeros(0, np.int64), pa.array([], pa.string()))) == 0
+
+
+def test_term_vectors_are_written_once(spark, monkeypatch):
+    from queuemill.operators import models as MO
+    from queuemill.plans import model_queries as Q
+    rows = spark.createDataFrame([(1, [0, 3], [1.0, 2.0]), (2, [], [])], "id long, idx array<int>, val array<double>")
+    made = MO.with_sparse_vectors(rows, 5)
+    assert made.columns == ["id", "features"]
+    assert {r.id: r.features.toArray().tolist() for r in made.collect()} == {1: [1.0, 0, 0, 2.0, 0], 2: [0.0] * 5}
+    tags = []
+    real = Q.materialise
+    monkeypatch.setattr(Q, "materialise", lambda df, tag: tags.append(tag) or real(df, tag))
+    Q.sparse_rows(spark, "/root/testdata/sf0.001")
+    assert tags == ["documents"]
